@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing, secrets, sharding
+from . import langid, mixing, quality, secrets, sharding, spm
 
 QUERIES = {
+    "op1_quality_rules": quality.op1_quality_rules,
+    "op3_language_id": langid.op3_language_id,
     "op4_mixing": mixing.op4_mixing,
     "op7_sharding": sharding.op7_sharding,
+    "op8_sentencepiece": spm.op8_sentencepiece,
     "op10_secrets": secrets.op10_secrets,
 }
 ORACLES = {"op4_mixing": mixing.SQL}

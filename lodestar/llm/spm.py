@@ -43,22 +43,26 @@ def read_pieces(path: str) -> tuple[list[str], list[float], dict[int, int], int]
 class Encoder:
     """Encodes and decodes whole texts; remembers the tokens of up to `remember` words, then starts anew."""
 
-    def __init__(self, path: str, remember: int = 300_000):
+    def __init__(self, path: str, remember: int = 600_000):
         import ahocorasick
 
         self.pieces, self.scores, self.by_byte, self.end = read_pieces(path)
         self.id = {p: i for i, p in enumerate(self.pieces) if p}
         self.byte_of = {i: b for b, i in self.by_byte.items()}
+        self.known = {p: i for p, i in self.id.items() if len(p) == 1}
+        self.sizes = list(map(len, self.pieces))
         self.fits_memo: dict[tuple[int, int], bool] = {}
-        self.words: dict[str, tuple[str, int, list[int]]] = {}
+        self.words: dict[str, tuple[str, str]] = {}
         self.remember = remember
         # Only pieces that merging their own text gives can stand in a result.
-        self.whole = {p for p in self.id if len(p) == 1 or self.merge(p) == [self.id[p]]}
+        self.whole = {p: i for p, i in self.id.items() if len(p) == 1 or self.merge(p) == [i]}
         self.automaton = ahocorasick.Automaton()
-        for p in self.whole:
-            self.automaton.add_word(p, p)
+        for p, i in self.whole.items():
+            if len(p) > 1:
+                self.automaton.add_word(p, (len(p) - 1, i))
         self.automaton.make_automaton()
-        self.known = {p for p in self.id if len(p) == 1}
+        #: The next-longest piece that a piece begins with, -1 for none.
+        self.shorter = {i: next((self.whole[p[:k]] for k in range(len(p) - 1, 0, -1) if p[:k] in self.whole), -1) for p, i in self.whole.items()}
 
     def merge(self, text: str) -> list[int]:
         """Greedy merging of a short text: the pair of the highest score first, the leftmost of equals."""
@@ -84,57 +88,54 @@ class Encoder:
 
     def backtrack(self, text: str) -> list[int]:
         """Tokens of a text whose characters are all pieces."""
-        if text in self.whole:
-            return [self.id[text]]
-        n = len(text)
-        longest = [""] * n
-        for last, p in self.automaton.iter(text):
-            start = last - len(p) + 1
-            if len(p) > len(longest[start]):
-                longest[start] = p
-        failed = bytearray(n + 1)  # 1: no valid rest begins here with the tokens tried before it
+        whole = self.whole.get(text)
+        if whole is not None:
+            return [whole]
+        longest = [self.known[c] for c in text]
+        for last, (back, i) in self.automaton.iter(text):  # of those with one start, the longest ends last
+            longest[last - back] = i
+        n, sizes, memo, shorter = len(text), self.sizes, self.fits_memo, self.shorter
+        longest.append(-1)
+        failed = bytearray(n + 1)  # 1: no valid rest begins here
         out: list[int] = []
-        starts: list[int] = []
-        at, p = 0, longest[0]
+        at, i = 0, longest[0]
         while at < n:
-            i = self.id[p]
-            stop = at + len(p)
-            if not failed[stop] and (not out or self.fits(out[-1], i)):
+            stop = at + sizes[i]
+            if not failed[stop] and (not out or (fit := memo.get((out[-1], i))) or (fit is None and self.fits(out[-1], i))):
                 out.append(i)
-                starts.append(at)
-                at = stop
-                p = longest[at] if at < n else ""
+                at, i = stop, longest[stop]
                 continue
-            p = self.shorter(p)
-            while not p:
+            i = shorter[i]
+            while i < 0:
                 failed[at] = 1
                 if not out:
                     raise ValueError("no valid tokens")
-                p, at = self.shorter(self.pieces[out.pop()]), starts.pop()
+                last = out.pop()
+                at -= sizes[last]
+                i = shorter[last]
         return out
 
-    def shorter(self, p: str) -> str:
-        """The next-longest piece that p begins with."""
-        for k in range(len(p) - 1, 0, -1):
-            if p[:k] in self.whole:
-                return p[:k]
-        return ""
-
-    def word(self, word: str) -> tuple[str, int, list[int]]:
-        """(ids joined by spaces, their number, ids) of a word; characters that aren't pieces become their bytes."""
+    def ids(self, word: str) -> list[int]:
+        """Tokens of any text without a break; characters that aren't pieces become their bytes and part what is beside them."""
+        ids: list[int] = []
+        run = 0
+        for k, c in enumerate(word):
+            if c not in self.known:
+                if run < k:
+                    ids += self.backtrack(word[run:k])
+                ids += [self.by_byte[b] for b in c.encode("utf-8", "replace")]
+                run = k + 1
+        if run < len(word):
+            ids += self.backtrack(word[run:])
+        return ids
+
+    def word(self, word: str) -> tuple[str, str]:
+        """The ids, joined by spaces, and the pieces, joined, of a word as split() gives it."""
         got = self.words.get(word)
         if got is None:
-            ids: list[int] = []
-            run = 0
-            for k, c in enumerate(word):
-                if c not in self.known:
-                    if run < k:
-                        ids += self.backtrack(word[run:k])
-                    ids += [self.by_byte[b] for b in c.encode("utf-8", "replace")]
-                    run = k + 1
-            if run < len(word):
-                ids += self.backtrack(word[run:])
-            got = (" ".join(map(str, ids)), len(ids), ids)
+            whole = word if word[:1] == SPACE else SPACE + word
+            ids = self.ids(whole)
+            got = (" ".join(map(str, ids)), self.joined(ids))
             if len(word) <= 64:
                 if len(self.words) >= self.remember:
                     self.words.clear()
@@ -142,26 +143,28 @@ class Encoder:
         return got
 
     def split(self, text: str) -> list[str]:
-        """No piece holds a space after another character, so tokens never cross the start of a run of spaces."""
+        """Words with the spaces before them; a single one is left out. No piece holds a space after another character, so
+        tokens never cross the start of a run of spaces."""
         if not text:
             return []
-        text = SPACE + text.replace(" ", SPACE)
-        out, words = [], text.split(SPACE)
-        spaces = 0
-        for w in words[1:]:
+        words = text.replace(SPACE, " ").split(" ")
+        if "" not in words:
+            return words
+        out, spaces = [], 0
+        for w in words:
             spaces += 1
             if w:
-                out.append(SPACE * spaces + w)
+                out.append(w if spaces == 1 else SPACE * spaces + w)
                 spaces = 0
         if spaces:
             out.append(SPACE * spaces)
         return out
 
     def encode(self, text: str) -> list[int]:
-        return [i for w in self.split(text) for i in self.word(w)[2]] + [self.end]
+        return [*(int(i) for w in self.split(text) for i in self.word(w)[0].split()), self.end]
 
-    def decode(self, ids: list[int]) -> str:
-        """Pieces joined, runs of byte pieces read as UTF-8, spaces put back and the one before the text taken away."""
+    def joined(self, ids: list[int]) -> str:
+        """Pieces joined, runs of byte pieces read as UTF-8."""
         out: list[str] = []
         held = bytearray()
         for i in ids:
@@ -175,9 +178,17 @@ class Encoder:
             out.append(self.pieces[i])
         if held:
             out.append(held.decode("utf-8", "replace"))
-        text = "".join(out).replace(SPACE, " ")
+        return "".join(out)
+
+    @staticmethod
+    def plain(joined: str) -> str:
+        """Spaces put back, and the one before the text taken away."""
+        text = joined.replace(SPACE, " ")
         return text[1:] if text.startswith(" ") else text
 
+    def decode(self, ids: list[int]) -> str:
+        return self.plain(self.joined(ids))
+
 
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -199,17 +210,18 @@ def encode_texts(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(model)
-        end = str(enc.end)
+        end, known = str(enc.end), enc.words
         for batch in batches:
             counts, shas, plain, kept = [], [], [], []
             for t in batch.column(1).to_pylist():
-                words = [enc.word(w) for w in enc.split(t or "")]
-                ids = [i for w in words for i in w[2]]
-                counts.append(len(ids) + 1)
-                shas.append(hashlib.sha256(" ".join([*(w[0] for w in words), end]).encode()).hexdigest())
-                plain.append(hashlib.sha256(enc.decode(ids).encode()).hexdigest())
+                words = [known.get(w) or enc.word(w) for w in enc.split(t or "")]
+                ids = " ".join([*[w[0] for w in words], end])
+                counts.append(ids.count(" ") + 1)
+                shas.append(hashlib.sha256(ids.encode()).hexdigest())
+                # A word begins with a space piece, so no run of byte pieces goes from one word into the next.
+                plain.append(hashlib.sha256(enc.plain("".join([w[1] for w in words])).encode()).hexdigest())
                 if keep_ids:
-                    kept.append([*ids, enc.end])
+                    kept.append(list(map(int, ids.split())))
             cols = [batch.column(0), pa.array(counts, pa.int64()), pa.array(shas, pa.string()), pa.array(plain, pa.string())]
             names = [doc_id, "n_tokens", "ids_sha256", "decoded_sha256"]
             if keep_ids:
