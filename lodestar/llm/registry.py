@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, quality, secrets, sharding, spm
+from . import langid, minhash, mixing, quality, secrets, sharding, spm
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op3_language_id": langid.op3_language_id,
     "op4_mixing": mixing.op4_mixing,
+    "op6_minhash_bayes": minhash.op6_minhash_bayes,
     "op7_sharding": sharding.op7_sharding,
     "op8_sentencepiece": spm.op8_sentencepiece,
     "op10_secrets": secrets.op10_secrets,
