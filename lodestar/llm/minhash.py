@@ -6,7 +6,9 @@ under the chosen miss probability. Survivors are verified on their full sets.
 
 Buckets never emit all their pairs. In each round a bucket compares one member of each component in it with one leader; links
 contract components, and only buckets that still hold several components go on. What is left after the rounds (members that
-similar texts surround but no tested pair links) is compared across components, untested pairs only, so no link is lost.
+similar texts surround but no tested pair links) is compared inside tasks: buckets that share members form a cluster, a cluster
+is cut into chunks, and each pair of chunks is one group, which runs the same tests on the pairs that lie in different
+components and gives back only links that join components. No link is lost, and no group is larger than two chunks.
 """
 
 from __future__ import annotations
@@ -124,7 +126,68 @@ def exact(pairs: DataFrame, kind: str, percent: int) -> DataFrame:
     return pairs.select("a", "b", "ga", "gb").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = 1e-6, step: int = 20, rounds: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def _join_chunk(ids: list, comps: np.ndarray, sides: np.ndarray, sigs: np.ndarray, grams: list[np.ndarray], tests: list[tuple[int, int]], percent: int) -> list[tuple]:
+    """Links that join different components; with two sides only pairs across them are looked at."""
+    sizes = np.array([len(g) for g in grams])
+    offsets = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    vocabulary, flat = np.unique(np.concatenate(grams), return_inverse=True)
+    mine, links = np.zeros(len(vocabulary), np.int64), []
+    two = sides.min() != sides.max()
+    for i in range(len(ids)):
+        alive = np.arange(i + 1, len(ids))
+        alive = alive[(comps[alive] != comps[i]) & (~two | (sides[alive] != sides[i]))]
+        matches, done = np.zeros(len(ids), np.int64), 0
+        for n, m in tests:
+            if not len(alive):
+                break
+            matches[alive] += (sigs[alive, done:n] == sigs[i, done:n]).sum(axis=1)
+            alive, done = alive[matches[alive] >= m], n
+        if not len(alive):
+            continue
+        own = flat[offsets[i] : offsets[i] + sizes[i]]
+        mine[own] = 1
+        both = np.array([mine[flat[offsets[j] : offsets[j] + sizes[j]]].sum() for j in alive]) if len(alive) < 32 else np.add.reduceat(mine[flat], offsets)[alive]
+        mine[own] = 0
+        for j in alive[100 * both >= percent * (sizes[i] + sizes[alive] - both)]:
+            if comps[i] != comps[j]:
+                links.append((ids[i], ids[j]))
+                comps[comps == comps[j]] = comps[i]
+    return links
+
+
+def rest(placed: DataFrame, sigs: DataFrame, sets: DataFrame, kind: str, tests: list[tuple[int, int]], percent: int, chunk: int) -> DataFrame:
+    """Links (a, b) between components among the members (key, id, comp) of buckets that hold several."""
+    first = placed.groupBy("key").agg(F.min("id").alias("a"))
+    cluster = components(placed.join(first, "key").select("a", F.col("id").alias("b")).distinct(), out="cluster")
+    ids = cluster.join(placed.select("id", "comp").distinct(), "id")
+    sizes = ids.groupBy("cluster").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"))
+    packs = max(1, ids.count() // chunk)
+    rows = ids.join(sizes, "cluster").join(sigs, "id").join(sets, "id")
+    rows = rows.withColumn("c", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).withColumn("d", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    pack = F.when(F.col("chunks") == 1, F.pmod(F.xxhash64("cluster"), F.lit(packs))).otherwise(F.xxhash64("cluster", F.least("c", "d"), F.greatest("c", "d")))
+    rows = rows.select(pack.alias("pack"), "cluster", F.least("c", "d").alias("lo"), F.greatest("c", "d").alias("hi"), "c", "id", "comp", "sig", "grams")
+
+    def run(group: pa.Table) -> pa.Table:
+        names = group.column("id").to_pylist()
+        code = {x: k for k, x in enumerate(dict.fromkeys(group.column("comp").to_pylist()))}
+        comps = np.array([code[x] for x in group.column("comp").to_pylist()])
+        sides = group.column("c").to_numpy()
+        sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint32).reshape(-1, HASHES)
+        grams = [np.frombuffer(g, np.uint64) for g in group.column("grams").to_pylist()]
+        parts: dict[tuple, list[int]] = {}
+        for k, key in enumerate(zip(group.column("cluster").to_pylist(), group.column("lo").to_pylist(), group.column("hi").to_pylist(), strict=True)):
+            parts.setdefault(key, []).append(k)
+        links = []
+        for at in parts.values():
+            if len(at) > 1:
+                links += _join_chunk([names[k] for k in at], comps[at], sides[at], sig[at], [grams[k] for k in at], tests, percent)
+        kind_ = group.schema.field("id").type
+        return pa.table({"a": pa.array([a for a, _ in links], kind_), "b": pa.array([b for _, b in links], kind_)})
+
+    return cut(rows.groupBy("pack").applyInArrow(run, f"a {kind}, b {kind}"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = 1e-6, step: int = 20, rounds: int = 2, chunk: int = 1024, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row of docs.
 
     Null texts and texts without words have no shingles and are linked with nothing. Ties don't matter: the least id names the
@@ -162,16 +225,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = 1e-6, step
         if turn < rounds:
             one = placed.groupBy("key", "comp").agg(F.expr(f"min_by(id, xxhash64(id, {turn}))").alias("m"), F.count("*").alias("n"))
             lead = one.groupBy("key").agg(F.max(F.struct("n", "comp", F.col("m").alias("lead"))).alias("l")).select("key", F.col("l.comp").alias("lc"), F.col("l.lead").alias("lead"))
-            pairs = one.join(lead, "key").where("comp <> lc").select(F.least("m", "lead").alias("a"), F.greatest("m", "lead").alias("b"))
+            pairs = one.join(lead, "key").where("comp <> lc").select(F.least("m", "lead").alias("a"), F.greatest("m", "lead").alias("b")).distinct()
+            pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+            tested = pairs if tested is None else tested.unionByName(pairs)
+            links = verified(pairs)
         else:
-            other = placed.select("key", F.col("id").alias("b"), F.col("comp").alias("cb"))
-            pairs = placed.withColumnRenamed("id", "a").join(other, "key").where("comp <> cb AND a < b").select("a", "b")
-        pairs = pairs.distinct()
-        pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
-        if pairs.isEmpty():
-            continue
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        links = verified(pairs)
+            links = rest(placed, sigs, sets, kind, tests, percent, chunk)
         if links.isEmpty():
             continue
         side = lambda i, c: labels.select(F.col("id").alias(i), F.col("comp").alias(c))
