@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import langid, minhash, mixing, quality, secrets, sharding, spm
+from . import langid, minhash, mixing, mtree, quality, secrets, sharding, spm
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
+    "op2_mtree": mtree.op2_mtree,
     "op3_language_id": langid.op3_language_id,
     "op4_mixing": mixing.op4_mixing,
     "op6_minhash_bayes": minhash.op6_minhash_bayes,
@@ -13,4 +14,4 @@ QUERIES = {
     "op8_sentencepiece": spm.op8_sentencepiece,
     "op10_secrets": secrets.op10_secrets,
 }
-ORACLES = {"op4_mixing": mixing.SQL}
+ORACLES = {"op2_mtree": mtree.SQL, "op4_mixing": mixing.SQL}
