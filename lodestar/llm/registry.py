@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, minhash, mixing, mtree, quality, secrets, sharding, spm
+from . import html, langid, minhash, mixing, mtree, quality, secrets, sharding, spm
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_minhash_bayes": minhash.op6_minhash_bayes,
     "op7_sharding": sharding.op7_sharding,
     "op8_sentencepiece": spm.op8_sentencepiece,
+    "op9_html_extraction": html.op9_html_extraction,
     "op10_secrets": secrets.op10_secrets,
 }
 ORACLES = {"op2_mtree": mtree.SQL, "op4_mixing": mixing.SQL}
