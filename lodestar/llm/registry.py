@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import html, langid, minhash, mixing, mtree, quality, secrets, sharding, spm
+from . import html, langid, minhash, mixing, mtree, quality, secrets, sharding, spm, suffixes
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op2_mtree": mtree.op2_mtree,
     "op3_language_id": langid.op3_language_id,
     "op4_mixing": mixing.op4_mixing,
+    "op5_suffix_dedup": suffixes.op5_suffix_dedup,
     "op6_minhash_bayes": minhash.op6_minhash_bayes,
     "op7_sharding": sharding.op7_sharding,
     "op8_sentencepiece": spm.op8_sentencepiece,
