@@ -90,14 +90,22 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, rule_version: s
     return paths.select(doc_id, "blob", F.coalesce("spans", F.array().cast(SPAN)).alias("spans")), full
 
 
-def redact(docs: DataFrame, rule_version: str = "1", mark: str = "[SECRET]", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with every run that a rule accepts replaced by a mark; other columns stay, n_chars follows the text if present."""
-    rules = BASE + MORE
-    out = F.col(text)
-    for r in rules:
-        pattern = r.pattern if r.group == 0 else r.pattern[: r.pattern.rindex("]+)")] + "]{%d,})" % r.least
-        out = F.regexp_replace(out, pattern, mark.replace("$", r"\$"))
-    out = docs.withColumn(text, out)
+def redacted(docs: DataFrame, mark: str = "[SECRET]", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with the spans that scan() finds in each text replaced by a mark; n_chars follows the text, other columns stay.
+
+    Overlapping spans become one mark. Texts without a span, null ones among them, stay as they are.
+    """
+    paths, _ = scan(docs.select(doc_id, text).where(F.col(text).isNotNull()), doc_id=doc_id, text=text)
+    found = paths.where(F.size("spans") > 0).select("blob", "spans").groupBy("blob").agg(F.first("spans").alias("_spans"))
+    out = docs.withColumn("_blob", F.sha2(F.col(text).cast("binary"), 256)).join(found.withColumnRenamed("blob", "_blob"), "_blob", "left")
+
+    def step(acc: Column, s: Column) -> Column:
+        gap = F.when(s["start"] >= acc["at"], F.concat(F.substring(F.col(text), acc["at"].cast("int") + 1, (s["start"] - acc["at"]).cast("int")), F.lit(mark))).otherwise(F.lit(""))
+        return F.struct(F.concat(acc["out"], gap).alias("out"), F.greatest(acc["at"], s["stop"]).alias("at"))
+
+    first = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at"))
+    clean = F.aggregate("_spans", first, step, lambda acc: F.concat(acc["out"], F.substring(F.col(text), acc["at"].cast("int") + 1, F.length(text))))
+    out = out.withColumn(text, F.when(F.col("_spans").isNull(), F.col(text)).otherwise(clean)).drop("_blob", "_spans")
     return out.withColumn("n_chars", F.length(text).cast("long")) if "n_chars" in docs.columns else out
 
 
