@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, stored, table
 from .graph import components
 
 WORDS = 5
@@ -196,7 +196,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = 1e-6, step
     """
     kind = dict(docs.dtypes)[doc_id]
     tests = least_matches(percent / 100, miss, step)
-    feat = cut(features(docs, doc_id, text))
+    feat = stored(features(docs, doc_id, text))
     classes = feat.where("fp IS NOT NULL").groupBy("fp").agg(F.min("id").alias("rep"))
     feat_ids = feat.select("id", "n_shingles", "fp")
     reps = feat.where("fp IS NOT NULL AND id IS NOT NULL").join(classes, "fp").where("id = rep").dropDuplicates(["id"]).select("id", "n_shingles", "sig")
@@ -206,8 +206,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = 1e-6, step
     many = many.groupBy("n", "lo", "hi", "x", "y").agg(F.min("key").alias("key")).select("key")  # equal buckets once
     members = cut(rows.join(many, "key"))
     ids = members.select("id").distinct()
-    texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).join(ids, "id").dropDuplicates(["id"])
-    sets = cut(shingle_sets(texts, kind))
+    texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).join(ids, "id", "left_semi")
+    sets = stored(shingle_sets(texts, kind))
     sigs = cut(reps.join(ids, "id", "left_semi").select("id", "sig"))
 
     def verified(pairs: DataFrame) -> DataFrame:
