@@ -25,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import stored, table
 
-ANCHOR = 64
+ANCHOR = 32
 #: A perfect difference set: every residue is a difference of two members, so any two positions have a common shift into it.
 PERIOD, COVER = 21, (3, 6, 7, 12, 14)
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -91,7 +91,7 @@ def anchors(raw: bytes, length: int) -> tuple[np.ndarray, ...]:
                     break
     p, lo, hi = np.array(at), np.array(los), np.array(his)
     end = hi + length - ANCHOR
-    e = ((p - lo) * 1024 + (hi - lo)).astype(np.uint64) * _M2
+    e = ((p - lo) * 4096 + (hi - lo)).astype(np.uint64) * _M2
     for k in range(-(-(2 * length) // ANCHOR)):
         e = (e ^ h[np.minimum(lo + k * ANCHOR, end)]) * _M1
         e ^= e >> _32
@@ -174,25 +174,31 @@ def _runs(row: np.ndarray, col: np.ndarray, hit: np.ndarray) -> Iterator[tuple[i
 
 def repeated_spans(docs: DataFrame, length: int, block: int) -> DataFrame:
     """(rid, start, stop): stretches of bytes that repeated strings cover; they may overlap. docs: (rid, text)."""
-    fields = "rid long, h array<long>, e array<long>, p array<int>, lo array<int>, hi array<int>"
+    fields = "rid long, h array<long>, e array<int>, q array<long>"
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols: list[list] = [[], [], [], [], []]
+            cols: list[list] = [[], [], []]
             for t in batch.column(1).to_pylist():
-                for c, x in zip(cols, anchors((t or "").encode("utf-8", "replace"), length), strict=True):
+                h, e, p, lo, hi = anchors((t or "").encode("utf-8", "replace"), length)
+                # One number for position and run: fewer and narrower columns to shuffle.
+                for c, x in zip(cols, (h, e >> 32, (p << 24) | ((p - lo) << 12) | (hi - lo)), strict=True):
                     c.append(x)
-            lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, c)]), pa.int32()), pa.array(np.concatenate(c) if c else [], pa.int64() if k < 2 else pa.int32())) for k, c in enumerate(cols)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], ["rid", "h", "e", "p", "lo", "hi"])
+            lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, c)]), pa.int32()), pa.array(np.concatenate(c) if c else [], pa.int32() if k == 1 else pa.int64(), safe=False)) for k, c in enumerate(cols)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], ["rid", "h", "e", "q"])
 
     found = docs.mapInArrow(find, fields)
-    rows = found.select("rid", F.inline(F.arrays_zip("h", "e", "p", "lo", "hi")))
-    many = found.select(F.explode("h").alias("h")).groupBy("h").count().where("count > 1").select("h")
-    hits = cut(rows.join(many, "h"))
+    rows = found.select("rid", F.inline(F.arrays_zip("h", "e", "q"))).withColumn("g", F.shiftright("h", 32).cast("int"))
+    # Buckets are counted by half their hash: what meets by chance there is told apart below.
+    many = found.select(F.explode("h").alias("h")).groupBy(F.shiftright("h", 32).cast("int").alias("g")).count().where("count > 1").select("g")
+    position = {"p": F.shiftright("q", 24).cast("int"), "lo": (F.shiftright("q", 24) - F.shiftright("q", 12).bitwiseAND(4095)).cast("int")}
+    position["hi"] = (position["lo"] + F.col("q").bitwiseAND(4095)).cast("int")
+    hits = stored(rows.join(many, "g", "left_semi").select("rid", "h", "e", "q"))
     runs = hits.groupBy("h", "e").count()
-    whole = hits.join(runs.where("count > 1").select("h", "e"), ["h", "e"], "left_semi").select("rid", F.col("lo").alias("start"), (F.col("hi") + length).alias("stop"))
+    whole = hits.join(runs.where("count > 1").select("h", "e"), ["h", "e"], "left_semi").select("rid", position["lo"].alias("start"), (position["hi"] + length).alias("stop"))
     mixed = runs.groupBy("h").agg(F.count("*").alias("texts"), F.min("count").alias("least")).where("texts > 1 AND least = 1").select("h", "texts")
-    texts = hits.join(mixed, "h").dropDuplicates(["h", "e"])  # for equal runs one text stands
+    texts = hits.join(mixed, "h").groupBy("h", "e").agg(F.first("rid").alias("rid"), F.first("q").alias("q"), F.first("texts").alias("texts"))
+    texts = texts.select("rid", "h", "texts", *[c.alias(n) for n, c in position.items()])  # for equal runs one text stands
     wanted = texts.groupBy("rid").agg(F.collect_list(F.struct("h", "p", "lo", "hi", (F.col("texts") > block).alias("hot"))).alias("want"))
     wide = 2 * length - ANCHOR
 
@@ -206,7 +212,7 @@ def repeated_spans(docs: DataFrame, length: int, block: int) -> DataFrame:
             cols = list(zip(*out, strict=True)) or [()] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, types, strict=True)], ["rid", "h", "p", "lo", "hi", "hot", "bytes"])
 
-    frames = cut(docs.join(wanted, "rid").select("rid", "text", "want").mapInArrow(fetch, "rid long, h long, p int, lo int, hi int, hot boolean, bytes binary").dropDuplicates(["h", "rid", "p"]))
+    frames = stored(docs.join(wanted, "rid").select("rid", "text", "want").mapInArrow(fetch, "rid long, h long, p int, lo int, hi int, hot boolean, bytes binary").dropDuplicates(["h", "rid", "p"]))
     packs = max(1, frames.where("NOT hot").count() // block)
 
     def sort(group: pa.Table) -> pa.Table:
@@ -255,8 +261,8 @@ def remove_repeats(docs: DataFrame, length: int = 200, block: int = 4096, doc_id
     Texts are UTF-8 bytes; null is empty. Strings are judged on the input and never cross texts; a row that is there twice repeats
     itself. Texts shorter than `length` stay whole. An empty table gives an empty result; other columns are ignored.
     """
-    if length < 2 * ANCHOR:
-        raise ValueError(f"strings of at least {2 * ANCHOR} bytes")
+    if not 2 * ANCHOR <= length < 4096:
+        raise ValueError(f"strings of {2 * ANCHOR} to 4095 bytes")
     kind = dict(docs.dtypes)[doc_id]
     base = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     base = base.select("id", F.xxhash64("id", "text").alias("rid"), "text")
