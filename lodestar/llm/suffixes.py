@@ -187,7 +187,7 @@ def repeated_spans(docs: DataFrame, length: int, block: int) -> DataFrame:
             lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, c)]), pa.int32()), pa.array(np.concatenate(c) if c else [], pa.int32() if k == 1 else pa.int64(), safe=False)) for k, c in enumerate(cols)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *lists], ["rid", "h", "e", "q"])
 
-    found = docs.mapInArrow(find, fields)
+    found = stored(docs.mapInArrow(find, fields))  # read twice
     rows = found.select("rid", F.inline(F.arrays_zip("h", "e", "q"))).withColumn("g", F.shiftright("h", 32).cast("int"))
     # Buckets are counted by half their hash: what meets by chance there is told apart below.
     many = found.select(F.explode("h").alias("h")).groupBy(F.shiftright("h", 32).cast("int").alias("g")).count().where("count > 1").select("g")
