@@ -43,7 +43,7 @@ def read_pieces(path: str) -> tuple[list[str], list[float], dict[int, int], int]
 class Encoder:
     """Encodes and decodes whole texts; remembers the tokens of up to `remember` words, then starts anew."""
 
-    def __init__(self, path: str, remember: int = 600_000):
+    def __init__(self, path: str, remember: int = 300_000, remember_pairs: int = 500_000):
         import ahocorasick
 
         self.pieces, self.scores, self.by_byte, self.end = read_pieces(path)
@@ -51,9 +51,9 @@ class Encoder:
         self.byte_of = {i: b for b, i in self.by_byte.items()}
         self.known = {p: i for p, i in self.id.items() if len(p) == 1}
         self.sizes = list(map(len, self.pieces))
-        self.fits_memo: dict[tuple[int, int], bool] = {}
+        self.fits_memo: dict[int, bool] = {}
         self.words: dict[str, tuple[str, str]] = {}
-        self.remember = remember
+        self.remember, self.remember_pairs = remember, remember_pairs
         # Only pieces that merging their own text gives can stand in a result.
         self.whole = {p: i for p, i in self.id.items() if len(p) == 1 or self.merge(p) == [i]}
         self.automaton = ahocorasick.Automaton()
@@ -79,11 +79,9 @@ class Encoder:
 
     def fits(self, a: int, b: int) -> bool:
         """Whether merging the text of a and b gives a and b again."""
-        known = self.fits_memo.get((a, b))
-        if known is None:
-            known = self.fits_memo[a, b] = self.merge(self.pieces[a] + self.pieces[b]) == [a, b]
-            if len(self.fits_memo) > 2_000_000:
-                self.fits_memo.clear()
+        if len(self.fits_memo) >= self.remember_pairs:
+            self.fits_memo.clear()
+        known = self.fits_memo[a << 20 | b] = self.merge(self.pieces[a] + self.pieces[b]) == [a, b]
         return known
 
     def backtrack(self, text: str) -> list[int]:
@@ -101,7 +99,7 @@ class Encoder:
         at, i = 0, longest[0]
         while at < n:
             stop = at + sizes[i]
-            if not failed[stop] and (not out or (fit := memo.get((out[-1], i))) or (fit is None and self.fits(out[-1], i))):
+            if not failed[stop] and (not out or (fit := memo.get(out[-1] << 20 | i)) or (fit is None and self.fits(out[-1], i))):
                 out.append(i)
                 at, i = stop, longest[stop]
                 continue
@@ -130,12 +128,12 @@ class Encoder:
         return ids
 
     def word(self, word: str) -> tuple[str, str]:
-        """The ids, joined by spaces, and the pieces, joined, of a word as split() gives it."""
+        """The ids, joined by spaces, and the pieces, joined and with plain spaces, of a word as split() gives it."""
         got = self.words.get(word)
         if got is None:
             whole = word if word[:1] == SPACE else SPACE + word
             ids = self.ids(whole)
-            got = (" ".join(map(str, ids)), self.joined(ids))
+            got = (" ".join(map(str, ids)), self.joined(ids).replace(SPACE, " "))
             if len(word) <= 64:
                 if len(self.words) >= self.remember:
                     self.words.clear()
