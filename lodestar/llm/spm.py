@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -219,11 +220,12 @@ def encode_texts(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str
                 # A word begins with a space piece, so no run of byte pieces goes from one word into the next.
                 plain.append(hashlib.sha256(enc.plain("".join([w[1] for w in words])).encode()).hexdigest())
                 if keep_ids:
-                    kept.append(list(map(int, ids.split())))
+                    kept.append(np.fromiter(map(int, ids.split()), np.int32, counts[-1]))  # an object per id would take nine times as much
             cols = [batch.column(0), pa.array(counts, pa.int64()), pa.array(shas, pa.string()), pa.array(plain, pa.string())]
             names = [doc_id, "n_tokens", "ids_sha256", "decoded_sha256"]
             if keep_ids:
-                cols, names = [*cols, pa.array(kept, pa.list_(pa.int32()))], [*names, "ids"]
+                offsets = pa.array(np.cumsum([0, *counts]), pa.int32())
+                cols, names = [*cols, pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(kept) if kept else [], pa.int32()))], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(cols, names)
 
     return docs.select(doc_id, text).mapInArrow(run, fields)
