@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm import minhash, mixing, quality, secrets, spm
-from lodestar.llm.common import cut
+from lodestar.llm.common import stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -54,5 +54,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = cut(docs)
+            docs = stored(docs)
     return docs
