@@ -197,7 +197,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = 1e-6, step
     kind = dict(docs.dtypes)[doc_id]
     tests = least_matches(percent / 100, miss, step)
     feat = stored(features(docs, doc_id, text))
-    classes = feat.where("fp IS NOT NULL").groupBy("fp").agg(F.min("id").alias("rep"))
+    # Cut off, so that the joins read it by a plain shuffle and a large class can be split among tasks.
+    classes = cut(feat.where("fp IS NOT NULL").groupBy("fp").agg(F.min("id").alias("rep")))
     feat_ids = feat.select("id", "n_shingles", "fp")
     reps = feat.where("fp IS NOT NULL AND id IS NOT NULL").join(classes, "fp").where("id = rep").dropDuplicates(["id"]).select("id", "n_shingles", "sig")
     keys = F.array(*[F.xxhash64(F.lit(k), F.substring("sig", 4 * ROWS * k + 1, 4 * ROWS)) for k in range(BANDS)])
