@@ -306,6 +306,12 @@ add(
     on_filings(lambda f: V.growth(_yearly(f), "canonical_employer_id", "filings", 3, 20)),
     f"SELECT canonical_employer_id, first_n, last_n, CAST(total AS BIGINT) AS total, years, floor((2000 * (last_n - first_n) + first_n) / (2 * first_n)) / 10.0::DOUBLE AS growth_pct FROM (SELECT canonical_employer_id, arg_min(filings, filing_year) AS first_n, arg_max(filings, filing_year) AS last_n, sum(filings) AS total, count(*) AS years FROM ({_YEARLY}) GROUP BY 1) WHERE first_n >= 3 AND total >= 20 AND years > 1",
 )
+add(
+    "v07_sector_top6",
+    on_filings(lambda f: (lambda r: R.count_by(R.or_other(r, "sector", R.top_n(R.count_by(r, "sector"), "filings", 6, "sector"), "Other", "slice"), "filing_year", "slice"))(f.withColumn("sector", S.naics2(F.col("naics_code"))).where("sector IS NOT NULL"))),
+    """WITH s AS (SELECT filing_year, CASE WHEN length(naics_code) >= 2 THEN substr(naics_code, 1, 2) END AS sector FROM filings WHERE length(naics_code) >= 2), t AS (SELECT sector FROM s GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 6)
+    SELECT filing_year, coalesce(t.sector, 'Other') AS slice, count(*) AS filings FROM s LEFT JOIN t ON t.sector = s.sector GROUP BY 1, 2""",
+)
 add("v09_sponsors_in_tech", on_filings(lambda f: R.count_by(f.where(F.col("soc_code").like("15-%")), "canonical_employer_id")), "SELECT canonical_employer_id, count(*) AS filings FROM filings WHERE soc_code LIKE '15-%' GROUP BY 1")
 add(
     "v11_share_movers",
