@@ -163,3 +163,15 @@ def per_100(part: Column, whole: Column, digits: int = 2) -> Column:
     """Percentage of two counts, rounded half up in integers; null if whole is 0."""
     scale = 10**digits
     return F.floor((200 * scale * part + whole) / F.nullif(2 * whole, F.lit(0))) / F.lit(float(scale))
+
+
+def label_of(df: DataFrame, key: str, dim: DataFrame, code: str, label: str, out: str, fallback: str = "Other") -> DataFrame:
+    """The label of key in a table of codes; fallback where the table has none."""
+    d = dim.groupBy(F.col(code).alias("_code")).agg(F.min(label).alias(out))
+    return df.join(d, F.col(key) == F.col("_code"), "left").withColumn(out, F.coalesce(out, F.lit(fallback))).drop("_code")
+
+
+def per_capita(df: DataFrame, key: str, metric: str, dim: DataFrame, code: str, size: str, out: str) -> DataFrame:
+    """metric per hundred of the size that a table gives for key; null where it gives none or not more than 0."""
+    d = dim.groupBy(F.col(code).alias("_code")).agg(F.max(size).alias("_size"))
+    return df.join(d, F.col(key) == F.col("_code"), "left").withColumn(out, F.when(F.col("_size") > 0, per_100(F.col(metric), F.col("_size")))).drop("_code", "_size")

@@ -30,6 +30,12 @@ def top_n(df: DataFrame, metric: str, n: int, *ties: str) -> DataFrame:
     return df.orderBy(F.desc_nulls_last(metric), *ties).limit(n)
 
 
+def global_rank(df: DataFrame, key: str, metric: str, n: int, *ties: str) -> DataFrame:
+    """All rows; those of the n keys that lead by metric carry their rank, the tail carries null."""
+    top = top_n(df, metric, n, *ties).withColumn("rank", F.row_number().over(Window.orderBy(F.desc_nulls_last(metric), *ties)))
+    return df.join(top.select(key, "rank"), key, "left")
+
+
 def share_of(df: DataFrame, group: list[str], metric: str, out: str) -> DataFrame:
     return df.withColumn(out, per_100(F.col(metric), F.sum(metric).over(Window.partitionBy(*group))))
 

@@ -126,3 +126,22 @@ def wage_lookup(waged: DataFrame, code: str, state: str | None = None, city: str
 def region_counts(f: DataFrame, regions: dict[str, str]) -> DataFrame:
     region = F.create_map(*[F.lit(x) for kv in regions.items() for x in kv])
     return count_by(f, F.coalesce(F.try_element_at(region, F.col("worksite_state")), F.lit("Other")).alias("region")).withColumn("pct", per_100(F.col("filings"), F.sum("filings").over(Window.partitionBy())))
+
+
+def re_rank(rows: DataFrame, metric: str, *ties: str) -> DataFrame:
+    """Rows of a small dimension with rank by metric, nulls last, and the share of the metric's total."""
+    w = Window.orderBy(F.desc_nulls_last(metric), *ties)
+    return rows.withColumn("rank", F.row_number().over(w)).withColumn("share", F.round(F.col(metric) / F.sum(metric).over(Window.partitionBy()), 6))
+
+
+def scoped_kpis(f: DataFrame, key: str, year: int, outcomes: dict[str, str]) -> DataFrame:
+    """Per key the number of filings and outcomes in one year; those of all years where the key has none in it."""
+    here = F.col("filing_year") == year
+    counted = lambda c: F.when(F.count_if(here) > 0, F.count_if(here & c)).otherwise(F.count_if(c))
+    scope = F.when(F.count_if(here) > 0, "year").otherwise("all")
+    return f.groupBy(key).agg(scope.alias("scope"), counted(F.lit(True)).alias("filings"), *[counted(F.col("case_status") == v).alias(k) for k, v in outcomes.items()])
+
+
+def queue_counts(records: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """One row: rows to review, rows without a code, rows without an entity."""
+    return records.agg(F.count_if(F.col("soc_confidence") < threshold).alias("review"), F.count_if(F.col("soc_code").isNull()).alias("quarantined"), F.count_if(F.col("canonical_employer_id").isNull()).alias("unresolved"))

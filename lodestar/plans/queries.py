@@ -400,3 +400,166 @@ add(
     "SELECT filing_year, soc_code, count(*) AS n FROM filings GROUP BY 1, 2",
 )
 add("s21_status_report", on_filings(lambda f: R.count_by(f, F.concat(F.lit("year "), F.col("filing_year").cast("string")).alias("item"), out="n").union(f.agg(F.lit("records"), F.count("*")))), "SELECT 'year ' || filing_year AS item, count(*) AS n FROM filings GROUP BY 1 UNION ALL SELECT 'records', count(*) FROM filings")
+
+# --- further sources, functions and slices -----------------------------------------------------------------------------
+_STATES = "substr('CATXNYNJWAILMAPAGAFLVANCOHMIMDCOAZCTMNINMOTNWIORUT', n_nationkey * 2 + 1, 2)"
+
+
+def _states(s: SparkSession, d: str) -> DataFrame:
+    return read(s, d, "nation").join(read(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.expr(_STATES).alias("code"), F.col("n_name").alias("state_name"), F.col("r_name").alias("region"), "n_nationkey")
+
+
+def _per_capita(s: SparkSession, d: str) -> DataFrame:
+    sizes = _states(s, d).join(read(s, d, "customer").groupBy("c_nationkey").agg(F.count("*").alias("size")), F.col("n_nationkey") == F.col("c_nationkey"))
+    rows = S.per_capita(R.count_by(filings(s, d), "worksite_state"), "worksite_state", "filings", sizes, "code", "size", "per_100")
+    return V.re_rank(rows, "per_100", "worksite_state").drop("share")
+
+
+add("s05_ledger_append", lambda s, d: I.ledger_append(aliases(s, d).select(F.col("job_title").alias("url")), filings(s, d).select(F.col("job_title").alias("url"))), "SELECT job_title AS url FROM aliases UNION SELECT job_title FROM filings")
+add(
+    "s06_files_by_year",
+    on_filings(lambda f: I.files_by_year(f.select(F.concat(F.lit("FY"), (F.col("filing_year") + 8).cast("string"), F.lit("_"), "worksite_state", F.lit(".csv")).alias("path")).distinct())),
+    "SELECT CASE WHEN regexp_matches(path, 'FY20[0-9]{2}') THEN regexp_extract(path, 'FY(20[0-9]{2})', 1) ELSE 'unknown' END AS year, list(path ORDER BY path) AS paths FROM (SELECT DISTINCT 'FY' || (filing_year + 8) || '_' || worksite_state || '.csv' AS path FROM filings) GROUP BY 1",
+)
+
+
+def _aliased(f: DataFrame) -> DataFrame:
+    doc = F.create_map(F.lit("NAIC_CODE"), "naics_code", F.lit("STATUS"), "case_status", F.lit("WORKSITE_STATE"), "worksite_state", F.lit("WORKSITE_STATE_1"), F.lit("XX"))
+    keys = [F.try_element_at("doc", F.lit(k)).alias(out) for k, out in (("NAICS_CODE", "naics"), ("CASE_STATUS", "status"), ("WORKSITE_STATE", "state"))]
+    return I.apply_aliases(f.select("filing_year", doc.alias("doc")), cutoff=1996).groupBy(F.col("_schema_era").alias("era"), F.array_join("_aliases_applied", ",").alias("applied"), *keys).agg(F.count("*").alias("n"))
+
+
+add(
+    "s11_apply_aliases",
+    on_filings(_aliased),
+    """SELECT CASE WHEN old THEN 'pre' ELSE 'native' END AS era, CASE WHEN old THEN 'NAIC_CODE->NAICS_CODE,STATUS->CASE_STATUS' ELSE '' END AS applied, CASE WHEN old THEN naics_code END AS naics,
+    CASE WHEN old THEN case_status END AS status, worksite_state AS state, count(*) AS n FROM (SELECT *, filing_year < 1996 AS old FROM filings) GROUP BY ALL""",
+)
+add(
+    "s12_header_report",
+    on_filings(lambda f: I.header_report(f.select(F.col("worksite_state").alias("file"), F.upper(F.coalesce("wage_unit_of_pay", F.lit("none"))).alias("header")).distinct(), ["YEAR", "HOUR", "HOURLY"], (("WEEK", "HOUR"),))),
+    """SELECT file, count(*) FILTER (header IN ('YEAR', 'HOUR', 'HOURLY')) AS recognized, count(*) FILTER (header = 'WEEK') AS aliased, count(*) FILTER (header NOT IN ('YEAR', 'HOUR', 'HOURLY', 'WEEK')) AS unknown,
+    CAST(3 - count(DISTINCT header) FILTER (header IN ('YEAR', 'HOUR', 'HOURLY')) AS INT) AS missing FROM (SELECT DISTINCT worksite_state AS file, upper(coalesce(wage_unit_of_pay, 'none')) AS header FROM filings) GROUP BY 1""",
+)
+add(
+    "s14_nlp_projection",
+    on_filings(lambda f: I.nlp_projection(f.select(F.create_map(F.lit("JOB_TITLE"), F.when(F.col("filing_year") < 1995, F.upper("job_title")), F.lit("job_title"), F.col("job_title"), F.lit("EMPLOYER_FEIN"), F.col("employer_fein")).alias("doc")), ["JOB_TITLE", "EMPLOYER_FEIN", "SOC_TITLE"]).groupBy("job_title", "employer_fein", "soc_title").agg(F.count("*").alias("n"))),
+    "SELECT CASE WHEN filing_year < 1995 THEN upper(job_title) ELSE job_title END AS job_title, coalesce(employer_fein, '') AS employer_fein, '' AS soc_title, count(*) AS n FROM filings GROUP BY 1, 2",
+)
+
+
+def _dictionary(s: SparkSession, d: str) -> DataFrame:
+    body = read(s, d, "part").select((F.col("p_partkey") + 2).cast("long").alias("idx"), F.array("p_brand", F.concat(F.lit(" "), "p_name", F.lit(" ")), "p_type").alias("cells"))
+    head = s.range(2).select(F.col("id").alias("idx"), F.when(F.col("id") == 0, F.array(F.lit("Title file"), F.lit(None).cast("string"), F.lit(None).cast("string"))).otherwise(F.array(F.lit("SOC Code"), F.lit("Direct Match Title"), F.lit("SOC Title "))).alias("cells"))
+    return I.load_dictionary(head.union(body))
+
+
+add("s20_load_dictionary", _dictionary, "SELECT arg_min(p_name, p_partkey) AS job_title, arg_min(p_brand, p_partkey) AS soc_code, arg_min(p_type, p_partkey) AS soc_title FROM part GROUP BY lower(p_name)")
+add(
+    "f02_json_merge",
+    on_filings(lambda f: f.select(S.json_merge(F.create_map(F.lit("a"), "case_status", F.lit("b"), "soc_source"), F.create_map(F.lit("b"), "pw_wage_level", F.lit("c"), "worksite_state")).alias("m")).groupBy(F.size("m").alias("size"), *[F.try_element_at("m", F.lit(k)).alias(k) for k in "abc"]).agg(F.count("*").alias("n"))),
+    "SELECT CAST(3 AS INT) AS size, case_status AS a, pw_wage_level AS b, worksite_state AS c, count(*) AS n FROM filings GROUP BY 2, 3, 4",
+)
+add(
+    "f13_labels",
+    lambda s, d: S.label_of(S.label_of(R.count_by(filings(s, d), "worksite_state"), "worksite_state", _states(s, d), "code", "state_name", "state_name"), "worksite_state", _states(s, d).where("region <> 'ASIA'"), "code", "region", "region"),
+    f"SELECT worksite_state, filings, n_name AS state_name, CASE WHEN r_name = 'ASIA' THEN 'Other' ELSE r_name END AS region FROM (SELECT worksite_state, count(*) AS filings FROM filings GROUP BY 1) JOIN nation ON {_STATES} = worksite_state JOIN region ON n_regionkey = r_regionkey",
+)
+add(
+    "f14_v12_per_capita",
+    _per_capita,
+    f"""WITH z AS (SELECT {_STATES} AS code, count(*) AS size FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1), g AS (SELECT worksite_state, count(*) AS filings FROM filings GROUP BY 1)
+    SELECT *, CAST(row_number() OVER (ORDER BY per_100 DESC NULLS LAST, worksite_state) AS INT) AS rank FROM (SELECT worksite_state, filings, {pct('filings', 'size')} AS per_100 FROM g LEFT JOIN z ON code = worksite_state)""",
+)
+add(
+    "w02_w04_global_rank",
+    on_filings(lambda f: R.global_rank(R.count_by(f.where("canonical_employer_id IS NOT NULL"), "canonical_employer_id"), "canonical_employer_id", "filings", 100, "canonical_employer_id")),
+    "SELECT canonical_employer_id, filings, CAST(CASE WHEN k <= 100 THEN k END AS INT) AS rank FROM (SELECT canonical_employer_id, count(*) AS filings, row_number() OVER (ORDER BY count(*) DESC, canonical_employer_id) AS k FROM filings WHERE canonical_employer_id IS NOT NULL GROUP BY 1)",
+)
+add(
+    "w06_share_of_year",
+    on_filings(lambda f: R.share_of(R.count_by(f, "filing_year", "worksite_state"), ["filing_year"], "filings", "pct")),
+    f"SELECT filing_year, worksite_state, filings, {pct('filings', 'CAST(total AS BIGINT)')} AS pct FROM (SELECT *, sum(filings) OVER (PARTITION BY filing_year) AS total FROM (SELECT filing_year, worksite_state, count(*) AS filings FROM filings GROUP BY 1, 2))",
+)
+add(
+    "l06_distinct_axes",
+    on_filings(lambda f: f.select("filing_year", "case_status").distinct()),
+    "SELECT DISTINCT filing_year, case_status FROM filings",
+)
+add(
+    "m03_grouped_split",
+    on_filings(lambda f: C.grouped_split(f, "employer_name").groupBy("employer_name").agg(F.count("*").alias("n"), F.count_distinct("is_test").alias("sides"))),
+    "SELECT employer_name, count(*) AS n, CAST(1 AS BIGINT) AS sides FROM filings GROUP BY 1",
+)
+add(
+    "e02_e04_resolve",
+    lambda s, d: K.resolve(entities(s, d).select("id", F.upper("canonical_name").alias("name"), "fein", F.col("employer_state").alias("state")), entities(s, d)),
+    "SELECT id, id AS entity_id, CASE WHEN fein IS NULL THEN 'trigram' ELSE 'id' END AS layer FROM entities",
+)
+add(
+    "e07_backfill_ids",
+    lambda s, d: K.resolve_by_id(filings(s, d).where("canonical_employer_id IS NULL"), entities(s, d)),
+    "SELECT record_id, e.id AS entity_id FROM filings f JOIN entities e ON e.fein = f.employer_fein WHERE canonical_employer_id IS NULL",
+)
+add(
+    "e08_embed",
+    lambda s, d: K.embed(read(s, d, "part"), "p_name").select("p_partkey", F.size("v").alias("dims"), F.round(F.sqrt(S.dot(F.col("v"), F.col("v"))), 6).alias("norm")),
+    "SELECT p_partkey, CAST(64 AS INT) AS dims, CAST(1 AS DOUBLE) AS norm FROM part",
+)
+_ASKED = "'Customer#000000012'"
+add(
+    "e09_similar_entities",
+    lambda s, d: K.similar_entities(entities(s, d), "Customer#000000012").select("id", F.round("sim", 6).alias("sim")),
+    f"SELECT id, round(s, 6) AS sim FROM (SELECT id, len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b)))::DOUBLE AS s FROM (SELECT id, {_tri.format('canonical_name')} AS a, {_tri.format(_ASKED)} AS b FROM entities)) WHERE s >= 0.3 ORDER BY s DESC, id LIMIT 20",
+)
+add("h01_queue_counts", on_filings(V.queue_counts), "SELECT count(*) FILTER (soc_confidence < 0.7) AS review, count(*) FILTER (soc_code IS NULL) AS quarantined, count(*) FILTER (canonical_employer_id IS NULL) AS unresolved FROM filings")
+add(
+    "h02_review_page",
+    on_filings(lambda f: f.where("soc_confidence < 0.75").orderBy("soc_confidence", "record_id").offset(50).limit(50).select("record_id", "soc_confidence")),
+    "SELECT record_id, soc_confidence FROM filings WHERE soc_confidence < 0.75 ORDER BY soc_confidence, record_id LIMIT 50 OFFSET 50",
+)
+
+
+def _reviewed(f: DataFrame) -> DataFrame:
+    action = F.when(F.col("pw_wage_level") == "I", "accept").when(F.col("pw_wage_level") == "II", "override").when(F.col("pw_wage_level") == "III", "reject")
+    decisions = f.select("record_id", action.alias("action"), F.lit("15-9999").alias("code"), F.col("filing_year").alias("decided_at"), F.col("record_id").alias("decision_id")).where("action IS NOT NULL")
+    return U.review_decisions(f.withColumn("requires_review", F.lit(True)), decisions, "record_id")[0].groupBy("soc_code", "soc_source", "requires_review").agg(F.count("*").alias("n"))
+
+
+add(
+    "h03_review_decisions",
+    on_filings(_reviewed),
+    """SELECT CASE pw_wage_level WHEN 'II' THEN '15-9999' WHEN 'III' THEN NULL ELSE soc_code END AS soc_code, CASE pw_wage_level WHEN 'II' THEN 'operator' WHEN 'III' THEN NULL ELSE soc_source END AS soc_source,
+    coalesce(pw_wage_level NOT IN ('I', 'II', 'III'), true) AS requires_review, count(*) AS n FROM filings GROUP BY 1, 2, 3""",
+)
+_SOC = stats("soc_code", where="soc_code IS NOT NULL")
+_wages = lambda w, *k: R.wage_stats(w.where("soc_code IS NOT NULL"), *k)
+add("v02_top_occupations", on_waged(lambda w: R.top_n(_wages(w, "soc_code"), "n", 15, "soc_code")), f"SELECT * FROM ({_SOC}) ORDER BY n DESC, soc_code LIMIT 15")
+add("v03_wage_trend", on_waged(lambda w: R.wage_stats(w.where("soc_code = '15-1033'"), "filing_year")), stats("filing_year", where="soc_code = '15-1033'"))
+add(
+    "v03_top_employers",
+    on_filings(lambda f: R.top_n(R.count_by(f.where("soc_code = '15-1033' AND canonical_employer_id IS NOT NULL"), "canonical_employer_id"), "filings", 10, "canonical_employer_id")),
+    "SELECT canonical_employer_id, count(*) AS filings FROM filings WHERE soc_code = '15-1033' AND canonical_employer_id IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
+)
+add(
+    "v04_wage_growth_top",
+    on_waged(lambda w: _wages(w, "soc_code", "filing_year").select("soc_code", "filing_year", "p50").join(R.top_n(_wages(w, "soc_code"), "n", 6, "soc_code"), "soc_code", "left_semi")),
+    f"SELECT soc_code, filing_year, p50 FROM ({stats('soc_code, filing_year', where='soc_code IS NOT NULL')}) WHERE soc_code IN (SELECT soc_code FROM ({_SOC}) ORDER BY n DESC, soc_code LIMIT 6)",
+)
+add(
+    "v13_scoped_kpis",
+    on_filings(lambda f: V.scoped_kpis(f.where("canonical_employer_id IS NOT NULL"), "canonical_employer_id", 1995, R.OUTCOMES)),
+    "SELECT canonical_employer_id, CASE WHEN bool_or(filing_year = 1995) THEN 'year' ELSE 'all' END AS scope, CASE WHEN bool_or(filing_year = 1995) THEN count(*) FILTER (filing_year = 1995) ELSE count(*) END AS filings, "
+    + ", ".join(f"CASE WHEN bool_or(filing_year = 1995) THEN count(*) FILTER (filing_year = 1995 AND case_status = '{v}') ELSE count(*) FILTER (case_status = '{v}') END AS {k}" for k, v in R.OUTCOMES.items())
+    + " FROM filings WHERE canonical_employer_id IS NOT NULL GROUP BY 1",
+)
+add(
+    "v19_top_paying_by_year",
+    on_waged(lambda w: R.top_n_per_group(_wages(w, "soc_code", "filing_year").where("n >= 20"), ["filing_year"], "p50", 8, "soc_code", rank="rank")),
+    f"SELECT * REPLACE (CAST(rank AS INT) AS rank) FROM (SELECT *, row_number() OVER (PARTITION BY filing_year ORDER BY p50 DESC, soc_code) AS rank FROM ({stats('soc_code, filing_year', where='soc_code IS NOT NULL')}) WHERE n >= 20) WHERE rank <= 8",
+)
+add(
+    "v19_cleanest_employers",
+    on_filings(lambda f: R.employer_outcomes(f).where("filings >= 20").orderBy("denied_pct", F.desc("filings"), "canonical_employer_id").limit(25)),
+    f"SELECT * FROM ({_OUTCOMES}) WHERE filings >= 20 ORDER BY denied_pct, filings DESC, canonical_employer_id LIMIT 25",
+)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -163,3 +165,39 @@ def write_mart(frames: dict[str, DataFrame], path: str, label: str) -> None:
 
 def read_mart(spark: SparkSession, path: str, label: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{path}/label={label}/{name}")
+
+
+def nlp_projection(df: DataFrame, fields: list[str], doc: str = "doc") -> DataFrame:
+    """The classifier's inputs from a map: the upper-case key, else the lower-case one, else the empty string."""
+    return df.withColumns({k.lower(): F.coalesce(F.try_element_at(doc, F.lit(k.upper())), F.try_element_at(doc, F.lit(k.lower())), F.lit("")) for k in fields})
+
+
+#: Fixed values: (code, title of the code, job title) headers of the dictionary's editions, and words that mark the header row.
+LAYOUTS = (
+    ("2018 SOC Code", "2018 SOC Title", "2018 SOC Direct Match Title"), ("2018 SOC Code", "2018 SOC Title", "2018 Direct Match Title"),
+    ("SOC Code", "SOC Title", "Direct Match Title"),
+)
+HEADER_WORDS = ("soc code", "direct match title", "soc title")
+
+
+def load_dictionary(rows: DataFrame) -> DataFrame:
+    """(job_title, soc_code, soc_title) of sheet rows (idx from 0, cells). Only the first 20 rows are read to find the header.
+
+    Rows without one of the values go; of titles that are equal in lower case the first row stays.
+    """
+    head = sorted(rows.where("idx < 20").collect(), key=lambda r: r.idx)
+    marks = [r for r in head if any(w in (c or "").lower() for c in r.cells for w in HEADER_WORDS)]
+    names = [(c or "").strip() for c in (marks or head)[0].cells] if head else []
+    layout = next((x for x in LAYOUTS if set(x) <= set(names)), None)
+    if layout is None:
+        raise ValueError(f"unknown columns {sorted(names)}; one of {LAYOUTS} is needed")
+    cell = lambda name: F.trim(F.try_element_at("cells", F.lit(names.index(name) + 1)))
+    body = rows.where(F.col("idx") > (marks or head)[0].idx).select("idx", *[cell(name).alias(out) for name, out in zip(layout, ("soc_code", "soc_title", "job_title"), strict=True)]).dropna()
+    first = body.groupBy(F.lower("job_title").alias("_key")).agg(F.min_by(F.struct("job_title", "soc_code", "soc_title"), "idx").alias("r"))
+    return first.select("r.*")
+
+
+def classify_jsonl(spark: SparkSession, src: str, dst: str, classify: Callable[[DataFrame], DataFrame], field: str = "job_title") -> None:
+    """JSON lines in, JSON lines out with what classify adds; field names the title."""
+    rows = spark.read.json(src)
+    classify(rows if field == "job_title" else rows.withColumnRenamed(field, "job_title")).write.mode("overwrite").json(dst)

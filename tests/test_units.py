@@ -101,3 +101,36 @@ def test_stream_enrich_once_and_dead_letters(spark, tmp_path):
 
     X.stream_enrich(stream(), broken, out, dead, str(tmp_path / "c3")).awaitTermination()
     assert spark.read.parquet(dead).first().attempts == 5
+
+
+def test_rollup_refresh(spark, tmp_path):
+    from lodestar.plans.refresh import rollup_refresh
+
+    base = {"f": spark.createDataFrame([("a", 1), ("a", 2), ("b", 2)], "k string, y int")}
+    registry = {"total": (("by_k",), lambda r: r["by_k"].selectExpr("sum(n) AS n")), "by_k": (("f",), lambda r: r["f"].groupBy("k").count().withColumnRenamed("count", "n"))}
+    assert rollup_refresh(spark, registry, base, str(tmp_path)) == ["by_k", "total"]
+    assert spark.read.parquet(f"{tmp_path}/total").collect()[0].n == 3
+    with pytest.raises(ValueError):
+        rollup_refresh(spark, {"x": (("missing",), lambda r: r["missing"])}, base, str(tmp_path))
+    with pytest.raises(KeyError):
+        rollup_refresh(spark, {"x": ((), lambda r: r["f"])}, base, str(tmp_path))
+
+
+def test_load_dictionary_layouts(spark):
+    from lodestar.sources.ingest import load_dictionary
+
+    rows = lambda *cells: spark.createDataFrame(list(enumerate(cells)), "idx long, cells array<string>")
+    got = load_dictionary(rows(["Edition"], ["2018 SOC Code ", "2018 SOC Title", "2018 Direct Match Title"], ["15-1252", "Developers", " Coder "], ["15-1253", "Testers", "CODER"], ["15-1254", None, "Web"]))
+    assert [tuple(r) for r in got.collect()] == [("Coder", "15-1252", "Developers")]
+    with pytest.raises(ValueError):
+        load_dictionary(rows(["SOC Code", "Other"]))
+    with pytest.raises(ValueError):
+        load_dictionary(rows().where("false"))
+
+
+def test_classify_jsonl(spark, tmp_path):
+    from lodestar.sources.ingest import classify_jsonl
+
+    spark.createDataFrame([("coder",)], "t string").write.json(f"{tmp_path}/in")
+    classify_jsonl(spark, f"{tmp_path}/in", f"{tmp_path}/out", lambda df: df.selectExpr("job_title", "'15-1252' AS code"), "t")
+    assert [tuple(r) for r in spark.read.json(f"{tmp_path}/out").select("job_title", "code").collect()] == [("coder", "15-1252")]
