@@ -134,3 +134,19 @@ def test_classify_jsonl(spark, tmp_path):
     spark.createDataFrame([("coder",)], "t string").write.json(f"{tmp_path}/in")
     classify_jsonl(spark, f"{tmp_path}/in", f"{tmp_path}/out", lambda df: df.selectExpr("job_title", "'15-1252' AS code"), "t")
     assert [tuple(r) for r in spark.read.json(f"{tmp_path}/out").select("job_title", "code").collect()] == [("coder", "15-1252")]
+
+
+def test_files_in_and_out(spark, tmp_path):
+    src = spark.createDataFrame([("r1", 1999, None), ("r2", 2020, "15-1252"), ("r3", 2021, None)], "record_id string, filing_year int, soc_code string")
+    I.write_records(src, f"{tmp_path}/w")
+    got = spark.read.parquet(f"{tmp_path}/w")
+    assert {(r.record_id, str(r.part_year)) for r in got.collect()} == {("r1", "overflow"), ("r2", "2020"), ("r3", "2021")}
+    src.union(spark.createDataFrame([(None, None, None)], src.schema)).write.option("header", True).csv(f"{tmp_path}/c")
+    read = I.read_filings(spark, f"{tmp_path}/c", "csv", 2020)
+    assert read.count() == 3 and {r._filing_year for r in read.collect()} == {2020}
+    none = spark.createDataFrame([], "record_id string")
+    assert I.assert_coverage(src, none) == 2 and I.assert_coverage(src, none, 1, warn_only=True) == 2
+    with pytest.raises(ValueError):
+        I.assert_coverage(src, none, 1)
+    I.write_mart({"a": src}, f"{tmp_path}/m", "2020-q1")
+    assert I.read_mart(spark, f"{tmp_path}/m", "2020-q1", "a").count() == 3
