@@ -6,10 +6,11 @@ the least hash among the `ANCHOR`-byte strings inside its `length` bytes (the le
 a run of consecutive starts.
 
 1. Buckets with one anchor hold no repeat, and go.
-2. Anchors of a bucket whose whole run of text is equal are repeats of each other as a whole, and need no sorting.
+2. Anchors of a bucket whose whole run of text is equal are repeats of each other as a whole, and need no sorting. A 128-bit digest
+   of the run's bytes tells; it owes nothing to the bucket's hash.
 3. The texts that are left (one for each different run) are sorted bucket by bucket: by the first bytes, long ties by the rank of
    the next position of a difference cover, whose ranks over the block were found before by doubling. Neighbours in the order that
-   agree in `length` bytes are repeats; the bytes themselves are compared, hashes only bring them together.
+   agree in `length` bytes are repeats; here the bytes themselves are compared, hashes only bring them together.
 
 A block holds whole buckets of about `block` texts. A bucket with more texts than that isn't gathered: its starts are counted by
 the hash of their strings instead, with partial sums before the shuffle.
@@ -59,11 +60,11 @@ def sliding(x: np.ndarray, width: int, least: np.ufunc) -> np.ndarray:
 
 
 def anchors(raw: bytes, length: int) -> tuple[np.ndarray, ...]:
-    """hash, run hash, position, first and last start of every anchor of a text."""
+    """hash, run digest (two halves of 64 bits), position, first and last start of every anchor of a text."""
     starts = len(raw) - length + 1
     if starts < 1:
         none = np.empty(0, np.int64)
-        return none, none, none, none, none
+        return none, np.empty((0, 2), np.int64), none, none, none
     h = window_hashes(raw)
     span = length - ANCHOR + 1
     m = sliding(h, span, np.minimum)  # of every start
@@ -90,12 +91,8 @@ def anchors(raw: bytes, length: int) -> tuple[np.ndarray, ...]:
                 if s > b:
                     break
     p, lo, hi = np.array(at), np.array(los), np.array(his)
-    end = hi + length - ANCHOR
-    e = ((p - lo) * 4096 + (hi - lo)).astype(np.uint64) * _M2
-    for k in range(-(-(2 * length) // ANCHOR)):
-        e = (e ^ h[np.minimum(lo + k * ANCHOR, end)]) * _M1
-        e ^= e >> _32
-    return h[p].view(np.int64), e.view(np.int64), p, lo, hi
+    digests = b"".join(hashlib.blake2b(raw[a : b + length], digest_size=16).digest() for a, b in zip(los, his, strict=True))
+    return h[p].view(np.int64), np.frombuffer(digests, np.int64).reshape(-1, 2), p, lo, hi
 
 
 def _ranks(columns: list[np.ndarray]) -> np.ndarray:
@@ -174,30 +171,30 @@ def _runs(row: np.ndarray, col: np.ndarray, hit: np.ndarray) -> Iterator[tuple[i
 
 def repeated_spans(docs: DataFrame, length: int, block: int) -> DataFrame:
     """(rid, start, stop): stretches of bytes that repeated strings cover; they may overlap. docs: (rid, text)."""
-    fields = "rid long, h array<long>, e array<int>, q array<long>"
+    fields = "rid long, h array<long>, e array<long>, f array<long>, q array<long>"
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols: list[list] = [[], [], []]
+            cols: list[list] = [[], [], [], []]
             for t in batch.column(1).to_pylist():
                 h, e, p, lo, hi = anchors((t or "").encode("utf-8", "replace"), length)
-                # One number for position and run: fewer and narrower columns to shuffle.
-                for c, x in zip(cols, (h, e >> 32, (p << 24) | ((p - lo) << 12) | (hi - lo)), strict=True):
+                # One number for position and run: fewer columns to shuffle.
+                for c, x in zip(cols, (h, e[:, 0], e[:, 1], (p << 24) | ((p - lo) << 12) | (hi - lo)), strict=True):
                     c.append(x)
-            lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, c)]), pa.int32()), pa.array(np.concatenate(c) if c else [], pa.int32() if k == 1 else pa.int64(), safe=False)) for k, c in enumerate(cols)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], ["rid", "h", "e", "q"])
+            lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, c)]), pa.int32()), pa.array(np.concatenate(c) if c else [], pa.int64(), safe=False)) for c in cols]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], ["rid", "h", "e", "f", "q"])
 
     found = stored(docs.mapInArrow(find, fields))  # read twice
-    rows = found.select("rid", F.inline(F.arrays_zip("h", "e", "q"))).withColumn("g", F.shiftright("h", 32).cast("int"))
+    rows = found.select("rid", F.inline(F.arrays_zip("h", "e", "f", "q"))).withColumn("g", F.shiftright("h", 32).cast("int"))
     # Buckets are counted by half their hash: what meets by chance there is told apart below.
     many = found.select(F.explode("h").alias("h")).groupBy(F.shiftright("h", 32).cast("int").alias("g")).count().where("count > 1").select("g")
     position = {"p": F.shiftright("q", 24).cast("int"), "lo": (F.shiftright("q", 24) - F.shiftright("q", 12).bitwiseAND(4095)).cast("int")}
     position["hi"] = (position["lo"] + F.col("q").bitwiseAND(4095)).cast("int")
-    hits = stored(rows.join(many, "g", "left_semi").select("rid", "h", "e", "q"))
-    runs = hits.groupBy("h", "e").count()
-    whole = hits.join(runs.where("count > 1").select("h", "e"), ["h", "e"], "left_semi").select("rid", position["lo"].alias("start"), (position["hi"] + length).alias("stop"))
+    hits = stored(rows.join(many, "g", "left_semi").select("rid", "h", "e", "f", "q"))
+    runs = hits.groupBy("h", "e", "f").count()
+    whole = hits.join(runs.where("count > 1").select("h", "e", "f"), ["h", "e", "f"], "left_semi").select("rid", position["lo"].alias("start"), (position["hi"] + length).alias("stop"))
     mixed = runs.groupBy("h").agg(F.count("*").alias("texts"), F.min("count").alias("least")).where("texts > 1 AND least = 1").select("h", "texts")
-    texts = hits.join(mixed, "h").groupBy("h", "e").agg(F.first("rid").alias("rid"), F.first("q").alias("q"), F.first("texts").alias("texts"))
+    texts = hits.join(mixed, "h").groupBy("h", "e", "f").agg(F.first("rid").alias("rid"), F.first("q").alias("q"), F.first("texts").alias("texts"))
     texts = texts.select("rid", "h", "texts", *[c.alias(n) for n, c in position.items()])  # for equal runs one text stands
     wanted = texts.groupBy("rid").agg(F.collect_list(F.struct("h", "p", "lo", "hi", (F.col("texts") > block).alias("hot"))).alias("want"))
     wide = 2 * length - ANCHOR

@@ -152,6 +152,15 @@ def test_repeats(spark, real, docs, none, block):
         assert len(out) == len(ROWS) and suffixes.remove_repeats(none).count() == 0
 
 
+def test_unequal_runs_of_one_bucket(spark):
+    # Pairs of texts around one passage whose runs had equal hashes of 32 bits beside the one of the bucket.
+    passage = "the passage that all of these share: " + "".join(chr(97 + k * k * 7 % 26) for k in range(123))
+    texts = [f"{k:040x}"[::-1] + passage for k in (5938, 153516, 64091, 162042, 59244, 185971)]
+    frame = spark.createDataFrame(list(enumerate([*texts, texts[0]])), "doc_id long, text string")
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffixes.remove_repeats(frame).collect()}
+    assert [got[k] for k in range(7)] == list(brute_spans([*texts, texts[0]], 200)) and [got[k][1] for k in range(7)] == [200, 0, 0, 0, 0, 0, 200]
+
+
 # --- 6 near-duplicates -------------------------------------------------------------------------------------------------
 
 
