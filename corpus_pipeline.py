@@ -12,9 +12,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    verdicts = quality.rules(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return docs.join(verdicts.where("kept").select("doc_id").distinct(), "doc_id", "left_semi").select(*COLUMNS)
+    """Documents that the quality rules keep; each row is judged by its own text, whatever its id."""
+    return quality.rules(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), carry=tuple(COLUMNS[1:])).where("kept").select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -330,5 +330,17 @@ def test_pipeline_stages(spark, sf, real):
     assert all(r.ids == enc.encode(texts[r.doc_id]) for r in seen[4].collect())
 
 
+def test_pipeline_quality_judges_rows(spark, sf, real):
+    import corpus_pipeline as P
+
+    good = quality.rules(real, spark.read.parquet(f"{sf}/labels.parquet")).where("kept").join(real, "doc_id").first()
+    rows = [(None, good.text, "en", "a", 1), (7, good.text, "en", "a", 2), (7, "too short", "en", "a", 3), (None, "too short", "en", "a", 4)]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = real.select(*P.COLUMNS).where("doc_id <> 7").unionByName(odd)
+    out = P.quality_rules(spark, docs, sf)
+    assert out.columns == P.COLUMNS
+    assert sorted(r.n_chars for r in out.where("doc_id IS NULL OR doc_id = 7").collect()) == [1, 2]
+
+
 def secrets_of(t):
     return brute_secrets(t) or any(re.search(r.pattern, t or "") for r in secrets.MORE)
