@@ -17,7 +17,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the least id. Documents without an id or words all stay."""
+    """One document of each group of near-duplicates: the one with the least id. Documents without an id or words all stay.
+    A pair counts from a similarity of 0.85 on, as in op6; near copies from 0.8 up to that stay."""
     groups = minhash.near_duplicates(docs)
     return docs.join(groups.where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
 
