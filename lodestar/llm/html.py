@@ -21,6 +21,8 @@ VOID = set("area base br col embed hr img input link meta source track wbr".spli
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
 #: Elements whose content is no text of the page, whatever is around them.
 SILENT = set("script style head title noscript template svg math iframe object canvas audio video textarea select option button datalist".split())
+#: What may stand in a head; anything else ends it.
+HEAD = set("html head base basefont bgsound link meta noframes noscript script style template title".split())
 RAW = set("script style textarea title noscript iframe xmp".split())
 #: An opening tag ends an open element of these kinds.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"tr", "td", "th", "thead"}}
@@ -67,9 +69,17 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             links -= tag == "a"
         del stack[k:]
 
+    def leave_head() -> None:
+        """Close a head that is left open."""
+        if stack[-1][0] == "head":
+            close(len(stack) - 1)
+            pieces.append((stack[-1][1], ""))
+
     def say(text: str) -> None:
-        block = stack[-1][1]
         text = entities.unescape(text)
+        if text and not text.isspace():
+            leave_head()
+        block = stack[-1][1]
         pieces.append((block, text))
         size = len(text) if not text.isspace() else 0
         nodes[block].text += size
@@ -98,6 +108,8 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 if tag in INLINE and stack[k][0] not in INLINE:
                     break
             continue
+        if tag not in HEAD:
+            leave_head()
         if tag == "br":
             pieces.append((stack[-1][1], "\n"))
             continue

@@ -272,6 +272,13 @@ def test_html_odd_pages(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, html string")).count() == 0
 
 
+def test_html_head_left_open(spark):
+    body = "<article><p>Hello there, this is a text.</p></article>"
+    heads = ["<html><head><title>T</title><body>" + body, "<head><meta charset=x><style>p{}</style>" + body, "<head><title>T</title><template><p>no</p></template>Some words<p>more", "<head><title>T</title></head><body>" + body]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(list(enumerate(heads)), "page_id long, html string")).collect()}
+    assert got[0] == got[1] == got[3] == "Hello there, this is a text." and got[2].startswith("Some words") and "no" not in got[2].split()
+
+
 # --- 10 secrets --------------------------------------------------------------------------------------------------------
 
 
