@@ -36,6 +36,23 @@ def set_similarity_join(left: DataFrame, right: DataFrame, theta: float, block:
     return pairs.withColumn("sim", jaccard(F.col("left_g"), F.col("right_g"))).where(F.col("sim") >= theta).select("left_id", "right_id", "sim")
 
 
+def similarity_classes(rows: DataFrame, theta: float) -> DataFrame:
+    """(id, class_id, links) per row of (id, name): its class of equal gram sets, and how many other rows reach theta.
+
+    Equal sets are one class, named by a 128-bit digest of the set; only one row of each class is joined, and each pair of classes
+    is met once. Rows without grams have no class and no links; ids may be null or repeat.
+    """
+    grams = F.array_sort(trigrams(F.col("name")))
+    rows = rows.select("id", "name", F.when(F.size(grams) > 0, F.md5(F.to_json(grams))).alias("class_id"))
+    classes = rows.where("class_id IS NOT NULL").groupBy("class_id").agg(F.min("name").alias("name"), F.count("*").alias("n"))
+    reps = classes.select(F.col("class_id").alias("id"), "name")
+    met = set_similarity_join(reps, reps, theta).where("left_id < right_id")
+    both = met.select(F.col("left_id").alias("class_id"), F.col("right_id").alias("other")).unionAll(met.select("right_id", "left_id"))
+    beside = both.join(classes.select(F.col("class_id").alias("other"), F.col("n").alias("m")), "other").groupBy("class_id").agg(F.sum("m").alias("m"))
+    links = classes.join(beside, "class_id", "left").select("class_id", (F.col("n") - 1 + F.coalesce("m", F.lit(0))).alias("links"))
+    return rows.join(links, "class_id", "left").select("id", "class_id", F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+
+
 def best_match(pairs: DataFrame) -> DataFrame:
     w = Window.partitionBy("left_id").orderBy(F.desc("sim"), "right_id")
     return pairs.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")

@@ -269,6 +269,7 @@ def _names(s: SparkSession, d: str) -> DataFrame:
 _TRI_U = _tri.format("name").replace("[^a-z0-9]+", r"[^\p{L}\p{N}]+")
 _SIM = f"WITH n AS ({_NAMES}), g AS (SELECT id, state, {_TRI_U} AS g FROM n), p AS (SELECT a.id AS left_id, b.id AS right_id, len(list_intersect(a.g, b.g)) / nullif(len(list_distinct(list_concat(a.g, b.g))), 0)::DOUBLE AS sim FROM g a JOIN g b ON a.state = b.state AND a.id <> b.id) SELECT left_id, right_id, round(sim, 6) AS sim FROM p WHERE sim >= 0.85"
 add("j09_set_similarity_join", lambda s, d: K.set_similarity_join(_names(s, d), _names(s, d), 0.85, "state").where("left_id <> right_id").withColumn("sim", F.round("sim", 6)), _SIM)
+add("j09_similar_texts", lambda s, d: K.similarity_classes(read(s, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("name")), 0.85))
 add(
     "j10_vector_knn",
     lambda s, d: K.nearest_vectors(read(s, d, "embeddings").where("vec_id % 10 = 0").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), read(s, d, "embeddings").where("vec_id % 10 <> 0").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), 3),

@@ -67,6 +67,22 @@ def test_knn_blocks_agree(spark, sf):
     assert sorted(map(tuple, K.nearest_vectors(q, e, 2).collect())) == sorted(map(tuple, K.nearest_vectors(q, e, 2, max_broadcast=3).collect()))
 
 
+def test_similar_texts_meets_all_pairs(spark, sf):
+    from lodestar.plans import queries as Q
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60).collect()
+    long = " ".join(f"word{k * 7919 % 1009}" for k in range(200))
+    rows = [(r.doc_id, r.text) for r in docs] + [(9001, long), (9027, long + " end"), (9003, long.upper()), (9003, long + "!"), (None, long), (9004, ""), (9005, None), (9006, long[:900])]
+    frame = spark.createDataFrame(rows, "id long, name string")
+    grams = [set(r.g) if r.g else set() for r in frame.select(S.trigrams(F.col("name")).alias("g")).collect()]
+    links = [sum(1 for j, b in enumerate(grams) if j != i and a and b and len(a & b) / len(a | b) >= 0.85) for i, a in enumerate(grams)]
+    out = K.similarity_classes(frame, 0.85).collect()
+    key = lambda x: (x[0] is None, x[0] or 0, x[1])
+    assert sorted([(r.id, r.links) for r in out], key=key) == sorted([(r[0], n) for r, n in zip(rows, links, strict=True)], key=key)
+    assert len({r.class_id for r in out if r.id in (9001, 9003)}) == 1 and max(links) >= 4
+    assert Q.QUERIES["j09_similar_texts"](spark, sf).count() == spark.read.parquet(f"{sf}/documents.parquet").count()
+
+
 def test_embed_norm(spark):
     v = K.embed(spark.createDataFrame([("Acme",)], "name string"), "name").first().v
     assert len(v) == 64 and 0.95 < sum(x * x for x in v) ** 0.5 < 1.05
