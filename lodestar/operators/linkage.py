@@ -58,11 +58,11 @@ def best_match(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
 
 
-def nearest_vectors(queries: DataFrame, base: DataFrame, k: int, max_broadcast: int = 100_000, digits: int = 6) -> DataFrame:
+def nearest_vectors(queries: DataFrame, base: DataFrame, k: int, max_broadcast: int = 100_000, digits: int = 6, others: bool = False) -> DataFrame:
     """(query_id, base_id, sim, rank): the k nearest unit-scaled vectors by cosine. Frames: id, v.
 
     A query side of at most max_broadcast rows (it is counted) is broadcast to the base; a larger one is dealt to blocks, each of
-    which meets the base on its own.
+    which meets the base on its own. others leaves a query's own id out.
     """
     unit = lambda df, i, v: df.select(F.col("id").alias(i), F.transform("v", lambda x: x.cast("double") / F.sqrt(dot(F.col("v"), F.col("v")))).alias(v))
     q, b = unit(queries, "query_id", "_q"), unit(base, "base_id", "_b")
@@ -71,6 +71,8 @@ def nearest_vectors(queries: DataFrame, base: DataFrame, k: int, max_broadcast:
     if pairs is None:
         blocks = -(-n // max_broadcast)
         pairs = q.withColumn("_k", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).join(b.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))), "_k").drop("_k")
+    if others:
+        pairs = pairs.where("NOT query_id <=> base_id")
     sims = pairs.select("query_id", "base_id", F.round(dot(F.col("_q"), F.col("_b")), digits).alias("sim"))
     w = Window.partitionBy("query_id").orderBy(F.desc("sim"), "base_id")
     return sims.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

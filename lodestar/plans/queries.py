@@ -275,6 +275,11 @@ add(
     lambda s, d: K.nearest_vectors(read(s, d, "embeddings").where("vec_id % 10 = 0").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), read(s, d, "embeddings").where("vec_id % 10 <> 0").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), 3),
     "SELECT query_id, base_id, sim, CAST(k AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, base_id) AS k FROM (SELECT q.vec_id AS query_id, b.vec_id AS base_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS sim FROM embeddings q JOIN embeddings b ON q.vec_id % 10 = 0 AND b.vec_id % 10 <> 0)) WHERE k <= 3",
 )
+add(
+    "j10_knn_all_rows",
+    lambda s, d: (lambda e: K.nearest_vectors(e.where("id % 20 = 0"), e, 3, others=True))(read(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))),
+    "SELECT query_id, base_id, sim, CAST(k AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, base_id) AS k FROM (SELECT q.vec_id AS query_id, b.vec_id AS base_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS sim FROM embeddings q JOIN embeddings b ON q.vec_id % 20 = 0 AND q.vec_id <> b.vec_id)) WHERE k <= 3",
+)
 add(
     "e01_resolve_by_id",
     lambda s, d: K.resolve_by_id(filings(s, d), entities(s, d)).groupBy("entity_id").agg(F.count("*").alias("n")),

@@ -67,6 +67,19 @@ def test_knn_blocks_agree(spark, sf):
     assert sorted(map(tuple, K.nearest_vectors(q, e, 2).collect())) == sorted(map(tuple, K.nearest_vectors(q, e, 2, max_broadcast=3).collect()))
 
 
+def test_knn_meets_every_other_row(spark, sf):
+    from lodestar.plans import queries as Q
+
+    e = {r.vec_id: [float(x) for x in r.embedding] for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()}
+    cos = lambda a, b: round(sum(x * y for x, y in zip(a, b, strict=True)) / (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5, 5)
+    got = Q.QUERIES["j10_knn_all_rows"](spark, sf).collect()
+    asked = sorted({r.query_id for r in got})[:10]
+    for q in asked:
+        want = sorted((cos(e[q], v) for k, v in e.items() if k != q), reverse=True)[:3]
+        assert [round(r.sim, 5) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == pytest.approx(want, abs=2e-5)
+    assert {r.query_id for r in got} == {k for k in e if k % 20 == 0} and any(r.base_id % 10 == 0 for r in got)
+
+
 def test_similar_texts_meets_all_pairs(spark, sf):
     from lodestar.plans import queries as Q
 
