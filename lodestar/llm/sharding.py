@@ -3,8 +3,12 @@
 Law `key`: the row's key and the tree decide, nothing else. Every leaf (shard) draws an exponential waiting time
 -ln(u) / weight from a hash of key and shard. A rack's draw is the least of its shards' draws and a region's the least of its
 racks', so that each draw has the rate of the subtree's weight. The row descends to the region with the least draw, then to
-the rack, then to the shard. A changed weight alters only draws on the path of that leaf, so rows move only into the subtree
+the rack, then to the shard. A changed weight alters only draws on the path of that leaf, so rows move only into the shard
 that grew or out of the one that shrank; a new shard takes rows only into itself.
+
+The least of the leaves' draws is the same whatever the tree, so this is flat weighted rendezvous hashing over all shards: regions
+and racks decide nothing. Movement is confined to the shards whose weights change, not to their subtree: where weight shifts between
+two shards of one rack, rows also move to and from other racks and regions.
 """
 
 from __future__ import annotations
