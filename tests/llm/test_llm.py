@@ -91,6 +91,51 @@ def test_mtree_odd_rows(spark):
     assert mtree.top_k(rows.limit(0), rows).count() == 0
 
 
+def brute_top(rows, asked, k=5):
+    out = []
+    for q, v in asked:
+        best, own = [], False
+        for i, w in rows:
+            if i == q and w == v and not own:
+                own = True
+                continue
+            if len(w) == len(v):
+                best.append((-max(-(2**63) + 1, min(2**63 - 1, sum(a * b for a, b in zip(v, w, strict=True)))), i))
+        out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(sorted(best)[:k])]
+    return sorted(out)
+
+
+def test_mtree_repeats_lengths_and_long_products(spark):
+    r = np.random.default_rng(4)
+    rows = [(0, [1, 2]), (0, [1, 2]), (0, [2, 1]), (1, [1, 2]), (2, [3, -1]), (50, [0, 0]), (50, [0, 0])] + [(100 + k, r.integers(-9, 9, 2).tolist()) for k in range(60)]
+    frame = lambda x: spark.createDataFrame([(*row, "clash", 7) for row in x], "id long, v array<long>, score string, uid int")
+    asked = [x for x in rows if x[0] % 50 == 0]
+    for shard_rows, page in ((8, 3), (4096, 64)):
+        got = mtree.top_k(frame(rows), frame(asked), shard_rows=shard_rows, page=page, block=3, sample=5)
+        assert sorted(map(tuple, got.collect())) == brute_top(rows, asked)
+    ragged = [*rows, (7, [1]), (8, [5, 5, 5]), (None, [1, 1]), (9, None), (10, [])]
+    assert sorted(map(tuple, mtree.top_k(frame(ragged), frame([*asked, (7, [1])])).collect())) == brute_top(rows, asked)
+    wide = [(k, [int(x) * 10**12 for x in r.integers(-9, 9, 3)]) for k in range(40)] + [(50, [1, 1, 1])]
+    assert sorted(map(tuple, mtree.top_k(frame(wide), frame(wide), shard_rows=8, page=3).collect())) == brute_top(wide, wide)
+    few = rows[:3]
+    assert sorted(map(tuple, mtree.top_k(frame(few), frame(few)).collect())) == brute_top(few, few)
+    big = spark.createDataFrame([(0, [1e30, 1.0]), (50, [1.0, 2.0])], "vec_id long, embedding array<double>")
+    assert mtree.top_k(mtree.integers(big), mtree.integers(big)).count() == 2
+
+
+def test_mtree_prunes(spark):
+    r = np.random.default_rng(6)
+    centres = r.integers(-1000, 1000, (20, 8))
+    v = (centres[r.integers(0, 20, 800)] + r.integers(-5, 5, (800, 8))).astype(np.int64)
+    norm2 = float((v * v).sum(axis=1).max())
+    tree = mtree.Tree(mtree.build(np.arange(800), v, norm2, 16), 8, norm2)
+    q, seen = mtree.Queries(np.arange(10), np.arange(10), v[:10], np.full(10, mtree.NONE), 6), []
+    meet = q.meet
+    q.meet = lambda at, ids, scores, ok: (seen.append(ok.sum()), meet(at, ids, scores, ok))
+    tree.search(q)
+    assert [i.tolist() for i in q.ids] == [np.lexsort((np.arange(800), -(v @ x)))[:6].tolist() for x in v[:10]] and sum(seen) < 0.5 * 8000
+
+
 # --- 3 language --------------------------------------------------------------------------------------------------------
 
 
