@@ -15,7 +15,14 @@ from .common import table
 BITS = 14
 BUCKETS = 1 << BITS
 ORDERS = (1, 2, 3)
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = re.compile("[A-Za-z]")
+#: Numbers that one product of a batch holds at most: n-grams of its texts times languages.
+CELLS = 1 << 22
+
+
+def has_letter(text: str) -> bool:
+    """Whether a character is a letter (general category L)."""
+    return LETTER.search(text) is not None or any(map(str.isalpha, text))
 
 
 def hashed(text: str) -> np.ndarray:
@@ -67,21 +74,56 @@ def fit(rows: DataFrame, max_langs: int = 1000, alpha: float = 0.5) -> tuple[lis
     return langs, np.log(docs / docs.sum()) if len(langs) else docs, np.log(matrix / matrix.sum(axis=0))
 
 
+def batch_scores(texts: list[str], prior: np.ndarray, logs: np.ndarray) -> np.ndarray:
+    """Log posteriors (texts x languages) but for a constant: a sparse matrix of texts and buckets times the log probabilities.
+
+    The matrix is held by rows, as the buckets that occur and their counts. Its product is taken for as many texts at once as
+    CELLS allows, but for one at least; a text has BUCKETS entries at most, whatever its length.
+    """
+    out = np.empty((len(texts), len(prior)))
+    at: list[np.ndarray] = []
+    counts: list[np.ndarray] = []
+    first = held = 0
+
+    def flush(end: int) -> None:
+        nonlocal first, held
+        if at:
+            sizes = np.array([len(x) for x in at])
+            rows = logs[np.concatenate(at)] * np.concatenate(counts)[:, None]
+            starts = np.cumsum(sizes) - sizes
+            full = sizes > 0  # reduceat takes no empty row
+            sums = np.zeros((len(at), len(prior)))
+            if full.any():
+                sums[full] = np.add.reduceat(rows, starts[full], axis=0)
+            out[first:end] = prior + sums
+        at.clear()
+        counts.clear()
+        first, held = end, 0
+
+    for k, t in enumerate(texts):
+        c = np.bincount(hashed(t), minlength=BUCKETS)
+        x = np.flatnonzero(c)
+        if held and (held + len(x)) * len(prior) > CELLS:
+            flush(k)
+        at.append(x)
+        counts.append(c[x].astype(np.float64))
+        held += len(x)
+    flush(len(texts))
+    return out
+
+
 def _predict(model: tuple[list[str], np.ndarray, np.ndarray], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     langs, prior, logs = model
     for batch in batches:
-        names, scores = [], []
-        for t in batch.column(1).to_pylist():
-            if not langs or t is None or not LETTER.search(t):
-                names.append("und")
-                scores.append(0.0)
-                continue
-            c = np.bincount(hashed(t), minlength=BUCKETS)  # sparse: only the buckets that occur are multiplied
-            at = np.flatnonzero(c)
-            s = prior + c[at].astype(np.float64) @ logs[at]
-            k = int(s.argmax())
-            names.append(langs[k])
-            scores.append(round(float(1 / np.exp(s - s[k]).sum()), 6))
+        texts = batch.column(1).to_pylist()
+        asked = [k for k, t in enumerate(texts) if langs and t is not None and has_letter(t)]
+        names, scores = ["und"] * len(texts), [0.0] * len(texts)
+        if asked:
+            s = batch_scores([texts[k] for k in asked], prior, logs)
+            best = s.argmax(axis=1)
+            post = 1 / np.exp(s - s.max(axis=1)[:, None]).sum(axis=1)
+            for k, b, p in zip(asked, best.tolist(), post.tolist(), strict=True):
+                names[k], scores[k] = langs[b], round(p, 6)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
 
@@ -98,6 +140,7 @@ def identify(train: DataFrame, docs: DataFrame) -> DataFrame:
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    # A null id counts as the empty text, whose remainder is 0: nothing is learned from it.
+    held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
     out = identify(docs.where(~held), docs)
     return out.select("doc_id", held.alias("held_out"), "lang_pred", "score")
