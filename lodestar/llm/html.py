@@ -5,6 +5,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -62,11 +63,13 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     pieces: list[tuple[int, str]] = []
     stack: list[tuple[str, int]] = [("#root", 0)]  # (tag, block)
     links, at, n = 0, 0, len(page)
+    opened: Counter[str] = Counter()  # a closing tag of something that isn't open needs no look at the stack
 
     def close(k: int) -> None:
         nonlocal links
         for tag, _ in stack[k:]:
             links -= tag == "a"
+            opened[tag] -= 1
         del stack[k:]
 
     def leave_head() -> None:
@@ -77,7 +80,9 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
 
     def say(text: str) -> None:
         text = entities.unescape(text)
-        if text and not text.isspace():
+        if not text:  # a reference to no character; "" among the pieces is the end of a block
+            return
+        if not text.isspace():
             leave_head()
         block = stack[-1][1]
         pieces.append((block, text))
@@ -97,7 +102,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         if not tag:
             continue
         if m[1] or m[4]:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if opened[tag] > 0 else ():
                 if stack[k][0] == tag:
                     if tag not in INLINE:
                         pieces.append((stack[k][1], ""))
@@ -157,6 +162,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         else:
             links += tag == "a"
             stack.append((tag, here))
+        opened[tag] += 1
     return nodes, pieces
 
 
