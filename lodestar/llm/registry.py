@@ -16,4 +16,4 @@ QUERIES = {
     "op9_html_extraction": html.op9_html_extraction,
     "op10_secrets": secrets.op10_secrets,
 }
-ORACLES = {"op2_mtree": mtree.SQL, "op4_mixing": mixing.SQL}
+ORACLES = {"op2_mtree": mtree.SQL, "op4_mixing": mixing.SQL, "op7_sharding": sharding.SQL, "op10_secrets": secrets.SQL}

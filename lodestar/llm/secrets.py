@@ -109,11 +109,45 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]", doc_id: str = "doc_id", te
     return out.withColumn("n_chars", F.length(text).cast("long")) if "n_chars" in docs.columns else out
 
 
+def history(docs: DataFrame, commits: list[DataFrame], rules: tuple[Rule, ...] = BASE + MORE, rule_version: str = "1", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, blob, spans) of docs, scanned against the ledger that the commits before them left, in their order."""
+    ledger = None
+    for rows in commits:
+        _, ledger = scan(rows, rules, rule_version, ledger, doc_id, text)
+    return scan(docs, rules, rule_version, ledger, doc_id, text)[0]
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    paths, _ = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """All documents, after an earlier commit that held those whose text has an even CRC. What that commit brought into the ledger
+    is looked up, every other text is scanned, and the findings of both go to all rows."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    earlier = docs.where(F.crc32(F.coalesce("text", F.lit("")).cast("binary")) % 2 == 0)
+    paths = history(docs, [earlier])
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     base = F.filter("spans", lambda s: s["kind"].isin([r.kind for r in BASE]))
     return paths.select(
         "doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"),
         F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"),
     )
+
+
+def _sql() -> str:
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    found = []
+    for order, r in enumerate(BASE + MORE):
+        p = quoted(r.pattern)
+        runs, values, gaps = f"regexp_extract_all(t, {p})", f"regexp_extract_all(t, {p}, {r.group})", f"string_split_regex(t, {p})"
+        before = lambda n: f"list_sum(list_transform(list_slice({gaps}, 1, i + 1), lambda g: length(g))) + coalesce(list_sum(list_transform(list_slice({runs}, 1, {n}), lambda g: length(g))), 0)"  # noqa: B023, E731
+        one = f"{{'start': CAST({before('i')} AS BIGINT), 'ord': {order}, 'kind': '{r.kind}', 'stop': CAST({before('i + 1')} AS BIGINT)}}"
+        found.append(f"list_transform(list_filter(range(len({runs})), lambda i: length({values}[i + 1]) >= {r.least}), lambda i: {one})")
+    count = lambda k: f"len(list_filter(s, lambda x: x.kind = '{k}'))"
+    text = lambda s: f"array_to_string(list_transform({s}, lambda x: x.kind || ':' || x.start || ':' || x.stop), ',')"
+    base = "list_filter(s, lambda x: x.kind IN (" + ", ".join(f"'{r.kind}'" for r in BASE) + "))"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+f AS (SELECT doc_id, list_sort(list_concat({", ".join(found)})) AS s FROM d)
+SELECT doc_id, {", ".join(f"{count(r.kind)} AS n_{r.kind}" for r in BASE)}, sha256({text(base)}) AS base_sha256, {text("s")} AS spans FROM f
+"""
+
+
+SQL = _sql()
