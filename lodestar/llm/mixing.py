@@ -37,30 +37,31 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     stay near the target; hash sub-buckets inside a class let every (source, class, sub-bucket) be summed on its own.
 
     Returns the document's columns plus size, source_size, target, copies and taken. A null text has size 0; null sources
-    are one source, last; an empty table gives an empty result; repeated rows are separate documents. Columns of docs named
-    like the new ones are dropped in favour of them.
+    are one source, last; an empty table gives an empty result; repeated rows are separate documents. Rows of one id and size are
+    ordered by the CRC of their texts, so that reruns agree. Columns of docs named like the new ones are dropped in favour of them;
+    names that begin with _mix_ are taken.
     """
     new = ["size", "source_size", "target", "copies", "taken"]
     rows = docs.select(*[c for c in docs.columns if c not in new], n_words(F.col(text)).alias("size"))
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(doc_id).cast("string")).cast("binary"))
-    rows = rows.withColumn("_c", F.floor(F.sqrt("size")).cast("int")).withColumn("_b", (F.conv(F.substring(digest, 1, 6), 16, 10).cast("long") % sub_buckets).cast("int"))
-    cells = cut(rows.groupBy(F.col(source), "_c", "_b").agg(F.count("*").alias("_n"), F.sum("size").alias("_s")))
-    goal = targets(cells.groupBy(source).agg(F.sum("_s").alias("source_size")), source, weights, share, most)
-    before = Window.partitionBy(source).orderBy("_c", "_b").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.select(F.col(source).alias("_src"), F.col("_c").alias("_cc"), F.col("_b").alias("_bb"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    cells = cells.join(goal.withColumnRenamed(source, "_gs"), F.col("_src").eqNullSafe(F.col("_gs"))).drop("_gs")
-    inside = Window.partitionBy(source, "_c", "_b").orderBy(doc_id, "size")
-    rows = rows.withColumn("_i", F.row_number().over(inside))
-    rows = rows.join(cells, F.col(source).eqNullSafe(F.col("_src")) & (F.col("_c") == F.col("_cc")) & (F.col("_b") == F.col("_bb")))
+    rows = rows.withColumn("_mix_c", F.floor(F.sqrt("size")).cast("int")).withColumn("_mix_b", (F.conv(F.substring(digest, 1, 6), 16, 10).cast("long") % sub_buckets).cast("int"))
+    cells = cut(rows.groupBy(F.col(source), "_mix_c", "_mix_b").agg(F.count("*").alias("_mix_n"), F.sum("size").alias("_mix_s")))
+    goal = targets(cells.groupBy(source).agg(F.sum("_mix_s").alias("source_size")), source, weights, share, most)
+    before = Window.partitionBy(source).orderBy("_mix_c", "_mix_b").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.select(F.col(source).alias("_mix_src"), F.col("_mix_c").alias("_mix_cc"), F.col("_mix_b").alias("_mix_bb"), F.coalesce(F.sum("_mix_n").over(before), F.lit(0)).alias("_mix_start"))
+    cells = cells.join(goal.withColumnRenamed(source, "_mix_gs"), F.col("_mix_src").eqNullSafe(F.col("_mix_gs"))).drop("_mix_gs")
+    inside = Window.partitionBy(source, "_mix_c", "_mix_b").orderBy(doc_id, "size", F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+    rows = rows.withColumn("_mix_i", F.row_number().over(inside))
+    rows = rows.join(cells, F.col(source).eqNullSafe(F.col("_mix_src")) & (F.col("_mix_c") == F.col("_mix_cc")) & (F.col("_mix_b") == F.col("_mix_bb")))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     u = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.concat(F.lit("s"), source), F.lit("n"))).cast("binary")), 1, 8), 16, 10).cast("double") / 2.0**32
 
     def crossed(i: Column) -> Column:
         return F.floor(u + i * rate)
 
-    i = (F.col("_start") + F.col("_i")).cast("double")
+    i = (F.col("_mix_start") + F.col("_mix_i")).cast("double")
     rows = rows.withColumn("copies", (crossed(i) - crossed(i - 1)).cast("long")).withColumn("taken", F.col("copies") * F.col("size"))
-    return rows.drop("_c", "_b", "_i", "_src", "_cc", "_bb", "_start")
+    return rows.drop("_mix_c", "_mix_b", "_mix_i", "_mix_src", "_mix_cc", "_mix_bb", "_mix_start")
 
 
 def emit(mixed: DataFrame, columns: list[str]) -> DataFrame:
