@@ -11,8 +11,12 @@ from pyspark.sql import functions as F
 from .common import cut
 
 
+#: Ids that a task holds at once.
+HELD = 1_000_000
+
+
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Union-find over all edges of a task."""
+    """Union-find over the edges of a task, given out as stars. Where it would hold more than HELD ids it starts anew."""
     up: dict = {}
 
     def top(x):
@@ -21,19 +25,25 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x = up[x]
         return x
 
+    def stars() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(up), kind), pa.array([top(x) for x in up], kind)], ["id", "comp"])
+
     kind = pa.int64()
     for batch in batches:
         kind = batch.schema.field(0).type
+        if up and len(up) + 2 * batch.num_rows > HELD:
+            yield stars()
+            up.clear()
         for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             up.setdefault(x, x)
             up.setdefault(y, y)
             x, y = top(x), top(y)
             if x != y:
                 up[max(x, y)] = min(x, y)
-    yield pa.RecordBatch.from_arrays([pa.array(list(up), kind), pa.array([top(x) for x in up], kind)], ["id", "comp"])
+    yield stars()
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", out: str = "comp", one_task: int = 1_000_000) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", out: str = "comp", one_task: int = HELD // 2) -> DataFrame:
     """(id, out) for every id in an edge: the least id that it reaches.
 
     Each partition joins its own edges first, which leaves a star per local component. Up to `one_task` of these are joined in
