@@ -19,10 +19,10 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, stored, table
+from .common import WORD, cut, stored, table
 from .graph import components
 
 WORDS = 5
@@ -68,30 +68,39 @@ def least_matches(threshold: float, miss: float, step: int) -> list[tuple[int, i
     return out
 
 
+def row_key(doc_id: str, text: str) -> Column:
+    """A digest of id and text: the name of a row, and of the rows that are equal to it."""
+    return F.md5(F.concat_ws(":", F.coalesce(F.concat(F.lit("k"), F.col(doc_id).cast("string")), F.lit("n")), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))).cast("binary"))
+
+
 def features(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Per row its id and key, the size and a digest of its shingle set, and its signature."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ns, fps, sigs = [], [], []
-            for t in batch.column(1).to_pylist():
+            for t in batch.column(2).to_pylist():
                 g = shingles(t)
                 ns.append(len(g))
                 fps.append(blake2b(g.tobytes(), digest_size=16).digest() if len(g) else None)
                 sigs.append(signature(g).tobytes() if len(g) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(fps, pa.binary()), pa.array(sigs, pa.binary())], ["id", "n_shingles", "fp", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ns, pa.int64()), pa.array(fps, pa.binary()), pa.array(sigs, pa.binary())], ["id", "row", "n_shingles", "fp", "sig"])
 
-    return docs.select(doc_id, text).mapInArrow(run, f"id {dict(docs.dtypes)[doc_id]}, n_shingles long, fp binary, sig binary")
+    return docs.select(doc_id, row_key(doc_id, text).alias("row"), text).mapInArrow(run, f"id {dict(docs.dtypes)[doc_id]}, row string, n_shingles long, fp binary, sig binary")
 
 
-def shingle_sets(docs: DataFrame, kind: str) -> DataFrame:
+def shingle_sets(texts: DataFrame) -> DataFrame:
+    """(id, grams) of (id, text)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "grams"])
 
-    return docs.mapInArrow(run, f"id {kind}, grams binary")
+    return texts.mapInArrow(run, "id long, grams binary")
 
 
-def bayes(pairs: DataFrame, kind: str, tests: list[tuple[int, int]]) -> DataFrame:
+def bayes(pairs: DataFrame, tests: list[tuple[int, int]]) -> DataFrame:
     """Pairs (a, b, sa, sb) that the signature batches don't rule out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,10 +115,10 @@ def bayes(pairs: DataFrame, kind: str, tests: list[tuple[int, int]]) -> DataFram
             keep = pa.array(alive)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], ["a", "b"])
 
-    return pairs.select("a", "b", "sa", "sb").mapInArrow(run, f"a {kind}, b {kind}")
+    return pairs.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def exact(pairs: DataFrame, kind: str, percent: int) -> DataFrame:
+def exact(pairs: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b, ga, gb) with 100 * intersection >= percent * union on the full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,7 +132,7 @@ def exact(pairs: DataFrame, kind: str, percent: int) -> DataFrame:
             keep = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], ["a", "b"])
 
-    return pairs.select("a", "b", "ga", "gb").mapInArrow(run, f"a {kind}, b {kind}")
+    return pairs.select("a", "b", "ga", "gb").mapInArrow(run, "a long, b long")
 
 
 def _join_chunk(ids: list, comps: np.ndarray, sides: np.ndarray, sigs: np.ndarray, grams: list[np.ndarray], tests: list[tuple[int, int]], percent: int) -> list[tuple]:
@@ -155,13 +164,18 @@ def _join_chunk(ids: list, comps: np.ndarray, sides: np.ndarray, sigs: np.ndarra
     return links
 
 
-def rest(placed: DataFrame, sigs: DataFrame, sets: DataFrame, kind: str, tests: list[tuple[int, int]], percent: int, chunk: int) -> DataFrame:
-    """Links (a, b) between components among the members (key, id, comp) of buckets that hold several."""
+def rest(placed: DataFrame, sigs: DataFrame, sets: DataFrame, tests: list[tuple[int, int]], percent: int, chunk: int, most_bytes: int = 1 << 25) -> DataFrame:
+    """Links (a, b) between components among the members (key, id, comp) of buckets that hold several.
+
+    A chunk holds about `chunk` members, and fewer where their sets would take more than `most_bytes`.
+    """
     first = placed.groupBy("key").agg(F.min("id").alias("a"))
     cluster = components(placed.join(first, "key").select("a", F.col("id").alias("b")).distinct(), out="cluster")
-    ids = cluster.join(placed.select("id", "comp").distinct(), "id")
-    sizes = ids.groupBy("cluster").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"))
-    packs = max(1, ids.count() // chunk)
+    weights = sets.select("id", F.octet_length("grams").cast("long").alias("bytes"))
+    ids = cut(cluster.join(placed.select("id", "comp").distinct(), "id").join(weights, "id"))
+    need = lambda n, b: F.greatest(F.ceil(n / chunk), F.ceil(b / F.lit(most_bytes)), F.lit(1))
+    sizes = cut(ids.groupBy("cluster").agg(need(F.count("*"), F.sum("bytes")).cast("int").alias("chunks")))
+    packs = ids.agg(need(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0)))).first()[0]
     rows = ids.join(sizes, "cluster").join(sigs, "id").join(sets, "id")
     rows = rows.withColumn("c", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).withColumn("d", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     pack = F.when(F.col("chunks") == 1, F.pmod(F.xxhash64("cluster"), F.lit(packs))).otherwise(F.xxhash64("cluster", F.least("c", "d"), F.greatest("c", "d")))
@@ -181,66 +195,94 @@ def rest(placed: DataFrame, sigs: DataFrame, sets: DataFrame, kind: str, tests:
         for at in parts.values():
             if len(at) > 1:
                 links += _join_chunk([names[k] for k in at], comps[at], sides[at], sig[at], [grams[k] for k in at], tests, percent)
-        kind_ = group.schema.field("id").type
-        return pa.table({"a": pa.array([a for a, _ in links], kind_), "b": pa.array([b for _, b in links], kind_)})
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
-    return cut(rows.groupBy("pack").applyInArrow(run, f"a {kind}, b {kind}"))
+    return cut(rows.groupBy("pack").applyInArrow(run, "a long, b long"))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = 1e-6, step: int = 20, rounds: int = 2, chunk: int = 1024, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) per row of docs.
+def linked(docs: DataFrame, percent: int, miss: float, step: int, rounds: int, chunk: int, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, classes): per row of docs id, row (its key), n_shingles and fp (null without words); per fp comp, the component of its
+    class, and component_id, the least id in it (null if no row of it has one).
 
-    Null texts and texts without words have no shingles and are linked with nothing. Ties don't matter: the least id names the
-    component. Repeated rows are one class; a null id never names a component that has an id. An empty table gives an empty
-    result; columns besides the two are ignored; whole texts of any length count.
+    Everything between is keyed by classes, numbered anew, so that an id with several texts, or none, loses no link.
     """
-    kind = dict(docs.dtypes)[doc_id]
     tests = least_matches(percent / 100, miss, step)
     feat = stored(features(docs, doc_id, text))
-    # Cut off, so that the joins read it by a plain shuffle and a large class can be split among tasks.
-    classes = cut(feat.where("fp IS NOT NULL").groupBy("fp").agg(F.min("id").alias("rep")))
-    feat_ids = feat.select("id", "n_shingles", "fp")
-    reps = feat.where("fp IS NOT NULL AND id IS NOT NULL").join(classes, "fp").where("id = rep").dropDuplicates(["id"]).select("id", "n_shingles", "sig")
+    # Results of aggregates are cut off before joins on the same key, so that these read them by a plain shuffle and a large class or
+    # bucket can be split among tasks.
+    every = feat.where("fp IS NOT NULL").groupBy("fp").agg(F.min("id").alias("rep"), F.min("row").alias("row"), F.first("sig").alias("sig"))
+    every = stored(every.select(F.monotonically_increasing_id().alias("cid"), "*"))
     keys = F.array(*[F.xxhash64(F.lit(k), F.substring("sig", 4 * ROWS * k + 1, 4 * ROWS)) for k in range(BANDS)])
-    rows = cut(reps.select("id", F.explode(keys).alias("key")))
+    rows = cut(every.select(F.col("cid").alias("id"), F.explode(keys).alias("key")))
     many = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.expr("bit_xor(xxhash64(id))").alias("x"), F.expr("bit_xor(xxhash64(id, 1))").alias("y")).where("n > 1")
     many = many.groupBy("n", "lo", "hi", "x", "y").agg(F.min("key").alias("key")).select("key")  # equal buckets once
     members = cut(rows.join(many, "key"))
-    ids = members.select("id").distinct()
-    texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).join(ids, "id", "left_semi")
-    sets = stored(shingle_sets(texts, kind))
-    sigs = cut(reps.join(ids, "id", "left_semi").select("id", "sig"))
+    ids = cut(members.select("id").distinct())
+    wanted = every.join(ids, F.col("cid") == F.col("id"), "left_semi")
+    sigs = cut(wanted.select(F.col("cid").alias("id"), "sig"))
+    texts = docs.select(row_key(doc_id, text).alias("row"), F.col(text).alias("t")).join(wanted.select(F.col("cid").alias("id"), "row"), "row")
+    sets = stored(shingle_sets(texts.groupBy("id").agg(F.first("t").alias("t"))))  # equal rows have equal texts
 
     def verified(pairs: DataFrame) -> DataFrame:
         side = lambda t, i, c: t.select(F.col("id").alias(i), F.col(t.columns[1]).alias(c))
-        likely = cut(bayes(pairs.join(side(sigs, "a", "sa"), "a").join(side(sigs, "b", "sb"), "b"), kind, tests))
-        return cut(exact(likely.join(side(sets, "a", "ga"), "a").join(side(sets, "b", "gb"), "b"), kind, percent))
+        likely = cut(bayes(pairs.join(side(sigs, "a", "sa"), "a").join(side(sigs, "b", "sb"), "b"), tests))
+        return cut(exact(likely.join(side(sets, "a", "ga"), "a").join(side(sets, "b", "gb"), "b"), percent))
 
     labels, tested = cut(ids.select("id", F.col("id").alias("comp"))), None
     for turn in range(rounds + 1):
         placed = members.join(labels, "id")
-        mixed = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("key")
+        mixed = cut(placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("key"))
         placed = cut(placed.join(mixed, "key"))
         if placed.isEmpty():
             break
         if turn < rounds:
-            one = placed.groupBy("key", "comp").agg(F.expr(f"min_by(id, xxhash64(id, {turn}))").alias("m"), F.count("*").alias("n"))
-            lead = one.groupBy("key").agg(F.max(F.struct("n", "comp", F.col("m").alias("lead"))).alias("l")).select("key", F.col("l.comp").alias("lc"), F.col("l.lead").alias("lead"))
+            one = cut(placed.groupBy("key", "comp").agg(F.expr(f"min_by(id, xxhash64(id, {turn}))").alias("m"), F.count("*").alias("n")))
+            lead = cut(one.groupBy("key").agg(F.max(F.struct("n", "comp", F.col("m").alias("lead"))).alias("l")).select("key", F.col("l.comp").alias("lc"), F.col("l.lead").alias("lead")))
             pairs = one.join(lead, "key").where("comp <> lc").select(F.least("m", "lead").alias("a"), F.greatest("m", "lead").alias("b")).distinct()
             pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
             tested = pairs if tested is None else tested.unionByName(pairs)
             links = verified(pairs)
         else:
-            links = rest(placed, sigs, sets, kind, tests, percent, chunk)
+            links = rest(placed, sigs, sets, tests, percent, chunk)
         if links.isEmpty():
             continue
         side = lambda i, c: labels.select(F.col("id").alias(i), F.col("comp").alias(c))
         merged = components(links.join(side("a", "ca"), "a").join(side("b", "cb"), "b").where("ca <> cb").select("ca", "cb"), "ca", "cb", "root")
         labels = cut(labels.join(merged.withColumnRenamed("id", "comp"), "comp", "left").select("id", F.coalesce("root", "comp").alias("comp")))
-    out = feat_ids.join(classes, "fp", "left").join(labels.select(F.col("id").alias("rep"), "comp"), "rep", "left")
-    out = out.select(F.col("id").alias(doc_id), "n_shingles", F.coalesce("comp", "rep", "id").alias("component_id"))
+    classes = every.select("cid", "fp", "rep").join(labels.withColumnRenamed("id", "cid"), "cid", "left").select("fp", "rep", F.coalesce("comp", "cid").alias("comp"))
+    names = cut(classes.groupBy("comp").agg(F.min("rep").alias("component_id")))
+    return feat.select("id", "row", "n_shingles", "fp"), cut(classes.join(names, "comp").select("fp", "comp", "component_id"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = 1e-6, step: int = 20, rounds: int = 2, chunk: int = 1024, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) per row of docs.
+
+    Null texts and texts without words have no shingles and are linked with nothing. Ties don't matter: the least id names the
+    component. Repeated rows are one class; an id with several texts has the links of all of them, row by row; a row without an id
+    links like any other but never names a component, and is not kept. An empty table gives an empty result; columns besides the
+    two are ignored; whole texts of any length count.
+    """
+    rows, classes = linked(docs, percent, miss, step, rounds, chunk, doc_id, text)
+    out = rows.join(classes, "fp", "left").select(F.col("id").alias(doc_id), "n_shingles", F.when(F.col("fp").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(doc_id) == F.col("component_id"), F.lit(False)))
 
 
+def deduplicated(docs: DataFrame, percent: int = 85, miss: float = 1e-6, step: int = 20, rounds: int = 2, chunk: int = 1024, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with one row of each component: that with the least id, of equal ids the one with the least digest, without an id last.
+
+    Of rows with equal id and text one stays, whichever. Rows without words are no one's duplicates and stay, repeated or not. All
+    columns stay; those named like the two are read by name, whatever else the table holds. An empty table stays empty.
+    """
+    rows, classes = linked(docs, percent, miss, step, rounds, chunk, doc_id, text)
+    same = rows.where("fp IS NOT NULL").groupBy("fp", "row").agg(F.min("id").alias("id"), F.count("*").alias("n"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("row"), F.col("n")))
+    stay = cut(same.join(classes, "fp").groupBy("comp").agg(first.alias("f")).select(F.col("f.row").alias("_row"), F.col("f.n").alias("_n")))
+    keyed = docs.withColumn("_row", row_key(doc_id, text))
+    worded = F.coalesce(F.rlike(F.col(text), F.lit(WORD)), F.lit(False))
+    one = keyed.where(worded).join(stay.where("_n = 1"), "_row", "left_semi")
+    several = keyed.where(worded).join(stay.where("_n > 1"), "_row", "left_semi").dropDuplicates(["_row"])
+    return docs.where(~worded).unionByName(one.drop("_row")).unionByName(several.drop("_row"))
+
+
 def op6_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
