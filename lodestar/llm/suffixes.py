@@ -171,7 +171,7 @@ def _runs(row: np.ndarray, col: np.ndarray, hit: np.ndarray) -> Iterator[tuple[i
 
 def repeated_spans(docs: DataFrame, length: int, block: int) -> DataFrame:
     """(rid, start, stop): stretches of bytes that repeated strings cover; they may overlap. docs: (rid, text)."""
-    fields = "rid long, h array<long>, e array<long>, f array<long>, q array<long>"
+    fields = "rid binary, h array<long>, e array<long>, f array<long>, q array<long>"
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,13 +187,14 @@ def repeated_spans(docs: DataFrame, length: int, block: int) -> DataFrame:
     found = stored(docs.mapInArrow(find, fields))  # read twice
     rows = found.select("rid", F.inline(F.arrays_zip("h", "e", "f", "q"))).withColumn("g", F.shiftright("h", 32).cast("int"))
     # Buckets are counted by half their hash: what meets by chance there is told apart below.
-    many = found.select(F.explode("h").alias("h")).groupBy(F.shiftright("h", 32).cast("int").alias("g")).count().where("count > 1").select("g")
+    # Counts are stored before joins on the same key: the join then reads two plain shuffles, and a common bucket can be split.
+    many = stored(found.select(F.explode("h").alias("h")).groupBy(F.shiftright("h", 32).cast("int").alias("g")).count().where("count > 1").select("g"))
     position = {"p": F.shiftright("q", 24).cast("int"), "lo": (F.shiftright("q", 24) - F.shiftright("q", 12).bitwiseAND(4095)).cast("int")}
     position["hi"] = (position["lo"] + F.col("q").bitwiseAND(4095)).cast("int")
     hits = stored(rows.join(many, "g", "left_semi").select("rid", "h", "e", "f", "q"))
-    runs = hits.groupBy("h", "e", "f").count()
+    runs = stored(hits.groupBy("h", "e", "f").count())
     whole = hits.join(runs.where("count > 1").select("h", "e", "f"), ["h", "e", "f"], "left_semi").select("rid", position["lo"].alias("start"), (position["hi"] + length).alias("stop"))
-    mixed = runs.groupBy("h").agg(F.count("*").alias("texts"), F.min("count").alias("least")).where("texts > 1 AND least = 1").select("h", "texts")
+    mixed = stored(runs.groupBy("h").agg(F.count("*").alias("texts"), F.min("count").alias("least")).where("texts > 1 AND least = 1").select("h", "texts"))
     texts = hits.join(mixed, "h").groupBy("h", "e", "f").agg(F.first("rid").alias("rid"), F.first("q").alias("q"), F.first("texts").alias("texts"))
     texts = texts.select("rid", "h", "texts", *[c.alias(n) for n, c in position.items()])  # for equal runs one text stands
     wanted = texts.groupBy("rid").agg(F.collect_list(F.struct("h", "p", "lo", "hi", (F.col("texts") > block).alias("hot"))).alias("want"))
@@ -205,15 +206,16 @@ def repeated_spans(docs: DataFrame, length: int, block: int) -> DataFrame:
             for rid, t, want in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 raw = t.encode("utf-8", "replace")
                 out += [(rid, w["h"], w["p"], w["lo"], w["hi"], w["hot"], raw[w["lo"] : w["hi"] + length]) for w in want]
-            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
+            types = (pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
             cols = list(zip(*out, strict=True)) or [()] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, types, strict=True)], ["rid", "h", "p", "lo", "hi", "hot", "bytes"])
 
-    frames = stored(docs.join(wanted, "rid").select("rid", "text", "want").mapInArrow(fetch, "rid long, h long, p int, lo int, hi int, hot boolean, bytes binary").dropDuplicates(["h", "rid", "p"]))
+    frames = stored(docs.join(wanted, "rid").select("rid", "text", "want").mapInArrow(fetch, "rid binary, h long, p int, lo int, hi int, hot boolean, bytes binary").dropDuplicates(["h", "rid", "p"]))
     packs = max(1, frames.where("NOT hot").count() // block)
 
     def sort(group: pa.Table) -> pa.Table:
-        rid, h, p, lo, hi = (group.column(c).to_numpy() for c in ("rid", "h", "p", "lo", "hi"))
+        rid = group.column("rid").to_pylist()
+        h, p, lo, hi = (group.column(c).to_numpy() for c in ("h", "p", "lo", "hi"))
         grid = np.zeros((len(rid), wide), np.uint8)
         shift = length - ANCHOR - (p - lo)
         for k, b in enumerate(group.column("bytes").to_pylist()):
@@ -230,10 +232,10 @@ def repeated_spans(docs: DataFrame, length: int, block: int) -> DataFrame:
             for r, c0, c1 in _runs(row, col, hit):
                 k = part[r]
                 base = int(lo[k] - shift[k])
-                out.append((int(rid[k]), base + c0, base + c1 + length))
+                out.append((rid[k], base + c0, base + c1 + length))
             at = end
         cols = list(zip(*out, strict=True)) or [(), (), ()]
-        return pa.table({"rid": pa.array(cols[0], pa.int64()), "start": pa.array(cols[1], pa.int32()), "stop": pa.array(cols[2], pa.int32())})
+        return pa.table({"rid": pa.array(cols[0], pa.binary()), "start": pa.array(cols[1], pa.int32()), "stop": pa.array(cols[2], pa.int32())})
 
     def starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -243,11 +245,11 @@ def repeated_spans(docs: DataFrame, length: int, block: int) -> DataFrame:
                     rids.append(rid)
                     los.append(lo + s)
                     keys.append(hashlib.blake2b(b[s : s + length], digest_size=16).digest())
-            yield pa.RecordBatch.from_arrays([pa.array(rids, pa.int64()), pa.array(los, pa.int32()), pa.array(keys, pa.binary())], ["rid", "start", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array(rids, pa.binary()), pa.array(los, pa.int32()), pa.array(keys, pa.binary())], ["rid", "start", "key"])
 
-    sorted_ = frames.where("NOT hot").withColumn("pack", F.pmod(F.xxhash64("h"), F.lit(packs))).groupBy("pack").applyInArrow(sort, "rid long, start int, stop int")
-    hot = frames.where("hot").select("rid", "lo", "hi", "bytes").mapInArrow(starts, "rid long, start int, key binary")
-    twice = hot.groupBy("key").count().where("count > 1").select("key")
+    sorted_ = frames.where("NOT hot").withColumn("pack", F.pmod(F.xxhash64("h"), F.lit(packs))).groupBy("pack").applyInArrow(sort, "rid binary, start int, stop int")
+    hot = frames.where("hot").select("rid", "lo", "hi", "bytes").mapInArrow(starts, "rid binary, start int, key binary")
+    twice = stored(hot.groupBy("key").count().where("count > 1").select("key"))
     counted = hot.join(twice, "key", "left_semi").select("rid", "start", (F.col("start") + length).alias("stop"))
     return whole.unionByName(sorted_).unionByName(counted)
 
@@ -262,7 +264,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, block: int = 4096, doc_id
         raise ValueError(f"strings of {2 * ANCHOR} to 4095 bytes")
     kind = dict(docs.dtypes)[doc_id]
     base = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    base = base.select("id", F.xxhash64("id", "text").alias("rid"), "text")
+    base = base.select("id", F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.concat(F.lit("k"), F.col("id").cast("string")), F.lit("n")), F.md5("text")).cast("binary"))).alias("rid"), "text")
     spans = repeated_spans(base.select("rid", "text"), length, block)
     # Sums of openings and closings would need an order; a text's stretches are bounded by its length, so they are gathered.
     mine = spans.groupBy("rid").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
