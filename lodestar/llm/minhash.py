@@ -169,7 +169,7 @@ def rest(placed: DataFrame, sigs: DataFrame, sets: DataFrame, tests: list[tuple[
 
     A chunk holds about `chunk` members, and fewer where their sets would take more than `most_bytes`.
     """
-    first = placed.groupBy("key").agg(F.min("id").alias("a"))
+    first = cut(placed.groupBy("key").agg(F.min("id").alias("a")))
     cluster = components(placed.join(first, "key").select("a", F.col("id").alias("b")).distinct(), out="cluster")
     weights = sets.select("id", F.octet_length("grams").cast("long").alias("bytes"))
     ids = cut(cluster.join(placed.select("id", "comp").distinct(), "id").join(weights, "id"))
