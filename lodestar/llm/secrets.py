@@ -70,16 +70,15 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, rule_version: s
     """
     body = F.coalesce(F.col(text), F.lit(""))
     paths = docs.select(F.col(doc_id), F.sha2(body.cast("binary"), 256).alias("blob"), body.alias("_text"))
-    new = paths.select("blob", "_text")
-    if ledger is not None:
-        ledger = ledger.select("blob", "rule_version", F.col("spans").cast(SPAN).alias("spans"))
-        new = new.join(ledger.where(F.col("rule_version") == rule_version).select("blob"), "blob", "left_anti")
     # One carrier per blob: equal texts meet in the map-side aggregate first, so a large group of copies is a row per task.
     # Texts without any match need no carrier at all and are left out of the shuffle; the ledger still gets their blobs.
     hit = F.lit(False)
     for r in rules:
         hit = hit | F.rlike(F.col("_text"), F.lit(r.pattern))
-    new = new.select("blob", F.when(hit, F.col("_text")).alias("_text")).groupBy("blob").agg(F.max("_text").alias("_text"))
+    new = paths.select("blob", F.when(hit, F.col("_text")).alias("_text")).groupBy("blob").agg(F.max("_text").alias("_text"))
+    if ledger is not None:
+        ledger = ledger.select("blob", "rule_version", F.col("spans").cast(SPAN).alias("spans"))
+        new = new.join(ledger.where(F.col("rule_version") == rule_version).select("blob"), "blob", "left_anti")
     every = F.concat(*[spans(F.col("_text"), r, k) for k, r in enumerate(rules)])
     found = F.when(F.col("_text").isNull(), F.array().cast(SPAN)).otherwise(F.array_sort(every))
     scanned = new.select("blob", F.lit(rule_version).alias("rule_version"), found.alias("spans"))
