@@ -80,6 +80,14 @@ def code_slug(title: Column, code: Column) -> Column:
     return F.concat_ws("-", slugify(title), code)
 
 
+def state_slug(name: Column, code: Column) -> Column:
+    return F.concat_ws("-", slugify(name), F.lower(code))
+
+
+def sector_slug(label: Column, code: Column) -> Column:
+    return F.concat_ws("-", slugify(label), code)
+
+
 def trailing_code(slug: Column) -> Column:
     """The code at the end of a slug; null if there is none."""
     return F.nullif(F.regexp_extract(slug, r"([0-9]{2}-[0-9]{4})$", 1), F.lit(""))
@@ -93,6 +101,11 @@ def quarter_label(ts: Column) -> Column:
     return F.concat(F.year(ts).cast("string"), F.lit("-q"), F.quarter(ts).cast("string"))
 
 
+def label_display(label: Column) -> Column:
+    """2020-q3 as Q3 2020; anything else as it is."""
+    return F.when(label.rlike("^[0-9]{4}-q[1-4]$"), F.concat(F.lit("Q"), F.right(label, F.lit(1)), F.lit(" "), F.left(label, F.lit(4)))).otherwise(label)
+
+
 def short_code(name: Column) -> Column:
     return F.upper(F.substring(F.regexp_replace(F.split(F.trim(name), r"\s+")[0], r"[^A-Za-z0-9]", ""), 1, 12))
 

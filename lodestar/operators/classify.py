@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from lodestar.functions.scalar import clean_code, norm_title, valid_fein
 
+from .linkage import Encoder, embed, nearest_vectors
 from .rollups import pair_consensus
+from .upsert import apply_patch
 
 
 def _mined(records: DataFrame) -> DataFrame:
@@ -32,7 +34,14 @@ def refresh_consensus(records: DataFrame, min_hits: int = 5, min_agreement: floa
 
 def grouped_split(rows: DataFrame, group: str, percent: int = 20, seed: int = 0) -> DataFrame:
     """Whole groups to test; no group is on both sides."""
-    return rows.withColumn("is_test", F.pmod(F.xxhash64(F.col(group), F.lit(seed)), F.lit(100)) < percent)
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(group)).cast("binary"))
+    return rows.withColumn("is_test", F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % 100 < percent)
+
+
+def clip_labels(split: DataFrame, label: str) -> DataFrame:
+    """The split without test rows whose label no training row has."""
+    seen = split.where("NOT is_test").select(F.col(label).alias("_seen")).distinct()
+    return split.where("NOT is_test").unionByName(split.where("is_test").join(seen, F.col(label) == F.col("_seen"), "left_semi"))
 
 
 def evaluate_labels(pairs: DataFrame, pred: str, gold: str) -> DataFrame:
@@ -40,6 +49,20 @@ def evaluate_labels(pairs: DataFrame, pred: str, gold: str) -> DataFrame:
     return pairs.agg(F.count("*").alias("n"), hit(F.col(pred) == F.col(gold)).alias("exact"), hit(F.substring(pred, 1, 2) == F.substring(gold, 1, 2)).alias("major"))
 
 
+def topk_candidates(titles: DataFrame, aliases: DataFrame, k: int = 10, encoder: Encoder | None = None) -> DataFrame:
+    """(job_title, rank, code, sim): for each distinct non-blank title the k best codes by cosine of its nearest alias, each code once."""
+    encode = encoder or embed
+    q = encode(titles.select("job_title").where("trim(job_title) <> ''").distinct(), "job_title").select(F.col("job_title").alias("id"), "v")
+    b = encode(aliases.select("job_title", "soc_code"), "job_title").select(F.col("job_title").alias("id"), "v", "soc_code")
+    near = nearest_vectors(q, b, k, digits=4, label="soc_code")
+    return near.select(F.col("query_id").alias("job_title"), "rank", F.col("label").alias("code"), "sim")
+
+
+def semantic_nearest(titles: DataFrame, aliases: DataFrame, encoder: Encoder | None = None) -> DataFrame:
+    """(job_title, code, sim): the code of each distinct title's nearest alias."""
+    return topk_candidates(titles, aliases, 1, encoder).drop("rank")
+
+
 def classify(records: DataFrame, consensus: DataFrame, aliases: DataFrame, nearest: DataFrame | None = None) -> DataFrame:
     """Stage 0 consensus of the employer, stage 1 dictionary, stage 2 nearest (job_title, code, sim): the first hit wins.
 
@@ -71,6 +94,27 @@ def confidence_gate(rows: DataFrame, confidence: str, threshold: float = 0.7) ->
     return rows.where(~low), rows.where(low).withColumn("errors", error)
 
 
+def parse_answers(said: DataFrame, key: str, raw: str = "raw") -> DataFrame:
+    """(key, choice, confident, reason) of raw answers: the whole text as JSON, else its first {…}; choice 0 where neither is any.
+
+    A missing choice is 0, a missing confidence is false.
+    """
+    text = F.trim(F.col(raw))
+    part = F.regexp_extract(text, r"(?s)\{[^{}]*\}", 0)
+    doc = F.when(F.try_parse_json(text).isNotNull(), text).when(F.try_parse_json(part).isNotNull(), part)
+    field = lambda k: F.get_json_object(F.col("_d"), f"$.{k}")
+    sure = ~F.lower(field("confident")).isin("false", "0", "")
+    choice = F.coalesce(field("choice").try_cast("double").cast("int"), F.lit(0))
+    return said.select(key, doc.alias("_d")).select(key, choice.alias("choice"), F.coalesce(sure, F.lit(False)).alias("confident"), F.substring(F.coalesce(field("reason"), F.lit("")), 1, 200).alias("reason"))
+
+
+def write_back(records: DataFrame, quarantine: DataFrame, decided: DataFrame, key: str, source: str = "llm") -> tuple[DataFrame, DataFrame]:
+    """(records, quarantine) after adjudicate(): records take the codes of resolved rows, which leave the quarantine."""
+    got = decided.where("resolved")
+    patch = got.select(key, F.col("code").alias("soc_code"), F.lit(source).alias("soc_source"), "review_reason", F.col("review_reason").isNotNull().alias("requires_review"))
+    return apply_patch(records, patch, [key]), quarantine.join(got, key, "left_anti")
+
+
 def adjudicate(quarantine: DataFrame, candidates: DataFrame, key: str, picker: Callable | None = None, short_len: int = 12) -> DataFrame:
     """One decision per quarantined row over its ranked candidates (key, rank, code, sim).
 

@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from lodestar.functions.scalar import dot, jaccard, trigrams, valid_fein
+from lodestar.sources.scratch import cut
 
-from .upsert import upsert
+from .upsert import latest, upsert
+
+#: Adds a column v of vectors for a text column: any function of frames with the signature of embed.
+Encoder = Callable[[DataFrame, str], DataFrame]
 
 
 def set_similarity_join(left: DataFrame, right: DataFrame, theta: float, block: str | None = None) -> DataFrame:
@@ -58,24 +67,55 @@ def best_match(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
 
 
-def nearest_vectors(queries: DataFrame, base: DataFrame, k: int, max_broadcast: int = 100_000, digits: int = 6, others: bool = False) -> DataFrame:
-    """(query_id, base_id, sim, rank): the k nearest unit-scaled vectors by cosine. Frames: id, v.
+def nearest_vectors(queries: DataFrame, base: DataFrame, k: int, block: int = 2048, chunk: int = 8192, digits: int = 6, others: bool = False, label: str | None = None) -> DataFrame:
+    """(query_id, base_id, sim, rank): the k nearest vectors by cosine. Frames: id, v.
 
-    A query side of at most max_broadcast rows (it is counted) is broadcast to the base; a larger one is dealt to blocks, each of
-    which meets the base on its own. others leaves a query's own id out.
+    Queries are dealt to blocks and the base to chunks; each pair of them is one matrix product, which gives on the k best per query.
+    others leaves a query's own id out. With label (a column of base) only the best row of each label counts, and is returned with
+    it. Ties go to the smaller id. Vectors that are null or zero, and rows of another dimension than the query's, take no part.
     """
-    unit = lambda df, i, v: df.select(F.col("id").alias(i), F.transform("v", lambda x: x.cast("double") / F.sqrt(dot(F.col("v"), F.col("v")))).alias(v))
-    q, b = unit(queries, "query_id", "_q"), unit(base, "base_id", "_b")
-    n = queries.count()
-    pairs = b.join(F.broadcast(q)) if n <= max_broadcast else None
-    if pairs is None:
-        blocks = -(-n // max_broadcast)
-        pairs = q.withColumn("_k", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).join(b.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))), "_k").drop("_k")
-    if others:
-        pairs = pairs.where("NOT query_id <=> base_id")
-    sims = pairs.select("query_id", "base_id", F.round(dot(F.col("_q"), F.col("_b")), digits).alias("sim"))
+    kinds, lab = dict(queries.dtypes)["id"], F.col(label).cast("string") if label else F.lit(None).cast("string")
+    fine = lambda df, *more: df.select("id", F.col("v").cast("array<double>").alias("v"), *more).where("v IS NOT NULL AND exists(v, x -> x <> 0) AND forall(v, x -> x IS NOT NULL)")
+    q, b = fine(queries), fine(base, lab.alias("label"))
+    blocks, chunks = max(1, -(-q.count() // block)), max(1, -(-b.count() // chunk))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left = q.withColumn("_q", F.monotonically_increasing_id() % blocks).withColumn("_b", every(chunks))
+    right = b.select(F.col("id").alias("base_id"), F.col("v").alias("base_v"), "label").withColumn("_c", F.monotonically_increasing_id() % chunks).withColumn("_d", every(blocks))
+    schema = pa.schema([("query_id", to_arrow_type(queries.schema["id"].dataType)), ("base_id", to_arrow_type(base.schema["id"].dataType)), ("label", pa.string()), ("sim", pa.float64())])
+
+    def product(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        rows = rows.select(["base_id", "base_v", "label"]).rename_columns(["id", "v", "label"])
+        sizes = lambda t: np.diff(t.column("v").combine_chunks().offsets.to_numpy())
+        for dim in np.intersect1d(sizes(asked), sizes(rows)).tolist():
+            t, u = (x.filter(pa.array(sizes(x) == dim)) for x in (asked, rows))
+            x, y = (z.column("v").combine_chunks().flatten().to_numpy().reshape(-1, dim) for z in (t, u))
+            x, y = (z / np.sqrt((z * z).sum(axis=1))[:, None] for z in (x, y))
+            ids, labels = u.column("id").to_pylist(), u.column("label").to_pylist()
+            for at in range(0, len(x), 256):
+                sims = np.round(x[at : at + 256] @ y.T, digits)
+                for own, s in zip(t.column("id").slice(at, 256).to_pylist(), sims, strict=True):
+                    want = min(len(s), k + 1)
+                    while True:  # more are looked at while labels repeat or the own id is among them
+                        near = np.flatnonzero(s >= np.partition(s, len(s) - want)[len(s) - want])
+                        best, seen = [], set()
+                        for j in sorted(near.tolist(), key=lambda j: (-s[j], ids[j])):  # noqa: B023
+                            if not (others and ids[j] == own) and (label is None or labels[j] not in seen):
+                                seen.add(labels[j])
+                                best.append((own, ids[j], labels[j], float(s[j])))
+                        if len(best) >= k or want == len(s):
+                            break
+                        want = min(len(s), 4 * want)
+                    out += best[:k]
+        return pa.table([pa.array(c, f.type) for c, f in zip(list(zip(*out, strict=True)) or [()] * 4, schema, strict=True)], schema=schema)
+
+    met = left.groupBy("_q", "_b").cogroup(right.groupBy("_d", "_c")).applyInArrow(product, f"query_id {kinds}, base_id {dict(base.dtypes)['id']}, label string, sim double")
+    if label:
+        one = Window.partitionBy("query_id", "label").orderBy(F.desc("sim"), "base_id")
+        met = met.withColumn("_k", F.row_number().over(one)).where("_k = 1").drop("_k")
     w = Window.partitionBy("query_id").orderBy(F.desc("sim"), "base_id")
-    return sims.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    out = met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return out if label else out.drop("label")
 
 
 def seed_entities(records: DataFrame, order: list[str]) -> DataFrame:
@@ -92,19 +132,89 @@ def resolve_by_id(records: DataFrame, entities: DataFrame) -> DataFrame:
     return records.where(valid_fein(F.col("employer_fein"))).join(e, "employer_fein").select("record_id", "entity_id")
 
 
-def resolve(names: DataFrame, entities: DataFrame, theta: float = 0.85, vector_layer: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """(id, entity_id, layer) of names (id, name, fein, state): employer id, then trigrams, then vectors; the first match wins."""
+def resolve_by_vector(names: DataFrame, entities: DataFrame, max_distance: float = 0.15, encoder: Encoder | None = None) -> DataFrame:
+    """(id, entity_id) of names (id, name) whose nearest entity by name is at most max_distance away by cosine. No blocking."""
+    encode = encoder or embed
+    q = encode(names.select("name").where("name IS NOT NULL").distinct(), "name").select(F.col("name").alias("id"), "v")
+    e = encode(entities.where("canonical_name IS NOT NULL").select("id", "canonical_name"), "canonical_name").select("id", "v")
+    near = nearest_vectors(q, e, 1).where(F.round(1 - F.col("sim"), 6) <= max_distance)
+    return names.join(near.select(F.col("query_id").alias("name"), F.col("base_id").alias("entity_id")), "name").select("id", "entity_id")
+
+
+def resolve(names: DataFrame, entities: DataFrame, theta: float = 0.85, vector_layer: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(id, entity_id, layer) of names (id, name, fein, state): employer id, then trigrams, then vectors; the first match wins.
+
+    vector_layer takes the names that are left and the entities, as resolve_by_vector does; without one that layer is left out.
+    """
     e = entities.where("fein IS NOT NULL").select("fein", F.col("id").alias("entity_id"))
     one = names.where(valid_fein(F.col("fein"))).join(e, "fein").groupBy("id").agg(F.min("entity_id").alias("entity_id")).withColumn("layer", F.lit("id"))
     left = names.join(one, "id", "left_anti")
     right = entities.select("id", F.col("canonical_name").alias("name"), F.col("employer_state").alias("state"))
     two = best_match(set_similarity_join(left, right, theta, "state")).select(F.col("left_id").alias("id"), F.col("right_id").alias("entity_id"), F.lit("trigram").alias("layer"))
+    if vector_layer is not None:
+        one, two = cut(one), cut(two)  # each is read twice, and so is what they leave
+        left = cut(names.join(one, "id", "left_anti").join(two, "id", "left_anti"))
     out = one.unionByName(two)
     if vector_layer is not None:
-        out = out.unionByName(vector_layer(left.join(two, "id", "left_anti")).select("id", "entity_id", F.lit("vector").alias("layer")))
+        out = out.unionByName(vector_layer(left, entities).select("id", "entity_id", F.lit("vector").alias("layer")))
     return out
 
 
+def backfill_full(queue: DataFrame, entities: DataFrame, records: DataFrame, theta: float = 0.85, max_distance: float = 0.15, insert: bool = True, encoder: Encoder | None = None) -> dict[str, DataFrame]:
+    """The open rows of a queue (name, state, fein) resolved layer by layer, what no layer knows inserted, and the records written.
+
+    Returns decisions (name, state, entity_id, layer), entities (with the inserted ones, and record_count raised by the records that
+    an entity gained), records (with canonical_employer_id) and stats (layer, n). A blank name is not decided. With insert=False
+    misses stay open. Nothing is written: a dry run only looks at stats. Inserted entities are named by a digest of name and state.
+    """
+    rows = queue.where("trim(name) <> ''").select(F.trim("name").alias("name"), "state", "fein").dropDuplicates(["name", "state"])
+    named = rows.withColumn("id", F.sha2(F.concat_ws("|", F.lower("name"), F.coalesce("state", F.lit(""))), 256))
+    hits = resolve(named, entities, theta, lambda n, e: resolve_by_vector(n, e, max_distance, encoder))
+    decided = named.join(hits, "id", "left")
+    if insert:
+        decided = decided.withColumns({"layer": F.coalesce("layer", F.lit("inserted")), "entity_id": F.coalesce("entity_id", F.col("id").cast(dict(entities.dtypes)["id"]))})
+    decided = cut(decided.where("entity_id IS NOT NULL"))
+    new = decided.where("layer = 'inserted'").groupBy("entity_id").agg(F.min("name").alias("canonical_name"), F.min("state").alias("employer_state"), F.min("fein").alias("fein"))
+    known = entities.select("id", "canonical_name", "employer_state", "fein", (F.col("record_count") if "record_count" in entities.columns else F.lit(0)).cast("long").alias("record_count"))
+    every = known.unionByName(new.select(F.col("entity_id").alias("id"), "canonical_name", "employer_state", "fein", F.lit(0).cast("long").alias("record_count")))
+    written = cut(backfill_by_name(records, decided.select("name", "state", "entity_id")))
+    return {"decisions": decided.select("name", "state", "entity_id", "layer"), "entities": raise_counts(every, records, written), "records": written, "stats": decided.groupBy("layer").agg(F.count("*").alias("n"))}
+
+
+def raise_counts(entities: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """entities with record_count raised by the records that have their id after, but not before."""
+    count = lambda df, sign: df.where("canonical_employer_id IS NOT NULL").groupBy(F.col("canonical_employer_id").alias("id")).agg((sign * F.count("*")).alias("_n"))
+    gained = count(after, 1).unionAll(count(before, -1)).groupBy("id").agg(F.sum("_n").alias("_n"))
+    return entities.join(gained, "id", "left").withColumn("record_count", F.coalesce("record_count", F.lit(0)) + F.greatest(F.coalesce("_n", F.lit(0)), F.lit(0))).drop("_n")
+
+
+def unresolved_decisions(queue: DataFrame, entities: DataFrame, records: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(records, entities, queue) after a log of decisions on open rows of the queue (id, name, state, fein, resolved_at, resolved_to_id).
+
+    decisions: decision_id, id, action, entity_id, name, decided_at; the latest on a row counts. merge takes a known entity and
+    leaves the row open if there is none; create takes the entity that has the row's employer id, else inserts one with the given
+    name or the row's own; reject closes the row without an entity. merge and create write the entity's id to records without one by
+    lower-cased name and, if the row has one, state; the entity's record_count grows by as many.
+    """
+    kind = dict(entities.dtypes)["id"]
+    d = latest(decisions, ["id"]).select("id", "action", F.col("entity_id").alias("_to"), F.trim(F.col("name")).alias("_name"), F.col("decided_at").alias("_at"))
+    rows = queue.where("resolved_at IS NULL").select("id", "name", "state", "fein").join(d, "id")
+    merged = rows.where("action = 'merge'").join(entities.select(F.col("id").alias("_to")).distinct(), "_to", "left_semi")
+    by_fein = entities.where("fein IS NOT NULL").groupBy("fein").agg(F.min("id").alias("_known"))
+    made = rows.where("action = 'create'").drop("_to").join(by_fein, "fein", "left")
+    digest = F.sha2(F.concat_ws("|", F.lit("queue"), F.coalesce("fein", F.col("id").cast("string"))), 256).cast(kind)
+    made = made.withColumns({"_to": F.coalesce("_known", digest), "_name": F.coalesce("_name", F.trim("name"))})
+    first = F.min(F.struct("id", F.col("_name").alias("canonical_name"), F.col("state").alias("employer_state"), "fein"))
+    new = made.where("_known IS NULL").groupBy("_to").agg(first.alias("f")).select(F.col("_to").alias("id"), "f.canonical_name", "f.employer_state", "f.fein", F.lit(0).cast("long").alias("record_count"))
+    done = merged.select("id", "name", "state", "_to", "_at").unionByName(made.select("id", "name", "state", "_to", "_at"))
+    written = backfill_by_name(records, done.select("name", "state", F.col("_to").alias("entity_id")))
+    every = raise_counts(entities.select("id", "canonical_name", "employer_state", "fein", F.col("record_count").cast("long").alias("record_count")).unionByName(new), records, written)
+    closed = done.select("id", "_to", "_at").unionByName(rows.where("action = 'reject'").select("id", F.lit(None).cast(kind).alias("_to"), "_at"))
+    out = queue.join(closed.withColumn("_done", F.lit(True)), "id", "left")
+    out = out.withColumns({"resolved_at": F.coalesce("resolved_at", "_at"), "resolved_to_id": F.when(F.col("_done"), F.col("_to")).otherwise(F.col("resolved_to_id"))}).drop("_to", "_at", "_done")
+    return written, every, out
+
+
 def unresolved_queue(records: DataFrame, order: list[str]) -> DataFrame:
     """Misses by normalized name and state, with hits, first record and first known id."""
     rows = records.where("canonical_employer_id IS NULL").withColumns({"name_norm": F.lower("employer_name"), "state_norm": F.coalesce("employer_state", F.lit(""))})
@@ -130,16 +240,42 @@ def backfill_by_name(records: DataFrame, resolved: DataFrame) -> DataFrame:
 
 
 def similar_entities(entities: DataFrame, name: str, state: str | None = None, floor: float = 0.3, limit: int = 20) -> DataFrame:
-    """Ranked candidates for a name; entities without a state pass any state."""
+    """Ranked candidates for a name, of equally similar ones those with more records first; entities without a state pass any state."""
     rows = entities.where(F.col("employer_state").isNull() | (F.col("employer_state") == state)) if state else entities
     rows = rows.withColumn("sim", jaccard(trigrams(F.col("canonical_name")), trigrams(F.lit(name)))).where(F.col("sim") >= floor)
-    return rows.orderBy(F.desc("sim"), "id").limit(limit)
+    records = [F.desc_nulls_last("record_count")] if "record_count" in entities.columns else []
+    return rows.orderBy(F.desc("sim"), *records, "id").limit(limit)
+
+
+def layer_mix(entities: DataFrame, queue: DataFrame) -> DataFrame:
+    """One row: entities with and without an employer id, and rows of the queue that were merged or are open."""
+    left = entities.agg(F.count("fein").alias("with_id"), F.count_if(F.col("fein").isNull()).alias("by_name"))
+    right = queue.agg(F.count_if(F.col("resolved_at").isNotNull() & F.col("resolved_to_id").isNotNull()).alias("merged"), F.count_if(F.col("resolved_at").isNull()).alias("open"))
+    return left.join(right)  # one row each
 
 
 def embed(rows: DataFrame, text: str, dim: int = 64) -> DataFrame:
-    """Unit vectors of hashed trigrams: the default encoder, JVM-side. Any function of frames with the same columns can replace it."""
-    grams = trigrams(F.col(text))
-    slots = F.transform(grams, lambda g: F.pmod(F.hash(g), F.lit(dim)))
-    v = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: F.size(F.filter(slots, lambda s: s == k)).cast("double"))
-    rows = rows.withColumn("_v", v)
-    return rows.withColumn("v", F.transform("_v", lambda x: x / F.greatest(F.sqrt(dot(F.col("_v"), F.col("_v"))), F.lit(1e-12)))).drop("_v")
+    """Unit vectors of hashed trigrams, the default encoder: rows with a column v. Any function of frames with the same columns can
+    replace it. A text without trigrams, null among them, gets zeros.
+
+    Trigrams come from the JVM; the vectors are filled in Arrow batches, so that no later expression computes them again.
+    """
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = np.zeros((batch.num_rows, dim))
+            for k, grams in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                for g in grams or ():
+                    v[k, int(hashlib.md5(g.encode("utf-8", "replace")).hexdigest()[:8], 16) % dim] += 1
+            v /= np.maximum(np.sqrt((v * v).sum(axis=1)), 1e-12)[:, None]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * dim, pa.int32()), pa.array(v.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists], [*batch.schema.names[:-1], "v"])
+
+    rows = rows.drop("v")
+    return rows.withColumn("_g", trigrams(F.col(text))).mapInArrow(fill, StructType([*rows.schema.fields, StructField("v", ArrayType(DoubleType()))]))
+
+
+def embed_pending(entities: DataFrame, vectors: DataFrame, version: str, encoder: Encoder | None = None) -> DataFrame:
+    """vectors (id, v, model_version) and those of the entities that have none of this version yet."""
+    missing = entities.join(vectors.where(F.col("model_version") == version).select("id"), "id", "left_anti")
+    return vectors.select("id", "v", "model_version").unionByName((encoder or embed)(missing, "canonical_name").select("id", "v", F.lit(version).alias("model_version")))

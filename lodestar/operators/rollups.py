@@ -46,11 +46,33 @@ def or_other(f: DataFrame, key: str, top: DataFrame, other: str, out: str) -> Da
     return f.join(t, F.col(key) == F.col("_k"), "left").withColumn(out, F.coalesce("_k", F.lit(other))).drop("_k")
 
 
+def quantiles(rows: DataFrame, keys: list[str], value: str, ps: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
+    """keys, n, q (interpolated quantiles), lo and hi: exact, from counted values.
+
+    Equal values of a group are counted before the shuffle; a running count then finds the two neighbours of each quantile. No
+    group's values are held in memory, as an exact percentile aggregate would.
+    """
+    counts = rows.groupBy(*keys, value).agg(F.count("*").alias("_c"))
+    group = Window.partitionBy(*keys)
+    upto = F.sum("_c").over(group.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counts.withColumn("_to", upto).withColumn("_n", F.sum("_c").over(group))
+    at = lambda k: F.max(F.when((F.col("_to") - F.col("_c") <= k) & (k < F.col("_to")), F.col(value)))
+    place = [(F.col("_n") - 1) * F.lit(p) for p in ps]
+    neighbours = [x for k, w in enumerate(place) for x in (at(F.floor(w)).alias(f"_lo{k}"), at(F.ceil(w)).alias(f"_hi{k}"))]
+    out = ranked.groupBy(*keys).agg(F.first("_n").alias("_n"), *neighbours, F.min(value).alias("lo"), F.max(value).alias("hi"))
+    part = [w - F.floor(w) for w in place]
+    q = [F.when(F.col(f"_lo{k}") == F.col(f"_hi{k}"), F.col(f"_lo{k}")).otherwise((1 - d) * F.col(f"_lo{k}") + d * F.col(f"_hi{k}")) for k, d in enumerate(part)]
+    return out.select(*keys, F.col("_n").alias("n"), F.array(*q).alias("q"), "lo", "hi")
+
+
 def wage_stats(w: DataFrame, *keys: str, value: str = "wage", method: str = "exact") -> DataFrame:
     """n, p25, p50, p75, min and max of the wages inside the gate; percentiles interpolated and rounded half to even."""
-    p = F.percentile if method == "exact" else F.percentile_approx
-    q = p(F.col(value), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = w.where(in_gate(F.col(value))).groupBy(*keys).agg(F.count("*").alias("n"), q.alias("q"), F.min(value).alias("lo"), F.max(value).alias("hi"))
+    rows = w.where(in_gate(F.col(value)))
+    if method == "exact":
+        out = quantiles(rows.select(*keys, value), list(keys), value)
+    else:
+        q = F.percentile_approx(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+        out = rows.groupBy(*keys).agg(F.count("*").alias("n"), q.alias("q"), F.min(value).alias("lo"), F.max(value).alias("hi"))
     whole = lambda c: F.bround(c, 0).cast("int")
     return out.select(*keys, "n", *[whole(F.col("q")[k]).alias(f"p{x}") for k, x in enumerate((25, 50, 75))], F.round("lo", 0).cast("int").alias("min_wage"), F.round("hi", 0).cast("int").alias("max_wage"))
 
@@ -88,9 +110,10 @@ def employer_growth(f: DataFrame, k: int = 300) -> DataFrame:
 
 
 def wage_premium(w: DataFrame) -> DataFrame:
-    rows = w.where(in_gate(F.col("wage")) & (F.col("pw") > 0) & F.col("soc_code").isNotNull()).withColumn("ratio", F.col("wage") / F.col("pw"))
-    q = F.percentile("ratio", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = rows.groupBy("soc_code").agg(F.count("*").alias("n"), q.alias("q"), F.count_if(F.col("ratio").between(0.98, 1.02)).alias("near_floor"))
+    """Quartiles of the offered by the prevailing wage, and how many are near 1."""
+    rows = w.where(in_gate(F.col("wage")) & (F.col("pw") > 0) & F.col("soc_code").isNotNull()).select("soc_code", (F.col("wage") / F.col("pw")).alias("ratio"))
+    near = rows.groupBy("soc_code").agg(F.count_if(F.col("ratio").between(0.98, 1.02)).alias("near_floor"))
+    out = quantiles(rows, ["soc_code"], "ratio").join(near, "soc_code")
     return out.select("soc_code", "n", *[F.round(F.col("q")[k], 3).alias(f"ratio_p{x}") for k, x in enumerate((25, 50, 75))], "near_floor")
 
 
@@ -120,6 +143,12 @@ def site_yearly(f: DataFrame) -> DataFrame:
     return count_by(f, "filing_year").join(w, "filing_year", "left").join(dims, "filing_year", "left")
 
 
+def site_kpis(f: DataFrame) -> DataFrame:
+    """One row: filings, the latest year, and the rounded mean of the yearly median wages."""
+    y = site_yearly(f)
+    return y.agg(F.sum("filings").alias("filings"), F.max("filing_year").alias("last_year"), F.round(F.avg("median_wage"), 0).cast("long").alias("mean_median_wage"))
+
+
 def confidence_distribution(f: DataFrame) -> DataFrame:
     return count_by(f.where("soc_source = 'stage2'"), bucketize(F.col("soc_confidence")).alias("bucket"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -50,3 +50,29 @@ def review_decisions(records: DataFrame, decisions: DataFrame, key: str) -> tupl
     })
     gone = out.where(F.coalesce(reject, F.lit(False))).select(key, F.lit("operator_reject").alias("error"))
     return out.drop("_a", "_c"), gone
+
+
+def quarantine_decisions(quarantine: DataFrame, records: DataFrame, decisions: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(records, quarantine) after a log of decisions on open rows of the quarantine (id, the record's keys, reprocessed_at).
+
+    decisions: decision_id, id, action, code, note, decided_at; the latest on a row counts. assign writes the code to the row's
+    record, if it is there, with confidence 1 and source operator; drop writes nothing. Both close the row and leave an audit: the
+    action, the code, the note and whether a record was found. Rows that are closed already stay as they are.
+    """
+    d = latest(decisions, ["id"]).select("id", F.col("action").alias("_a"), F.col("code").alias("_c"), F.col("note").alias("_n"), F.col("decided_at").alias("_at"))
+    d = d.where(F.col("_a").isin("assign", "drop"))
+    open_ = quarantine.where("reprocessed_at IS NULL").select("id", *keys).join(d, "id")
+    found = open_.join(records.select(*keys).distinct().withColumn("_f", F.lit(True)), keys, "left")
+    order = Window.partitionBy(*keys).orderBy(F.desc("_at"), F.desc("id"))  # of several rows on one record the latest writes
+    assigned = found.where("_a = 'assign' AND _f").withColumn("_k", F.row_number().over(order)).where("_k = 1")
+    patch = assigned.select(*keys, F.col("_c").alias("soc_code"), F.lit(1.0).alias("soc_confidence"), F.lit("operator").alias("soc_source"), F.lit(False).alias("requires_review"))
+    audit = F.struct(F.when(F.col("_a") == "assign", "assigned").otherwise("dropped").alias("action"), F.col("_c").alias("code"), F.col("_n").alias("note"), ((F.col("_a") == "assign") & F.coalesce("_f", F.lit(False))).alias("record_found"))
+    closed = found.select("id", F.col("_at"), audit.alias("_audit"))
+    out = quarantine.join(closed, "id", "left").withColumns({"reprocessed_at": F.coalesce("reprocessed_at", "_at"), "audit": F.col("_audit")}).drop("_at", "_audit")
+    return apply_patch(records, patch, keys), out
+
+
+def review_page(records: DataFrame, key: str, where: str, order: list[str | Column], page: int = 1, limit: int = 50) -> DataFrame:
+    """A page of the rows to look at, in a total order; page from 1, limit from 1 to 200."""
+    limit = min(200, max(1, limit))
+    return records.where(where).orderBy(*order, key).offset((max(1, page) - 1) * limit).limit(limit)

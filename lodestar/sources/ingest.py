@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from lodestar.functions.scalar import valid_fein
 
+from .scratch import cut
+
 
 def extract_links(pages: DataFrame, suffix: str, base: str) -> DataFrame:
     """(page_id, url, file_name) of links that end in suffix in any case; relative ones are made absolute."""
@@ -18,6 +20,13 @@ def extract_links(pages: DataFrame, suffix: str, base: str) -> DataFrame:
     return links.select("page_id", url.alias("url")).withColumn("file_name", F.element_at(F.split("url", "/"), -1))
 
 
+def require_links(links: DataFrame) -> DataFrame:
+    """The links themselves; an error if there is none at all, which means that the pages have changed."""
+    if links.isEmpty():
+        raise ValueError("no page has a link of the kind that is looked for")
+    return links
+
+
 def scope_files(links: DataFrame, pattern: str, start_year: int) -> DataFrame:
     """Names that match, from start_year on; the quarter is the fourth unless the name says otherwise."""
     year = F.regexp_extract("file_name", pattern, 1).try_cast("int")
@@ -61,27 +70,58 @@ def with_record_ids(df: DataFrame, keys: list[str], out: str = "_nlp_id") -> Dat
     return df.withColumn(out, F.sha2(F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]), 256))
 
 
-def write_records(df: DataFrame, path: str, first: int = 2000, last: int = 2100, mode: str = "append") -> None:
-    """Parquet by year; years out of range go to one overflow partition."""
+def _by_year(df: DataFrame, first: int, last: int) -> DataFrame:
     part = F.when(F.col("filing_year").between(first, last), F.col("filing_year").cast("string")).otherwise("overflow")
-    df.withColumn("part_year", part).write.mode(mode).partitionBy("part_year").parquet(path)
+    return df.withColumn("part_year", part)
+
+
+def write_records(df: DataFrame, path: str, first: int = 2000, last: int = 2100, mode: str = "append") -> None:
+    """Parquet by year; years out of range, and rows without one, go to one overflow partition."""
+    _by_year(df, first, last).write.mode(mode).partitionBy("part_year").parquet(path)
 
 
-def supersede_year(df: DataFrame, path: str) -> None:
-    """Replace the partitions of the years in df; the others stay."""
-    part = F.col("filing_year").cast("string")
-    df.withColumn("part_year", part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part_year").parquet(path)
+def supersede_year(df: DataFrame, path: str, first: int = 2000, last: int = 2100) -> None:
+    """Replace the rows of the years in df; all other years stay, those that share the overflow partition among them."""
+    spark, new = df.sparkSession, _by_year(df, first, last)
+    outside = new.where("part_year = 'overflow'")
+    if not outside.isEmpty():
+        # The partition is read and overwritten in one job, so what stays is cut off from its files first.
+        years = outside.select(F.col("filing_year").alias("_y")).distinct()
+        old = spark.read.parquet(path).where("part_year = 'overflow'")
+        stays = cut(old.join(years, F.col("filing_year").eqNullSafe(F.col("_y")), "left_anti"))
+        new = new.unionByName(stays, allowMissingColumns=True)
+    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part_year").parquet(path)
 
 
 #: Older names of the canonical keys, in the order in which they are tried.
 ALIASES = (
-    ("PREVAILING_WAGE_1", "PREVAILING_WAGE"), ("WAGE_RATE_OF_PAY_FROM_1", "WAGE_RATE_OF_PAY_FROM"), ("WORKSITE_CITY_1", "WORKSITE_CITY"),
-    ("WORKSITE_STATE_1", "WORKSITE_STATE"), ("PW_WAGE_LEVEL_1", "PW_WAGE_LEVEL"), ("WORK_LOCATION_CITY1", "WORKSITE_CITY"),
-    ("WORK_LOCATION_STATE1", "WORKSITE_STATE"), ("NAIC_CODE", "NAICS_CODE"), ("WAGE_RATE_OF_PAY", "WAGE_RATE_OF_PAY_FROM"),
-    ("SOC_NAME", "SOC_TITLE"), ("LCA_CASE_EMPLOYER_NAME", "EMPLOYER_NAME"), ("LCA_CASE_EMPLOYER_CITY", "EMPLOYER_CITY"),
-    ("LCA_CASE_EMPLOYER_STATE", "EMPLOYER_STATE"), ("LCA_CASE_JOB_TITLE", "JOB_TITLE"), ("LCA_CASE_SOC_CODE", "SOC_CODE"),
-    ("LCA_CASE_SOC_NAME", "SOC_TITLE"), ("LCA_CASE_NAICS_CODE", "NAICS_CODE"), ("STATUS", "CASE_STATUS"), ("PW_1", "PREVAILING_WAGE"), ("PW_UNIT_1", "PW_UNIT_OF_PAY"),
-)
+    ("WORKSITE_CITY_1", "WORKSITE_CITY"),
+    ("WORKSITE_STATE_1", "WORKSITE_STATE"),
+    ("WAGE_RATE_OF_PAY_FROM_1", "WAGE_RATE_OF_PAY_FROM"),
+    ("WAGE_UNIT_OF_PAY_1", "WAGE_UNIT_OF_PAY"),
+    ("PREVAILING_WAGE_1", "PREVAILING_WAGE"),
+    ("PW_UNIT_OF_PAY_1", "PW_UNIT_OF_PAY"),
+    ("PW_WAGE_LEVEL_1", "PW_WAGE_LEVEL"),
+    ("SOC_NAME", "SOC_TITLE"),
+    ("NAIC_CODE", "NAICS_CODE"),
+    ("WAGE_RATE_OF_PAY", "WAGE_RATE_OF_PAY_FROM"),
+    ("STATUS", "CASE_STATUS"),
+    ("LCA_CASE_EMPLOYER_NAME", "EMPLOYER_NAME"),
+    ("LCA_CASE_EMPLOYER_CITY", "EMPLOYER_CITY"),
+    ("LCA_CASE_EMPLOYER_STATE", "EMPLOYER_STATE"),
+    ("LCA_CASE_JOB_TITLE", "JOB_TITLE"),
+    ("LCA_CASE_SOC_CODE", "SOC_CODE"),
+    ("LCA_CASE_SOC_NAME", "SOC_TITLE"),
+    ("LCA_CASE_NAICS_CODE", "NAICS_CODE"),
+    ("LCA_CASE_WAGE_RATE_FROM", "WAGE_RATE_OF_PAY_FROM"),
+    ("LCA_CASE_WAGE_RATE_UNIT", "WAGE_UNIT_OF_PAY"),
+    ("LCA_CASE_WORKLOC1_CITY", "WORKSITE_CITY"),
+    ("LCA_CASE_WORKLOC1_STATE", "WORKSITE_STATE"),
+    ("WORK_LOCATION_CITY1", "WORKSITE_CITY"),
+    ("WORK_LOCATION_STATE1", "WORKSITE_STATE"),
+    ("PW_1", "PREVAILING_WAGE"),
+    ("PW_UNIT_1", "PW_UNIT_OF_PAY"),
+)
 
 
 def apply_aliases(df: DataFrame, doc: str = "doc", year: str = "filing_year", aliases: tuple[tuple[str, str], ...] = ALIASES, cutoff: int = 2020) -> DataFrame:
@@ -108,11 +148,12 @@ def apply_aliases(df: DataFrame, doc: str = "doc", year: str = "filing_year", al
 
 
 def header_report(headers: DataFrame, canonical: list[str], aliases: tuple[tuple[str, str], ...] = ALIASES) -> DataFrame:
-    """Per file: headers that are canonical, that have an alias, unknown ones, and canonical ones that are missing."""
+    """Per file: how many headers are canonical and have an alias, and the names of unknown headers and of missing canonical ones."""
     known = F.col("header").isin(canonical)
     alias = F.col("header").isin([a for a, _ in aliases])
-    agg = headers.groupBy("file").agg(F.count_if(known).alias("recognized"), F.count_if(alias & ~known).alias("aliased"), F.count_if(~alias & ~known).alias("unknown"), F.collect_set("header").alias("_h"))
-    return agg.withColumn("missing", F.size(F.array_except(F.array(*map(F.lit, canonical)), "_h"))).drop("_h")
+    odd = F.array_sort(F.collect_set(F.when(~alias & ~known, F.col("header"))))
+    agg = headers.groupBy("file").agg(F.count_if(known).alias("recognized"), F.count_if(alias & ~known).alias("aliased"), odd.alias("unknown"), F.collect_set("header").alias("_h"))
+    return agg.withColumn("missing", F.array_sort(F.array_except(F.array(*map(F.lit, canonical)), "_h"))).drop("_h")
 
 
 def validate_records(df: DataFrame, mode: str = "row") -> tuple[DataFrame, DataFrame]:
@@ -152,10 +193,13 @@ def import_json_lines(lines: DataFrame, schema: str) -> DataFrame:
     return lines.select(F.from_json(F.unbase64("line").cast("string"), schema).alias("r")).select("r.*")
 
 
-def join_case_files(cases: DataFrame, worksites: DataFrame, key: str) -> DataFrame:
-    """One row per case with its worksites nested, in order."""
-    nested = worksites.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*[c for c in worksites.columns if c != key]))).alias("worksites"))
-    return cases.join(nested, key, "left")
+def join_case_files(cases: DataFrame, worksites: DataFrame, key: str, appendix: DataFrame | None = None) -> DataFrame:
+    """One row per case with its worksites nested, in order, and with its wage attestations if an appendix is given."""
+    for name, rows in (("worksites", worksites), ("attestations", appendix)):
+        if rows is not None:
+            nested = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*[c for c in rows.columns if c != key]))).alias(name))
+            cases = cases.join(nested, key, "left")
+    return cases
 
 
 def write_mart(frames: dict[str, DataFrame], path: str, label: str) -> None:
@@ -167,6 +211,12 @@ def read_mart(spark: SparkSession, path: str, label: str, name: str) -> DataFram
     return spark.read.parquet(f"{path}/label={label}/{name}")
 
 
+def mart_labels(spark: SparkSession, path: str, name: str) -> list[str]:
+    """The labels under which a mart table was published, newest first."""
+    files = spark.read.parquet(f"{path}/label=*/{name}").select(F.regexp_extract("_metadata.file_path", "/label=([^/]+)/", 1).alias("label")).distinct()
+    return [r.label for r in files.orderBy(F.desc("label")).collect()]
+
+
 def nlp_projection(df: DataFrame, fields: list[str], doc: str = "doc") -> DataFrame:
     """The classifier's inputs from a map: the upper-case key, else the lower-case one, else the empty string."""
     return df.withColumns({k.lower(): F.coalesce(F.try_element_at(doc, F.lit(k.upper())), F.try_element_at(doc, F.lit(k.lower())), F.lit("")) for k in fields})

@@ -64,7 +64,7 @@ def test_prefix_filter_equals_brute_force(spark):
 def test_knn_blocks_agree(spark, sf):
     e = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
     q = e.where("id % 5 = 0")
-    assert sorted(map(tuple, K.nearest_vectors(q, e, 2).collect())) == sorted(map(tuple, K.nearest_vectors(q, e, 2, max_broadcast=3).collect()))
+    assert sorted(map(tuple, K.nearest_vectors(q, e, 2).collect())) == sorted(map(tuple, K.nearest_vectors(q, e, 2, block=3, chunk=7).collect()))
 
 
 def test_knn_meets_every_other_row(spark, sf):
