@@ -61,7 +61,7 @@ def build(f: DataFrame, entities: DataFrame, titles: DataFrame, state_names: Dat
     stats = lambda *keys: wage_stats(w.where("soc_code IS NOT NULL"), *keys).withColumnRenamed("n", "n_wages")
     on_pages = lambda df: df.join(F.broadcast(occupations.select("soc_code")), "soc_code", "left_semi")
     wages = ["n_wages", F.col("p25").alias("p25_wage"), F.col("p50").alias("p50_wage"), F.col("p75").alias("p75_wage")]
-    occupation = with_title(occupations).withColumn("slug", code_slug(F.coalesce("soc_title", F.lit("")), F.col("soc_code"))).join(stats("soc_code"), "soc_code", "left")
+    occupation = with_title(occupations).withColumn("slug", code_slug(F.col("soc_title"), F.col("soc_code"))).join(stats("soc_code"), "soc_code", "left")
     by_state = stats("soc_code", "worksite_state").where(F.col("n_wages") >= s["state_wages_least"])
     paying = stats("soc_code", "filing_year").where(F.col("n_wages") >= s["paying_least"])
     paying = with_title(top_n_per_group(paying, ["filing_year"], "p50", s["paying"], "soc_code", rank="rank")).join(occupation.select("soc_code", "slug"), "soc_code", "left")

@@ -720,3 +720,136 @@ add(
 )
 add("h02_quarantine_page", on_filings(lambda f: U.review_page(f, "record_id", "soc_code IS NULL", ["filing_year"], 2, 30).select("record_id", "filing_year")), "SELECT record_id, filing_year FROM filings WHERE soc_code IS NULL ORDER BY filing_year, record_id LIMIT 30 OFFSET 30")
 add("h02_unresolved_page", lambda s, d: U.review_page(_queue(filings(s, d)), "id", "resolved_at IS NULL", [F.desc("hits")], 1, 999).select("id", "hits"), f"WITH {_QUEUE} SELECT id, hits FROM qu WHERE resolved_at IS NULL ORDER BY hits DESC, id LIMIT 200")
+
+# --- marts ---------------------------------------------------------------------------------------------------------------
+_SIZES = {"employers": 60, "occupations": 12, "states": 10, "sectors": 4, "list": 4, "state_list": 5, "paying": 8, "paying_least": 5, "state_wages_least": 2}
+
+
+def marts(s: SparkSession, d: str) -> dict[str, DataFrame]:
+    """The mart of the fixture; employers share forty names, so that names and slugs collide."""
+    named = entities(s, d).withColumn("canonical_name", F.concat(F.lit("Employer "), (F.col("id").cast("int") % 40).cast("string")))
+    titles = aliases(s, d).select("soc_code", F.col("job_title").alias("title"))
+    sectors = s.createDataFrame([("33", "Manufacturing"), ("54", "Professional & Technical")], "code string, label string")
+    return M.build(filings(s, d), named, titles, _states(s, d).select("code", F.col("state_name").alias("label")), sectors, _SIZES)
+
+
+_TOP = "SELECT *, CAST(row_number() OVER (PARTITION BY {p} ORDER BY {m} DESC, {k}) AS INT) AS rank FROM ({t}) QUALIFY rank <= {n}"
+
+
+def _top(table: str, part: str, item: str, n: int, metric: str = "filings") -> str:
+    return _TOP.format(t=table, p=part, k=item, n=n, m=metric)
+
+
+def _ranked(table: str, key: str, n: int) -> str:
+    return f"SELECT *, CAST(row_number() OVER (ORDER BY filings DESC, {key}) AS INT) AS rank FROM ({table}) QUALIFY rank <= {n}"
+
+
+_SEC = "substr(naics_code, 1, 2)"
+_slug_sql = "trim(regexp_replace(replace(lower({0}), '&', ' and '), '[^a-z0-9]+', '-', 'g'), '-')"
+_WAGES = "n AS n_wages, p25 AS p25_wage, p50 AS p50_wage, p75 AS p75_wage"
+_MART = f"""WITH ent AS (SELECT id AS canonical_employer_id, 'Employer ' || (CAST(id AS INT) % 40) AS name, employer_state, fein FROM entities), tt AS (SELECT soc_code, min(job_title) AS soc_title FROM aliases GROUP BY 1),
+ occ AS ({_ranked("SELECT soc_code, count(*) AS filings FROM filings WHERE soc_code IS NOT NULL GROUP BY 1", "soc_code", 12)}), stt AS ({_ranked("SELECT worksite_state, count(*) AS filings FROM filings WHERE length(worksite_state) = 2 GROUP BY 1", "worksite_state", 10)}),
+ sec AS ({_ranked(f"SELECT {_SEC} AS sector, count(*) AS filings, count(DISTINCT canonical_employer_id) AS employers FROM filings WHERE length(naics_code) >= 2 GROUP BY 1", "sector", 4)}),
+ se AS (SELECT soc_code, canonical_employer_id, count(*) AS filings FROM filings WHERE soc_code IS NOT NULL AND canonical_employer_id IS NOT NULL GROUP BY 1, 2),
+ ote AS ({_top("SELECT * FROM se WHERE soc_code IN (SELECT soc_code FROM occ)", "soc_code", "canonical_employer_id", 4)}),
+ ste AS (SELECT * FROM (SELECT worksite_state, canonical_employer_id, filings, {pct('filings', 'CAST(total AS BIGINT)')} AS pct, CAST(k AS INT) AS rank FROM (SELECT *, sum(filings) OVER (PARTITION BY worksite_state) AS total, row_number() OVER (PARTITION BY worksite_state ORDER BY filings DESC, canonical_employer_id) AS k
+  FROM (SELECT worksite_state, canonical_employer_id, count(*) AS filings FROM filings WHERE length(worksite_state) = 2 AND canonical_employer_id IS NOT NULL GROUP BY 1, 2)) WHERE k <= 5) WHERE worksite_state IN (SELECT worksite_state FROM stt)),
+ sce AS ({_top(f"SELECT {_SEC} AS sector, canonical_employer_id, count(*) AS filings FROM filings WHERE length(naics_code) >= 2 AND canonical_employer_id IS NOT NULL AND {_SEC} IN (SELECT sector FROM sec) GROUP BY 1, 2", "sector", "canonical_employer_id", 4)}),
+ oc AS (SELECT o.*, name, employer_state, fein FROM ({_OUTCOMES}) o JOIN ent USING (canonical_employer_id)), tp AS ({_ranked("SELECT * FROM oc", "canonical_employer_id", 60)}),
+ td AS (SELECT *, CASE WHEN n = 1 THEN name WHEN st = n AND dst = n THEN name || ' (' || employer_state || ')' WHEN fein IS NOT NULL THEN name || ' (FEIN …' || right(fein, 4) || ')' ELSE name || ' (#' || substr(canonical_employer_id, 1, 6) || ')' END AS display
+  FROM (SELECT *, count(*) OVER w AS n, count(employer_state) OVER w AS st, count(DISTINCT employer_state) OVER w AS dst FROM tp WINDOW w AS (PARTITION BY name))),
+ lk AS (SELECT canonical_employer_id FROM ote UNION SELECT canonical_employer_id FROM ste UNION SELECT canonical_employer_id FROM sce),
+ ev AS (SELECT * EXCLUDE (n, st, dst) FROM td UNION ALL SELECT *, NULL, name FROM oc WHERE canonical_employer_id IN (SELECT canonical_employer_id FROM lk) AND canonical_employer_id NOT IN (SELECT canonical_employer_id FROM tp)),
+ pg AS (SELECT *, CASE WHEN k > 1 THEN sl || '-' || k ELSE sl END AS slug FROM (SELECT *, {_slug_sql.format('name')} AS sl, row_number() OVER (PARTITION BY name ORDER BY coalesce(rank, 2147483647), canonical_employer_id) AS k FROM ev)) """
+_by = lambda expr, key, cond: f"SELECT {expr} AS sector, {key}, count(*) AS filings FROM filings WHERE length(naics_code) >= 2 AND {cond} AND {_SEC} IN (SELECT sector FROM sec) GROUP BY 1, 2"
+_LINK = "SELECT {k}, slug AS employer_slug, display AS canonical_name, x.filings, x.rank FROM {t} x JOIN pg USING (canonical_employer_id)"
+_OCC_SLUG = f"coalesce({_slug_sql.format('soc_title')} || '-', '') || soc_code"
+_MARTS = {
+    "employer": "SELECT pg.* EXCLUDE (name, sl, k, display), display AS canonical_name, first_year, last_year FROM pg LEFT JOIN (SELECT canonical_employer_id, min(filing_year) AS first_year, max(filing_year) AS last_year FROM filings GROUP BY 1) USING (canonical_employer_id)",
+    "employer_top_soc": f"SELECT slug AS employer_slug, soc_code, soc_title, x.filings, x.rank FROM ({_top('SELECT * FROM se', 'canonical_employer_id', 'soc_code', 4)}) x JOIN pg USING (canonical_employer_id) LEFT JOIN tt USING (soc_code)",
+    "employer_yearly": f"SELECT slug AS employer_slug, x.* EXCLUDE (canonical_employer_id) FROM (SELECT canonical_employer_id, filing_year, count(*) AS filings, {OUT} FROM filings WHERE canonical_employer_id IS NOT NULL GROUP BY 1, 2) x JOIN pg USING (canonical_employer_id)",
+    "occupation": f"SELECT soc_code, {_OCC_SLUG} AS slug, soc_title, filings, {_WAGES}, rank FROM occ LEFT JOIN tt USING (soc_code) LEFT JOIN ({_SOC}) USING (soc_code)",
+    "occupation_level": "SELECT soc_code, pw_wage_level, " + _WAGES + " FROM (" + stats("soc_code, pw_wage_level", where="pw_wage_level IN ('I','II','III','IV') AND soc_code IN (SELECT soc_code FROM occ)") + ")",
+    "occupation_top_state": "SELECT soc_code, worksite_state, n AS n_wages, p50 AS p50_wage, rank FROM (" + _top(stats("soc_code, worksite_state", where="soc_code IN (SELECT soc_code FROM occ)", having="HAVING count(*) >= 2"), "soc_code", "worksite_state", 4, "n") + ")",
+    "occupation_top_employer": _LINK.format(k="soc_code", t="ote"),
+    "occupation_yearly": "SELECT soc_code, filing_year, " + _WAGES + " FROM (" + stats("soc_code, filing_year", where="soc_code IN (SELECT soc_code FROM occ)") + ")",
+    "site_top_paying_occ_yearly": "SELECT filing_year, p.soc_code, soc_title, CASE WHEN p.soc_code IN (SELECT soc_code FROM occ) THEN coalesce(" + _slug_sql.format("soc_title") + " || '-', '') || p.soc_code END AS slug, p50 AS p50_wage, n AS n_wages, rank FROM (" + _top(stats("soc_code, filing_year", where="soc_code IS NOT NULL", having="HAVING count(*) >= 5"), "filing_year", "soc_code", 8, "p50") + ") p LEFT JOIN tt USING (soc_code)",
+    "state": f"SELECT worksite_state, {_slug_sql.format('n_name')} || '-' || lower(worksite_state) AS slug, n_name AS name, filings, rank FROM stt JOIN nation ON {_STATES} = worksite_state",
+    "state_top_employer": _LINK.format(k="worksite_state, pct", t="ste"),
+    "state_top_occupation": "SELECT x.*, soc_title FROM (" + _top("SELECT worksite_state, soc_code, count(*) AS filings FROM filings WHERE soc_code IS NOT NULL AND worksite_state IN (SELECT worksite_state FROM stt) GROUP BY 1, 2", "worksite_state", "soc_code", 4) + ") x LEFT JOIN tt USING (soc_code)",
+    "state_yearly": "SELECT worksite_state, filing_year, count(*) AS filings FROM filings WHERE worksite_state IN (SELECT worksite_state FROM stt) GROUP BY 1, 2",
+    "sector": f"SELECT sector, {_slug_sql.format('label')} || '-' || sector AS slug, label, filings, employers, rank FROM (SELECT *, CASE sector WHEN '33' THEN 'Manufacturing' WHEN '54' THEN 'Professional & Technical' ELSE 'Sector ' || sector END AS label FROM sec)",
+    "sector_yearly": f"SELECT {_SEC} AS sector, filing_year, count(*) AS filings FROM filings WHERE length(naics_code) >= 2 AND {_SEC} IN (SELECT sector FROM sec) GROUP BY 1, 2",
+    "sector_top_employer": _LINK.format(k="sector", t="sce"),
+    "sector_top_occupation": "SELECT x.*, soc_title FROM (" + _top(_by(_SEC, "soc_code", "soc_code IS NOT NULL"), "sector", "soc_code", 4) + ") x LEFT JOIN tt USING (soc_code)",
+    "sector_top_state": _top(_by(_SEC, "worksite_state", "worksite_state IS NOT NULL"), "sector", "worksite_state", 4),
+}
+for _name, _body in _MARTS.items():
+    add(f"v18_{_name}", lambda s, d, k=_name: marts(s, d)[k], _MART + _body)
+
+
+def _occupation_documents(s: SparkSession, d: str) -> DataFrame:
+    m = marts(s, d)
+    years = m["occupation_yearly"].select("soc_code", "filing_year", "n_wages", "p50_wage")
+    return M.documents(m["occupation"].select("soc_code", "slug", "filings"), "soc_code", {"employers": (m["occupation_top_employer"].select("soc_code", "rank", "employer_slug", "filings"), ["rank"]), "yearly": (years, ["filing_year"])}, "occupation")
+
+
+_DOCS = f"""SELECT soc_code, to_json({{'slug': slug, 'filings': filings, 'url': '/occupation/' || slug, 'employers': employers, 'yearly': yearly}})::VARCHAR AS doc FROM ({_MARTS['occupation']})
+ JOIN (SELECT soc_code, list({{'rank': rank, 'employer_slug': employer_slug, 'filings': filings}} ORDER BY rank) AS employers FROM ({_MARTS['occupation_top_employer']}) GROUP BY 1) USING (soc_code)
+ JOIN (SELECT soc_code, list({{'filing_year': filing_year, 'n_wages': n_wages, 'p50_wage': p50_wage}} ORDER BY filing_year) AS yearly FROM ({_MARTS['occupation_yearly']}) GROUP BY 1) USING (soc_code)"""
+add("v17_occupation_documents", _occupation_documents, _MART + _DOCS)
+
+
+def _changed(s: SparkSession, d: str) -> DataFrame:
+    docs = _occupation_documents(s, d)
+    before = docs.select("soc_code", F.when(F.col("soc_code") > "15-1020", F.lit("old")).otherwise(F.sha2(F.concat("doc", F.lit("v1")), 256)).alias("hash")).where("soc_code <> '15-1012'")
+    return V.changed_entities(docs, before, "soc_code", "v1").select("soc_code", "hash")
+
+
+add("v21_changed_documents", _changed, _MART + f", dd AS ({_DOCS}) SELECT soc_code, sha256(doc || 'v1') AS hash FROM dd WHERE soc_code > '15-1020' OR soc_code = '15-1012'")
+add(
+    "v20_l05_redirects",
+    lambda s, d: (lambda p: V.redirects(p.select(F.col("p_name").alias("slug")), p.where("p_size > 20").select(F.col("p_name").alias("slug")), p.where("p_size < 10").select(F.col("p_name").alias("slug"), F.concat(F.lit("2020-q"), (F.col("p_size") % 4 + 1).cast("string")).alias("label")), p.where("p_size < 14").groupBy(F.col("p_name").alias("slug")).agg(F.concat(F.lit("/old/"), F.max("p_brand")).alias("target")).union(p.sparkSession.createDataFrame([("gone", "/x")], "slug string, target string"))))(read(s, d, "part").withColumn("p_name", F.concat("p_name", F.col("p_partkey").cast("string")))),
+    """WITH p AS (SELECT *, p_name || p_partkey AS slug FROM part) SELECT slug, CASE WHEN p_size < 10 THEN '/archive/2020-q' || (p_size % 4 + 1) || '/' || slug WHEN p_size < 14 THEN '/old/' || p_brand ELSE '/list' END AS target FROM p WHERE p_size <= 20 UNION ALL SELECT 'gone', '/x'""",
+)
+
+# --- further slices --------------------------------------------------------------------------------------------------------
+_TITLES = "(SELECT soc_code, min(job_title) AS title FROM aliases GROUP BY 1)"
+_titled = lambda s, d, df: df.join(aliases(s, d).groupBy("soc_code").agg(F.min("job_title").alias("title")), "soc_code", "left")
+add("v02_top_sponsors", lambda s, d: R.top_n(R.count_by(filings(s, d).join(entities(s, d).drop("employer_state", "fein"), F.col("canonical_employer_id") == F.col("id")), "id", "canonical_name"), "filings", 20, "id"), "SELECT e.id, e.canonical_name, count(*) AS filings FROM filings f JOIN entities e ON f.canonical_employer_id = e.id GROUP BY 1, 2 ORDER BY 3 DESC, 1 LIMIT 20")
+add("v02_soc_options", lambda s, d: R.top_n(_titled(s, d, R.count_by(filings(s, d).where("soc_code IS NOT NULL"), "soc_code")), "filings", 200, "soc_code"), f"SELECT soc_code, filings, title FROM (SELECT soc_code, count(*) AS filings FROM filings WHERE soc_code IS NOT NULL GROUP BY 1) LEFT JOIN {_TITLES} USING (soc_code) ORDER BY filings DESC, soc_code LIMIT 200")
+add("v02_top_socs", lambda s, d: R.top_n(_titled(s, d, R.count_by(filings(s, d).where("soc_code IS NOT NULL"), "soc_code")), "filings", 12, "soc_code"), f"SELECT soc_code, filings, title FROM (SELECT soc_code, count(*) AS filings FROM filings WHERE soc_code IS NOT NULL GROUP BY 1) LEFT JOIN {_TITLES} USING (soc_code) ORDER BY filings DESC, soc_code LIMIT 12")
+add("v02_filings_by_state", on_filings(lambda f: R.top_n(R.count_by(f.where(S.valid_state(F.col("worksite_state"))), "worksite_state"), "filings", 15, "worksite_state")), "SELECT worksite_state, count(*) AS filings FROM filings WHERE length(worksite_state) = 2 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 15")
+_one = lambda w: w.where("soc_code = '15-1013'")
+add("v03_hr_benchmark", on_waged(lambda w: R.wage_stats(_one(w).where("worksite_state = 'IN'"), "soc_code").select("n", "p25", "p50", "p75")), "SELECT n, p25, p50, p75 FROM (" + stats("soc_code", where="soc_code = '15-1013' AND worksite_state = 'IN'") + ")")
+add("v03_career_ladder", on_waged(lambda w: R.wage_stats(_one(w).where(F.col("pw_wage_level").isin("I", "II", "III", "IV")), "pw_wage_level")), stats("pw_wage_level", where="soc_code = '15-1013' AND pw_wage_level IN ('I','II','III','IV')"))
+for _order, _metric in (("top", "n"), ("best", "p50")):
+    add(f"v03_{_order}_states", on_waged(lambda w, m=_metric: R.top_n(R.wage_stats(_one(w), "worksite_state").select("worksite_state", "n", "p50"), m, 10, "worksite_state")), "SELECT worksite_state, n, p50 FROM (" + stats("worksite_state", where="soc_code = '15-1013'") + f") ORDER BY {_metric} DESC, worksite_state LIMIT 10")
+add(
+    "v05_coverage_ratios",
+    on_filings(lambda f: f.agg(F.count("*").alias("n"), *[S.per_100(F.count_if(F.col(c).isNotNull()), F.count("*")).alias(f"{k}_pct") for k, c in (("classified", "soc_code"), ("resolved", "canonical_employer_id"))])),
+    f"SELECT n, {pct('a', 'n')} AS classified_pct, {pct('b', 'n')} AS resolved_pct FROM (SELECT count(*) AS n, count(soc_code) AS a, count(canonical_employer_id) AS b FROM filings)",
+)
+add("v06_high_withdrawal", on_filings(lambda f: R.employer_outcomes(f).where("filings >= 20").orderBy(F.desc(F.round(F.col("withdrawn_pct") + F.col("certified_withdrawn_pct"), 2)), "canonical_employer_id").limit(25)), f"SELECT * FROM ({_OUTCOMES}) WHERE filings >= 20 ORDER BY round(withdrawn_pct + certified_withdrawn_pct, 2) DESC, canonical_employer_id LIMIT 25")
+_GROWN = ORACLES["v08_growth"]
+QUERIES["v08_shrinking"] = on_filings(lambda f: V.growth(_yearly(f), "canonical_employer_id", "filings", 4, 20).orderBy("growth_pct", "canonical_employer_id").limit(20))
+ORACLES["v08_shrinking"] = f"SELECT * FROM ({_GROWN}) WHERE first_n >= 4 ORDER BY growth_pct, canonical_employer_id LIMIT 20"
+add(
+    "v10_wage_premium",
+    lambda s, d: _titled(s, d, R.wage_premium(R.waged(filings(s, d))).where("n >= 10")).withColumn("near_floor_pct", S.per_100(F.col("near_floor"), F.col("n"))).orderBy("ratio_p50", "soc_code").limit(20),
+    f"SELECT *, {pct('near_floor', 'n')} AS near_floor_pct FROM (SELECT soc_code, count(*) AS n, " + ", ".join(f"round(quantile_cont(r, {p}), 3) AS ratio_p{int(100 * p)}" for p in (0.25, 0.5, 0.75)) + f", count(*) FILTER (r BETWEEN 0.98 AND 1.02) AS near_floor FROM (SELECT *, wage / pw AS r FROM waged WHERE wage BETWEEN 20000 AND 1000000 AND pw > 0 AND soc_code IS NOT NULL) GROUP BY 1 HAVING count(*) >= 10) LEFT JOIN {_TITLES} USING (soc_code) ORDER BY ratio_p50, soc_code LIMIT 20",
+)
+add(
+    "v10_soc_share",
+    lambda s, d: _titled(s, d, R.soc_share_by_year(filings(s, d)).withColumnRenamed("code", "soc_code")),
+    "SELECT x.*, title FROM (SELECT filing_year, code AS soc_code, filings, pct FROM (" + f"""SELECT filing_year, code, filings, {pct('filings', 'CAST(total AS BIGINT)')} AS pct FROM (SELECT *, sum(filings) OVER (PARTITION BY filing_year) AS total FROM (SELECT filing_year, coalesce(t.soc_code, '(other)') AS code, count(*) AS filings
+    FROM filings f LEFT JOIN (SELECT soc_code FROM filings WHERE soc_code IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 10) t ON f.soc_code = t.soc_code WHERE f.soc_code IS NOT NULL GROUP BY 1, 2))""" + f")) x LEFT JOIN {_TITLES} USING (soc_code)",
+)
+add("v19_highest_paying", lambda s, d: R.top_n(_titled(s, d, _wages(R.waged(filings(s, d)), "soc_code").where("n >= 20").select("soc_code", "n", "p50")), "p50", 10, "soc_code"), f"SELECT soc_code, n, p50, title FROM ({_SOC}) LEFT JOIN {_TITLES} USING (soc_code) WHERE n >= 20 ORDER BY p50 DESC, soc_code LIMIT 10")
+add("a27_site_kpis", on_filings(R.site_kpis), "SELECT CAST(sum(filings) AS BIGINT) AS filings, max(filing_year) AS last_year, CAST(round(avg(p50)) AS BIGINT) AS mean_median_wage FROM (SELECT filing_year, count(*) AS filings FROM filings GROUP BY 1) LEFT JOIN (" + stats("filing_year") + ") USING (filing_year)")
+add(
+    "v12_region_counts",
+    lambda s, d: V.region_counts(filings(s, d), {r.code: r.region for r in _states(s, d).where("region <> 'ASIA'").collect()}),
+    f"SELECT region, filings, {pct('filings', 'CAST(total AS BIGINT)')} AS pct FROM (SELECT *, sum(filings) OVER () AS total FROM (SELECT coalesce(r_name, 'Other') AS region, count(*) AS filings FROM filings LEFT JOIN (SELECT {_STATES} AS code, r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name <> 'ASIA') ON code = worksite_state GROUP BY 1))",
+)
+add("f17_like_escape", lambda s, d: read(s, d, "events").select(F.col("event_type").alias("t")).distinct().select("t", S.like_escape(F.concat(F.lit("50%_"), "t", F.lit("\\"))).alias("escaped")), r"SELECT DISTINCT event_type AS t, '50\%\_' || replace(event_type, '_', '\_') || '\\' AS escaped FROM events")
