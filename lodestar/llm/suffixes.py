@@ -192,11 +192,11 @@ def repeated_spans(docs: DataFrame, length: int, block: int) -> DataFrame:
     position = {"p": F.shiftright("q", 24).cast("int"), "lo": (F.shiftright("q", 24) - F.shiftright("q", 12).bitwiseAND(4095)).cast("int")}
     position["hi"] = (position["lo"] + F.col("q").bitwiseAND(4095)).cast("int")
     hits = stored(rows.join(many, "g", "left_semi").select("rid", "h", "e", "f", "q"))
-    runs = stored(hits.groupBy("h", "e", "f").count())
+    # For equal runs one text stands. It is chosen while they are counted, so that no join by bucket is followed by an aggregate.
+    runs = stored(hits.groupBy("h", "e", "f").agg(F.count("*").alias("count"), F.min(F.struct("rid", "q")).alias("one")))
     whole = hits.join(runs.where("count > 1").select("h", "e", "f"), ["h", "e", "f"], "left_semi").select("rid", position["lo"].alias("start"), (position["hi"] + length).alias("stop"))
     mixed = stored(runs.groupBy("h").agg(F.count("*").alias("texts"), F.min("count").alias("least")).where("texts > 1 AND least = 1").select("h", "texts"))
-    texts = hits.join(mixed, "h").groupBy("h", "e", "f").agg(F.first("rid").alias("rid"), F.first("q").alias("q"), F.first("texts").alias("texts"))
-    texts = texts.select("rid", "h", "texts", *[c.alias(n) for n, c in position.items()])  # for equal runs one text stands
+    texts = runs.join(mixed, "h").select("h", "texts", "one.rid", "one.q").select("rid", "h", "texts", *[c.alias(n) for n, c in position.items()])
     wanted = texts.groupBy("rid").agg(F.collect_list(F.struct("h", "p", "lo", "hi", (F.col("texts") > block).alias("hot"))).alias("want"))
     wide = 2 * length - ANCHOR
 
