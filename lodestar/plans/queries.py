@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -725,6 +726,7 @@ add("h02_unresolved_page", lambda s, d: U.review_page(_queue(filings(s, d)), "id
 _SIZES = {"employers": 60, "occupations": 12, "states": 10, "sectors": 4, "list": 4, "state_list": 5, "paying": 8, "paying_least": 5, "state_wages_least": 2}
 
 
+@lru_cache(maxsize=4)  # plans only: nothing is computed before a table is read
 def marts(s: SparkSession, d: str) -> dict[str, DataFrame]:
     """The mart of the fixture; employers share forty names, so that names and slugs collide."""
     named = entities(s, d).withColumn("canonical_name", F.concat(F.lit("Employer "), (F.col("id").cast("int") % 40).cast("string")))

@@ -117,6 +117,76 @@ def test_supersede_keeps_other_years(spark, tmp_path):
     assert {(r.filing_year, r.x) for r in spark.read.parquet(p).collect()} == {(2020, "a"), (2021, "new"), (1900, "c")}
 
 
+def test_supersede_inside_the_overflow_partition(spark, tmp_path):
+    p = str(tmp_path / "r")
+    rows = [(1998, "other"), (1999, "old"), (None, "none"), (2020, "a")]
+    I.write_records(spark.createDataFrame(rows, "filing_year int, x string"), p)
+    I.supersede_year(spark.createDataFrame([(1999, "new"), (2020, "b")], "filing_year int, x string"), p)
+    assert {(r.filing_year, r.x) for r in spark.read.parquet(p).collect()} == {(1998, "other"), (1999, "new"), (None, "none"), (2020, "b")}
+
+
+def test_alias_families(spark):
+    wide = {"PREVAILING_WAGE_1": "95000", "WAGE_RATE_OF_PAY_FROM_1": "110000", "WORKSITE_CITY_1": "Austin", "WORKSITE_STATE_1": "TX", "PW_WAGE_LEVEL_1": "Level II", "WAGE_UNIT_OF_PAY_1": "Year", "PW_UNIT_OF_PAY_1": "Hour"}
+    old = {"STATUS": "CERTIFIED", "LCA_CASE_EMPLOYER_NAME": "Acme", "LCA_CASE_WAGE_RATE_FROM": "60000", "LCA_CASE_WAGE_RATE_UNIT": "Year", "LCA_CASE_WORKLOC1_CITY": "Reno", "LCA_CASE_WORKLOC1_STATE": "NV", "PW_1": "50000", "PW_UNIT_1": "Year"}
+    got = I.apply_aliases(spark.createDataFrame([(2019, wide), (2012, old), (2010, {"WORK_LOCATION_CITY1": "Reno", "WORK_LOCATION_STATE1": "NV"})], "filing_year int, doc map<string,string>")).collect()
+    new = [{k: v for k, v in r.doc.items() if k not in was} for r, was in zip(got, (wide, old, {}), strict=True)]
+    assert new[0] == {"PREVAILING_WAGE": "95000", "WAGE_RATE_OF_PAY_FROM": "110000", "WORKSITE_CITY": "Austin", "WORKSITE_STATE": "TX", "PW_WAGE_LEVEL": "Level II", "WAGE_UNIT_OF_PAY": "Year", "PW_UNIT_OF_PAY": "Hour"}
+    assert new[1] == {"CASE_STATUS": "CERTIFIED", "EMPLOYER_NAME": "Acme", "WAGE_RATE_OF_PAY_FROM": "60000", "WAGE_UNIT_OF_PAY": "Year", "WORKSITE_CITY": "Reno", "WORKSITE_STATE": "NV", "PREVAILING_WAGE": "50000", "PW_UNIT_OF_PAY": "Year"}
+    assert new[2]["WORKSITE_CITY"] == "Reno" and len(I.ALIASES) == 26
+
+
+def test_answers_and_write_back(spark):
+    from lodestar.operators import classify as C
+
+    raw = ['{"choice": 2, "confident": true, "reason": "r"}', 'Sure: {"choice": 1, "confident": true} as asked', "no idea", None, '{"choice": 9, "confident": true}', '{"choice": 1}', "{broken {}"]
+    said = C.parse_answers(spark.createDataFrame([(k, r) for k, r in enumerate(raw)], "id int, raw string"), "id")
+    assert [tuple(r)[1:3] for r in said.orderBy("id").collect()] == [(2, True), (1, True), (0, False), (0, False), (9, True), (1, False), (0, False)]
+    held = spark.createDataFrame([(k, "Cellar Lead" if k == 1 else "Software Engineer II") for k in range(7)], "id int, job_title string")
+    ranked = spark.createDataFrame([(k, j, f"15-100{j}", 1.0 - j / 10) for k in range(7) for j in (1, 2)], "id int, rank int, code string, sim double")
+    answers = {r.id: (r.choice, r.confident) for r in said.collect()}
+
+    def picker(batches):
+        for b in batches:
+            b = b.assign(choice=b["id"].map(lambda k: answers[k][0]).astype("int32"), confident=b["id"].map(lambda k: answers[k][1]))
+            yield b[["id", "choice", "confident"]]
+
+    out = C.adjudicate(held, ranked, "id", picker)
+    got = {r.id: (r.code, r.review_reason, r.resolved) for r in out.collect()}
+    assert got[0] == ("15-1002", None, True) and got[1] == ("15-1001", "short_title_pick", True) and all(not got[k][2] for k in (2, 3, 4, 5, 6))
+    records = held.select("id", F.lit(None).cast("string").alias("soc_code"), F.lit(None).cast("string").alias("soc_source"))
+    after, left = C.write_back(records, held, out, "id")
+    assert {r.id: r.soc_code for r in after.where("soc_code IS NOT NULL").collect()} == {0: "15-1002", 1: "15-1001"} and left.count() == 5
+
+
+def test_compare_names_the_winner(spark):
+    from lodestar.operators import serving as V
+
+    rows = spark.createDataFrame([("x", 1.0, 5.0, 2.0), ("y", 3.0, 5.0, 9.0)], "k string, p double, q double, r double")
+    got = {r.metric: r.winner for r in V.compare(rows, "k", "x", "y", {"p": "high", "q": "high", "r": "low"}).collect()}
+    assert got == {"p": "b", "q": "tie", "r": "a"}
+
+
+def test_running_counts_and_stream_duplicates(spark, tmp_path):
+    src, out = str(tmp_path / "src"), str(tmp_path / "out")
+    spark.sql("SELECT 'a' AS k, timestamp'2024-01-01 00:00:00' AS ts UNION ALL SELECT 'a', timestamp'2024-01-01 00:00:05' UNION ALL SELECT 'b', timestamp'2024-01-01 00:00:09'").coalesce(1).write.parquet(src)
+    stream = lambda: X.stream_ingest(spark, src, "k string, ts timestamp")
+    X.running_counts(stream(), "k", out, str(tmp_path / "c1"), spark).awaitTermination()
+    assert {(r.k, r["count"]) for r in spark.read.parquet(out).collect()} == {("a", 2), ("b", 1)}
+    X.stream_dedup(stream(), "k", "ts", "1 minute").writeStream.format("parquet").option("path", f"{tmp_path}/d").option("checkpointLocation", f"{tmp_path}/c2").trigger(availableNow=True).start().awaitTermination()
+    assert sorted(r.k for r in spark.read.parquet(f"{tmp_path}/d").collect()) == ["a", "b"]
+
+
+def test_links_and_labels(spark, tmp_path):
+    none = spark.createDataFrame([], "page_id long, url string")
+    with pytest.raises(ValueError):
+        I.require_links(none)
+    assert I.require_links(none.union(spark.createDataFrame([(1, "u")], none.schema))).count() == 1
+    for label in ("2020-q1", "2020-q3", "2019-q4"):
+        I.write_mart({"a": spark.range(2)}, f"{tmp_path}/m", label)
+    assert I.mart_labels(spark, f"{tmp_path}/m", "a") == ["2020-q3", "2020-q1", "2019-q4"]
+    assert one(spark, S.label_display(F.lit("2020-q3"))) == "Q3 2020" and one(spark, S.state_slug(F.lit("New York"), F.lit("NY"))) == "new-york-ny" and one(spark, S.sector_slug(F.lit("A & B"), F.lit("54"))) == "a-and-b-54"
+
+
 def test_stream_enrich_once_and_dead_letters(spark, tmp_path):
     src, out, dead = (str(tmp_path / x) for x in ("src", "out", "dead"))
     spark.createDataFrame([("a", 1), ("a", 1), ("b", 2)], "record_id string, v int").coalesce(1).write.parquet(src)
