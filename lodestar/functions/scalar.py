@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,9 +71,23 @@ def bucketize(conf: Column) -> Column:
     return out
 
 
+def _folded() -> tuple[str, str]:
+    """Lower-case letters and digits whose compatibility form, marks left out, is one ASCII letter or digit; and those."""
+    plain = {chr(c): "".join(x for x in unicodedata.normalize("NFKD", chr(c)).lower() if not unicodedata.combining(x)) for c in range(128, 0x10000)}
+    one = {c: p for c, p in plain.items() if len(p) == 1 and p.isascii() and p.isalnum()}
+    return "".join(one), "".join(one.values())
+
+
+_FOLD = _folded()
+
+
 def slugify(s: Column, size: int = 80) -> Column:
-    """Lower case without diacritics, & as and, runs of anything else as one dash."""
-    plain = F.translate(F.lower(s), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
+    """Lower case without diacritics, & as and, runs of anything else as one dash.
+
+    Spark has no NFKD: composed letters go through a table, loose marks are deleted; a character that stands for several letters
+    (a ligature) counts as anything else.
+    """
+    plain = F.translate(F.regexp_replace(F.lower(s), r"\p{M}+", ""), *_FOLD)
     dashed = F.regexp_replace(F.replace(plain, F.lit("&"), F.lit(" and ")), r"[^a-z0-9]+", "-")
     return F.regexp_replace(F.substring(F.regexp_replace(dashed, r"^-+|-+$", ""), 1, size), r"-+$", "")
 
@@ -110,6 +126,13 @@ def short_code(name: Column) -> Column:
     return F.upper(F.substring(F.regexp_replace(F.split(F.trim(name), r"\s+")[0], r"[^A-Za-z0-9]", ""), 1, 12))
 
 
+def short_codes(df: DataFrame, name: str, *order: str, out: str = "code") -> DataFrame:
+    """short_code of each row; the second and later rows of one code, by the order, get ·2, ·3 and so on."""
+    k = F.row_number().over(Window.partitionBy("_code").orderBy(*order))
+    coded = df.withColumn("_code", short_code(F.col(name))).withColumn("_k", k)
+    return coded.withColumn(out, F.when(F.col("_k") > 1, F.concat("_code", F.lit("·"), F.col("_k").cast("string"))).otherwise(F.col("_code"))).drop("_code", "_k")
+
+
 def disambiguate(df: DataFrame, name: str, state: str, fein: str, key: str, out: str = "display") -> DataFrame:
     """Equal names get (state) if every state in the group is there and unique, else (FEIN …last4), else (#id6)."""
     w = Window.partitionBy(name)

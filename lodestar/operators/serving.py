@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.scalar import per_100, slugify
@@ -29,6 +29,23 @@ def share_movers(yearly: DataFrame, key: str, metric: str = "filings", min_volum
     return moved.orderBy(F.desc(F.abs("delta_bp")), key).limit(k).select(key, "now_n", "prev_n", "delta_bp")
 
 
+def entity_kpis(yearly: DataFrame, key: str, metric: str = "filings", min_volume: int = 0, k: int = 5) -> DataFrame:
+    """One row: the total, the number of keys, the share of the k largest, and the key whose share moved most in the last two years."""
+    sums = yearly.groupBy(key).agg(F.sum(metric).alias("n"))
+    leaders = top_n(sums, "n", k, key).agg(F.sum("n").alias("top_n"))
+    totals = sums.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("*").alias("entities"))
+    mover = share_movers(yearly, key, metric, min_volume, 1).agg(F.first(key).alias("mover"), F.first("delta_bp").alias("mover_bp"))
+    return totals.join(leaders).join(mover).select("total", "entities", per_100(F.col("top_n"), F.col("total")).alias("top_share_pct"), "mover", "mover_bp")
+
+
+def in_region(rows: DataFrame, key: str, states: DataFrame, region: str | None = None) -> DataFrame:
+    """Rows whose state lies in a region, all rows without one. states: code, region; a few rows by construction."""
+    if region is None:
+        return rows
+    codes = F.broadcast(states.where(F.col("region") == region).select(F.col("code").alias(key)))
+    return rows.join(codes, key, "left_semi")
+
+
 def donut(rows: DataFrame, key: str, metric: str, k: int = 8, other: str = "Other sectors") -> DataFrame:
     top = F.broadcast(top_n(rows, metric, k, key).select(F.col(key).alias("_k")))
     return rows.join(top, F.col(key) == F.col("_k"), "left").groupBy(F.coalesce("_k", F.lit(other)).alias("slice")).agg(F.sum(metric).alias(metric))
@@ -43,17 +60,28 @@ def compare(df: DataFrame, key: str, a: str, b: str, metrics: dict[str, str]) ->
     return two.withColumn("winner", F.when(rule == "none", F.lit(None).cast("string")).when(F.col("a_value").isNotNull() & F.col("b_value").isNotNull(), lead))
 
 
+def compare_metrics(f: DataFrame, wages: DataFrame, key: str) -> DataFrame:
+    """Per key: filings, filings per employer, share of all filings, and the middle half's spread of wages."""
+    counts = f.groupBy(key).agg(F.count("*").alias("filings"), F.count_distinct("canonical_employer_id").alias("employers"))
+    counts = counts.withColumn("share_pct", per_100(F.col("filings"), F.sum("filings").over(Window.partitionBy()))).where(F.col(key).isNotNull())
+    per = F.floor((2 * F.col("filings") + F.col("employers")) / F.nullif(2 * F.col("employers"), F.lit(0))).alias("per_employer")
+    return counts.join(wages.select(key, "p50", (F.col("p75") - F.col("p25")).alias("spread")), key, "left").select(key, "filings", per, "share_pct", "p50", "spread")
+
+
 def yearly_overlay(yearly: DataFrame, key: str, a: str, b: str) -> DataFrame:
     one = lambda v, n: yearly.where(F.col(key) == v).select("filing_year", F.col("filings").alias(n))
     both = one(a, "a").join(one(b, "b"), "filing_year", "full_outer")
     return both.select("filing_year", F.coalesce("a", F.lit(0)).alias("a"), F.coalesce("b", F.lit(0)).alias("b"))
 
 
-def search(kinds: dict[str, tuple[DataFrame, str]], q: str, k: int = 10) -> DataFrame:
-    """The k largest names per kind that contain q; nothing for fewer than two characters."""
+def search(kinds: dict[str, tuple[DataFrame, str] | tuple[DataFrame, str, Column]], q: str, k: int = 10) -> DataFrame:
+    """The k largest names per kind that contain q, or for which the kind's own condition holds; nothing for fewer than two characters."""
     hits = None
-    for kind, (df, name) in kinds.items():
-        one = df.where(F.lower(name).contains(F.lit(q.lower()))).select(F.lit(kind).alias("kind"), F.col(name).alias("name"), "filings")
+    for kind, (df, name, *also) in kinds.items():
+        found = F.lower(name).contains(F.lit(q.lower()))
+        for condition in also:
+            found = F.coalesce(found, F.lit(False)) | condition
+        one = df.where(found).select(F.lit(kind).alias("kind"), F.col(name).alias("name"), "filings")
         hits = one if hits is None else hits.unionByName(one)
     hits = hits.where(F.lit(len(q.strip()) >= 2))
     return top_n_per_group(hits, ["kind"], "filings", k, "name", rank="rank")
@@ -142,6 +170,24 @@ def scoped_kpis(f: DataFrame, key: str, year: int, outcomes: dict[str, str]) ->
     return f.groupBy(key).agg(scope.alias("scope"), counted(F.lit(True)).alias("filings"), *[counted(F.col("case_status") == v).alias(k) for k, v in outcomes.items()])
 
 
+def scoped_wages(w: DataFrame, key: str, year: int) -> DataFrame:
+    """Per key the wage percentiles and the share of all filings in one year; those of all years where the key has no filing in it."""
+    from .rollups import wage_stats
+
+    rows = w.where(F.col(key).isNotNull())
+    here = rows.where(F.col("filing_year") == year)
+
+    def one(scoped: DataFrame, everything: DataFrame, tag: str) -> DataFrame:
+        total = F.broadcast(everything.agg(F.count("*").alias("n_all")))
+        counts = count_by(scoped, key, out="n_filings").join(total).select(key, per_100(F.col("n_filings"), F.col("n_all")).alias("share_pct"))
+        stats = wage_stats(scoped, key).select(key, "p25", "p50", "p75")
+        return counts.join(stats, key, "left").select(F.col(key), *[F.col(c).alias(f"{c}_{tag}") for c in ("share_pct", "p25", "p50", "p75")])
+
+    both = one(rows, w, "all").join(one(here, w.where(F.col("filing_year") == year), "year"), key, "left")
+    there = F.col("share_pct_year").isNotNull()
+    return both.select(key, F.when(there, "year").otherwise("all").alias("scope"), *[F.when(there, F.col(f"{c}_year")).otherwise(F.col(f"{c}_all")).alias(c) for c in ("share_pct", "p25", "p50", "p75")])
+
+
 def queue_counts(records: DataFrame, threshold: float = 0.7) -> DataFrame:
     """One row: rows to review, rows without a code, rows without an entity."""
     return records.agg(F.count_if(F.col("soc_confidence") < threshold).alias("review"), F.count_if(F.col("soc_code").isNull()).alias("quarantined"), F.count_if(F.col("canonical_employer_id").isNull()).alias("unresolved"))

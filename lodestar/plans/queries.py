@@ -301,22 +301,13 @@ add(
 )
 
 # --- linkage -----------------------------------------------------------------------------------------------------------
-_NAMES = "SELECT doc_id AS id, array_to_string(list_slice(string_split(text, ' '), 1, 3), ' ') AS name, CAST(doc_id % 25 AS STRING) AS state FROM documents WHERE text <> ''"
-
-
-def _names(s: SparkSession, d: str) -> DataFrame:
-    return read(s, d, "documents").where("text <> ''").select(F.col("doc_id").alias("id"), F.array_join(F.slice(F.split("text", " "), 1, 3), " ").alias("name"), (F.col("doc_id") % 25).cast("string").alias("state"))
-
-
 _TRI_U = _tri.format("name").replace("[^a-z0-9]+", r"[^\p{L}\p{N}]+")
-_SIM = f"WITH n AS ({_NAMES}), g AS (SELECT id, state, {_TRI_U} AS g FROM n), p AS (SELECT a.id AS left_id, b.id AS right_id, len(list_intersect(a.g, b.g)) / nullif(len(list_distinct(list_concat(a.g, b.g))), 0)::DOUBLE AS sim FROM g a JOIN g b ON a.state = b.state AND a.id <> b.id) SELECT left_id, right_id, round(sim, 6) AS sim FROM p WHERE sim >= 0.85"
-add("j09_set_similarity_join", lambda s, d: K.set_similarity_join(_names(s, d), _names(s, d), 0.85, "state").where("left_id <> right_id").withColumn("sim", F.round("sim", 6)), _SIM)
-add("j09_similar_texts", lambda s, d: K.similarity_classes(read(s, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("name")), 0.85))
-add(
-    "j10_vector_knn",
-    lambda s, d: K.nearest_vectors(read(s, d, "embeddings").where("vec_id % 10 = 0").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), read(s, d, "embeddings").where("vec_id % 10 <> 0").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), 3),
-    "SELECT query_id, base_id, sim, CAST(k AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, base_id) AS k FROM (SELECT q.vec_id AS query_id, b.vec_id AS base_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS sim FROM embeddings q JOIN embeddings b ON q.vec_id % 10 = 0 AND b.vec_id % 10 <> 0)) WHERE k <= 3",
-)
+# By counting shared grams of every two texts; classes of equal gram sets only name rows.
+_SIM = f"""WITH n AS (SELECT row_number() OVER () AS r, doc_id AS id, text AS name FROM documents), x AS (SELECT r, id, coalesce({_TRI_U}, []) AS g FROM n), u AS (SELECT r, unnest(g) AS t FROM x),
+ p AS (SELECT a.r AS l, b.r AS m, count(*) AS n FROM u a JOIN u b ON a.t = b.t AND a.r <> b.r GROUP BY 1, 2),
+ k AS (SELECT p.l AS r, count(*) AS links FROM p JOIN x a ON a.r = p.l JOIN x b ON b.r = p.m WHERE p.n / (len(a.g) + len(b.g) - p.n)::DOUBLE >= 0.85 GROUP BY 1)
+SELECT id, CASE WHEN len(g) > 0 THEN md5('["' || array_to_string(list_sort(g), '","') || '"]') END AS class_id, coalesce(links, 0) AS links FROM x LEFT JOIN k USING (r)"""
+add("j09_similar_texts", lambda s, d: K.similarity_classes(read(s, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("name")), 0.85), _SIM)
 add(
     "j10_knn_all_rows",
     lambda s, d: (lambda e: K.nearest_vectors(e.where("id % 20 = 0"), e, 3, others=True))(read(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))),
@@ -855,3 +846,56 @@ add(
     f"SELECT region, filings, {pct('filings', 'CAST(total AS BIGINT)')} AS pct FROM (SELECT *, sum(filings) OVER () AS total FROM (SELECT coalesce(r_name, 'Other') AS region, count(*) AS filings FROM filings LEFT JOIN (SELECT {_STATES} AS code, r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name <> 'ASIA') ON code = worksite_state GROUP BY 1))",
 )
 add("f17_like_escape", lambda s, d: read(s, d, "events").select(F.col("event_type").alias("t")).distinct().select("t", S.like_escape(F.concat(F.lit("50%_"), "t", F.lit("\\"))).alias("escaped")), r"SELECT DISTINCT event_type AS t, '50\%\_' || replace(event_type, '_', '\_') || '\\' AS escaped FROM events")
+_LAST_TWO = """g AS (SELECT k, CAST(coalesce(sum(n) FILTER (filing_year = y1), 0) AS BIGINT) AS now_n, CAST(coalesce(sum(n) FILTER (filing_year = y1 - 1), 0) AS BIGINT) AS prev_n FROM y, (SELECT max(filing_year) AS y1 FROM y) WHERE filing_year >= y1 - 1 GROUP BY 1),
+ mv AS (SELECT k, now_n, prev_n, CAST(coalesce(floor(now_n * 10000 / nullif((SELECT sum(now_n) FROM g), 0)), 0) - coalesce(floor(prev_n * 10000 / nullif((SELECT sum(prev_n) FROM g), 0)), 0) AS BIGINT) AS delta_bp FROM g WHERE now_n + prev_n >= 10),
+ tot AS (SELECT k, sum(n) AS n FROM y GROUP BY 1)"""
+_KPIS = f"SELECT CAST(total AS BIGINT) AS total, entities, {pct('top_n', 'total')} AS top_share_pct, (SELECT k FROM mv ORDER BY abs(delta_bp) DESC, k LIMIT 1) AS mover, (SELECT delta_bp FROM mv ORDER BY abs(delta_bp) DESC, k LIMIT 1) AS mover_bp FROM (SELECT CAST(sum(n) AS BIGINT) AS total, count(*) AS entities FROM tot), (SELECT CAST(sum(n) AS BIGINT) AS top_n FROM (SELECT n FROM tot ORDER BY n DESC, k LIMIT 5))"
+add(
+    "v11_entity_kpis",
+    on_filings(lambda f: V.entity_kpis(_yearly(f), "canonical_employer_id", min_volume=10)),
+    f"WITH y AS (SELECT canonical_employer_id AS k, filing_year, filings AS n FROM ({_YEARLY})), {_LAST_TWO} {_KPIS}",
+)
+_STATE_YEARS = lambda s, d: V.in_region(R.count_by(filings(s, d), "worksite_state", "filing_year"), "worksite_state", _states(s, d), "EUROPE")
+_EUROPE = f"y AS (SELECT worksite_state AS k, filing_year, count(*) AS n FROM filings WHERE worksite_state IN (SELECT {_STATES} FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'EUROPE') GROUP BY 1, 2)"
+add("v11_region_kpis", lambda s, d: V.entity_kpis(_STATE_YEARS(s, d), "worksite_state", min_volume=10), f"WITH {_EUROPE}, {_LAST_TWO} {_KPIS}")
+add("v11_region_movers", lambda s, d: V.share_movers(_STATE_YEARS(s, d), "worksite_state", min_volume=10), f"WITH {_EUROPE}, {_LAST_TWO} SELECT k AS worksite_state, now_n, prev_n, delta_bp FROM mv ORDER BY abs(delta_bp) DESC, k LIMIT 12")
+_SHARES = lambda where: f"SELECT worksite_state, {pct('n', 't')} AS share_pct FROM (SELECT worksite_state, count(*) AS n, (SELECT count(*) FROM filings WHERE {where}) AS t FROM filings WHERE worksite_state IS NOT NULL AND {where} GROUP BY 1)"
+_SCOPES = [(tag, where, f"(SELECT worksite_state, share_pct, p25, p50, p75 FROM ({_SHARES(where)}) LEFT JOIN ({stats('worksite_state', where=where)}) USING (worksite_state))") for tag, where in (("a", "true"), ("y", "filing_year = 1995"))]
+add(
+    "v13_scoped_wages",
+    on_waged(lambda w: V.scoped_wages(w, "worksite_state", 1995)),
+    "SELECT a.worksite_state, CASE WHEN y.share_pct IS NULL THEN 'all' ELSE 'year' END AS scope, " + ", ".join(f"CASE WHEN y.share_pct IS NULL THEN a.{c} ELSE y.{c} END AS {c}" for c in ("share_pct", "p25", "p50", "p75")) + f" FROM {_SCOPES[0][2]} a LEFT JOIN {_SCOPES[1][2]} y USING (worksite_state)",
+)
+_METRICS = {"filings": "high", "per_employer": "none", "share_pct": "none", "p50": "high", "spread": "none"}
+add(
+    "v15_compare_metrics",
+    on_waged(lambda w: V.compare(V.compare_metrics(w, _wages(w, "soc_code"), "soc_code"), "soc_code", "15-1013", "15-1011", _METRICS)),
+    f"WITH m AS (SELECT *, CAST((2 * filings + employers) // nullif(2 * employers, 0) AS BIGINT) AS per_employer, {pct('filings', 't')} AS share_pct FROM (SELECT soc_code, count(*) AS filings, count(DISTINCT canonical_employer_id) AS employers, (SELECT count(*) FROM filings) AS t FROM filings GROUP BY 1) LEFT JOIN (SELECT soc_code, p50, p75 - p25 AS spread FROM ({_SOC})) USING (soc_code)), l AS ("
+    + " UNION ALL ".join(f"SELECT soc_code, '{m}' AS metric, CAST({m} AS DOUBLE) AS v, '{r}' AS rule FROM m" for m, r in _METRICS.items())
+    + "), t AS (SELECT metric, rule, max(v) FILTER (soc_code = '15-1013') AS a_value, max(v) FILTER (soc_code = '15-1011') AS b_value FROM l WHERE soc_code IN ('15-1013', '15-1011') GROUP BY 1, 2) SELECT metric, a_value, b_value, CASE WHEN rule = 'none' OR a_value IS NULL OR b_value IS NULL THEN NULL WHEN a_value = b_value THEN 'tie' WHEN a_value > b_value THEN 'a' ELSE 'b' END AS winner FROM t",
+)
+
+
+def _searched(s: SparkSession, d: str, q: str) -> DataFrame:
+    f, like = filings(s, d), lambda c: F.lower(c).contains(q.lower())
+    named = R.count_by(f, "canonical_employer_id").join(entities(s, d), F.col("canonical_employer_id") == F.col("id"))
+    states = R.count_by(f, "worksite_state").join(_states(s, d), F.col("worksite_state") == F.col("code"))
+    sectors = R.count_by(f.withColumn("sector", S.naics2(F.col("naics_code"))).where("sector IS NOT NULL"), "sector").withColumn("label", F.concat(F.lit("Sector "), "sector"))
+    return V.search({"employer": (named, "canonical_name", like("fein")), "occupation": (_titled(s, d, R.count_by(f, "soc_code")), "title", like("soc_code")), "state": (states, "state_name", like("code")), "sector": (sectors, "label", F.col("sector") == q)}, q)
+
+
+for _q in ("13", "or"):
+    add(
+        f"v16_search_{'codes' if _q == '13' else 'names'}",
+        lambda s, d, q=_q: _searched(s, d, q),
+        f"""WITH h AS (SELECT 'employer' AS kind, canonical_name AS name, fein AS other, count(*) AS filings FROM filings f JOIN entities e ON f.canonical_employer_id = e.id GROUP BY e.id, 2, 3
+        UNION ALL SELECT 'occupation', title, soc_code, filings FROM (SELECT soc_code, count(*) AS filings FROM filings GROUP BY 1) LEFT JOIN {_TITLES} USING (soc_code)
+        UNION ALL SELECT 'state', n_name, worksite_state, count(*) FROM filings JOIN nation ON worksite_state = {_STATES} GROUP BY 2, 3
+        UNION ALL SELECT 'sector', 'Sector ' || {_SEC}, CASE WHEN {_SEC} = '{_q}' THEN '{_q}' END, count(*) FROM filings WHERE length(naics_code) >= 2 GROUP BY 2, 3)
+        SELECT kind, name, filings, CAST(k AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY filings DESC, name) AS k FROM h WHERE contains(lower(name), '{_q}') OR contains(lower(other), '{_q}')) WHERE k <= 10""",
+    )
+add(
+    "f19_short_codes",
+    lambda s, d: S.short_codes(read(s, d, "part").select("p_partkey", "p_name"), "p_name", "p_partkey").select("p_partkey", "code"),
+    "SELECT p_partkey, CASE WHEN k > 1 THEN code || '·' || k ELSE code END AS code FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY p_partkey) AS k FROM (SELECT p_partkey, upper(substr(regexp_replace(split_part(p_name, ' ', 1), '[^A-Za-z0-9]', '', 'g'), 1, 12)) AS code FROM part))",
+)

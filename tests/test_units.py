@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import scalar as S
 from lodestar.operators import linkage as K
+from lodestar.operators import serving as V
 from lodestar.operators import upsert as U
 from lodestar.sources import ingest as I
 from lodestar.streaming import jobs as X
@@ -249,3 +250,20 @@ def test_files_in_and_out(spark, tmp_path):
         I.assert_coverage(src, none, 1)
     I.write_mart({"a": src}, f"{tmp_path}/m", "2020-q1")
     assert I.read_mart(spark, f"{tmp_path}/m", "2020-q1", "a").count() == 3
+
+
+def test_slugs_fold_letters_and_marks(spark):
+    rows = [("Žižkov Ltd",), ("Łódź & Söhne",), ("Café ＡＢＣ１",), ("ŐRSÉG",), ("  --  ",), (None,)]
+    got = [r.s for r in spark.createDataFrame(rows, "n string").select(S.slugify(F.col("n")).alias("s")).collect()]
+    assert got == ["zizkov-ltd", "odz-and-sohne", "cafe-abc1", "orseg", "", None]
+
+
+def test_short_codes_number_collisions(spark):
+    rows = [("a", "Acme Inc"), ("b", "ACME-Corp"), ("c", "acme!"), ("d", None), ("e", "Bolt")]
+    got = {r.k: r.code for r in S.short_codes(spark.createDataFrame(rows, "k string, n string"), "n", "k").collect()}
+    assert got == {"a": "ACME", "b": "ACMECORP", "c": "ACME·2", "d": None, "e": "BOLT"}
+
+
+def test_kpis_of_nothing(spark):
+    none = spark.createDataFrame([], "k string, filing_year int, filings long")
+    assert tuple(V.entity_kpis(none, "k").first()) == (0, 0, None, None, None)
