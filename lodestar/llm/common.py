@@ -45,6 +45,19 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Most rows and bytes of an Arrow batch. Each task holds a batch of whole texts several times over, in the JVM's memory beside its
+#: heap and in its Python worker, and neither gives all of it back; the usual 10,000 rows and 64 MB take hundreds of MB an executor.
+BATCH_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1024, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's limits of Arrow batches to BATCH_LIMITS where they are higher or off; lower ones stay."""
+    for key, most in BATCH_LIMITS.items():
+        now = int(str(spark.conf.get(key)).lower().rstrip("b"))
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
+
+
 def n_words(text: Column) -> Column:
     """Words of a text; null and empty texts have none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, stored, table
+from .common import WORD, bounded_batches, cut, stored, table
 from .graph import components
 
 WORDS = 5
@@ -206,6 +206,7 @@ def linked(docs: DataFrame, percent: int, miss: float, step: int, rounds: int, c
 
     Everything between is keyed by classes, numbered anew, so that an id with several texts, or none, loses no link.
     """
+    bounded_batches(docs.sparkSession)
     tests = least_matches(percent / 100, miss, step)
     feat = stored(features(docs, doc_id, text))
     # Results of aggregates are cut off before joins on the same key, so that these read them by a plain shuffle and a large class or

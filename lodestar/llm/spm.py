@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import bounded_batches, table
 
 SPACE = "▁"
 
@@ -228,6 +228,7 @@ def encode_texts(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str
                 cols, names = [*cols, pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(kept) if kept else [], pa.int32()))], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(cols, names)
 
+    bounded_batches(docs.sparkSession)
     return docs.select(doc_id, text).mapInArrow(run, fields)
 
 

@@ -629,3 +629,18 @@ def test_oracles(spark, sf):
 
 def secrets_of(t):
     return brute_secrets(t) or any(re.search(r.pattern, t or "") for r in secrets.MORE)
+
+
+def test_batches_are_bounded_but_never_raised(spark):
+    from lodestar.llm.common import BATCH_LIMITS, bounded_batches
+
+    before = {k: spark.conf.get(k) for k in BATCH_LIMITS}
+    try:
+        for at, want in (("0", 1024), ("10000", 1024), ("7", 7)):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", at)
+            bounded_batches(spark)
+            assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == want
+        assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= 8 << 20
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
