@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, html, langid, minhash, mixing, mtree, quality, secrets, sharding, spm, suffixes
+from . import bpe, html, langid, minhash, mixing, mtree, phrases, quality, secrets, sharding, spm, suffixes
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -15,6 +15,13 @@ QUERIES = {
     "op8_sentencepiece": spm.op8_sentencepiece,
     "op9_html_extraction": html.op9_html_extraction,
     "op10_secrets": secrets.op10_secrets,
+    "op11_phrases": phrases.op11_phrases,
     "op12_bpe": bpe.op12_bpe,
 }
-ORACLES = {"op2_mtree": mtree.SQL, "op4_mixing": mixing.SQL, "op7_sharding": sharding.SQL, "op10_secrets": secrets.SQL}
+ORACLES = {
+    "op2_mtree": mtree.SQL,
+    "op4_mixing": mixing.SQL,
+    "op7_sharding": sharding.SQL,
+    "op10_secrets": secrets.SQL,
+    "op11_phrases": phrases.SQL,
+}
