@@ -325,14 +325,14 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int = 409
     return out.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def integers(embeddings: DataFrame) -> DataFrame:
-    """(id, v) of the vectors without null or non-finite components; each component is floor(256 x), at most
+def integers(embeddings: DataFrame, *carry: str) -> DataFrame:
+    """(id, v) of the vectors without null or non-finite components, and columns to carry; each component is floor(256 x), at most
     9.2e18 away from 0."""
     x = F.col("embedding").cast("array<double>")
     fine = x.isNotNull() & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf"))))
-    rows = embeddings.where(F.col("vec_id").isNotNull()).select("vec_id", x.alias("embedding")).where(fine & (F.size("embedding") > 0))
+    rows = embeddings.where(F.col("vec_id").isNotNull()).select("vec_id", x.alias("embedding"), *carry).where(fine & (F.size("embedding") > 0))
     whole = lambda e: F.floor(F.greatest(F.least(e * 256, F.lit(9.2e18)), F.lit(-9.2e18)))
-    return rows.select(F.col("vec_id").alias("id"), F.transform("embedding", whole).cast("array<long>").alias("v"))
+    return rows.select(F.col("vec_id").alias("id"), F.transform("embedding", whole).cast("array<long>").alias("v"), *carry)
 
 
 def op2_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, html, langid, minhash, mixing, mtree, phrases, quality, secrets, sharding, spm, suffixes
+from . import bpe, html, imi, langid, minhash, mixing, mtree, phrases, quality, secrets, sharding, spm, suffixes
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_secrets": secrets.op10_secrets,
     "op11_phrases": phrases.op11_phrases,
     "op12_bpe": bpe.op12_bpe,
+    "op13_hard_negatives": imi.op13_hard_negatives,
 }
 ORACLES = {
     "op2_mtree": mtree.SQL,
@@ -24,4 +25,5 @@ ORACLES = {
     "op7_sharding": sharding.SQL,
     "op10_secrets": secrets.SQL,
     "op11_phrases": phrases.SQL,
+    "op13_hard_negatives": imi.SQL,
 }
