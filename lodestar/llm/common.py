@@ -58,6 +58,14 @@ def bounded_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like name that df doesn't have, in any spelling."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def n_words(text: Column) -> Column:
     """Words of a text; null and empty texts have none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

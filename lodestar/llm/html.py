@@ -14,10 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .boost import Boosted, train
-from .common import table
+from .common import bounded_batches, table
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
-ATTRIBUTE = re.compile(r"""(?:^|[\s"'])(class|id|role|data-y)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+ATTRIBUTE = re.compile(r"""(?:^|[\s"'])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+#: The label of a node in the layouts that the model is trained on; no page is read for it.
+LABEL = re.compile(r'\bdata-y="([01])"')
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
 #: Elements whose content is no text of the page, whatever is around them.
@@ -57,7 +59,7 @@ class Node:
         self.label, self.silent = None, False
 
 
-def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
+def parse(page: str, labelled: bool = False) -> tuple[list[Node], list[tuple[int, str]]]:
     """Block elements in page order and (node, text) pieces; a None-like piece "" ends a block. Inline elements belong to their block."""
     nodes = [Node("#root", -1, 0, 0)]
     pieces: list[tuple[int, str]] = []
@@ -128,7 +130,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 elif stack[k][0] in SCOPES[tag]:
                     break
         elif block:
-            for k in range(len(stack) - 1, 0, -1):  # any block ends an open paragraph
+            for k in range(len(stack) - 1, 0, -1) if opened["p"] > 0 else ():  # any block ends an open paragraph
                 if stack[k][0] == "p":
                     close(k)
                     break
@@ -145,11 +147,9 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             node = Node(tag, here, parent.depth + 1, len(parent.kids))
             node.silent = parent.silent or tag in SILENT
             for a in ATTRIBUTE.finditer(m[3] or m[6] or ""):
-                value = a[2] or a[3] or a[4] or ""
-                if a[1].lower() == "data-y":
-                    node.label = int(value)
-                else:
-                    node.attrs.update(re.split(r"[^a-z0-9]+", value.lower()))
+                node.attrs.update(re.split(r"[^a-z0-9]+", (a[2] or a[3] or a[4] or "").lower()))
+            if labelled and (y := LABEL.search(m[3] or "")):
+                node.label = int(y[1])
             parent.kids.append(len(nodes))
             nodes.append(node)
             if tag in RAW:
@@ -297,7 +297,7 @@ def layouts(pages: int = 400, seed: int = 11) -> Iterator[str]:
 def fit(pages: int = 400) -> Boosted:
     xs, ys = [], []
     for page in layouts(pages):
-        nodes, _ = parse(page)
+        nodes, _ = parse(page, labelled=True)
         at = [k for k, x in enumerate(nodes) if x.label is not None]
         xs.append(features(nodes)[at])
         ys += [nodes[k].label for k in at]
@@ -316,6 +316,7 @@ def extract(pages: DataFrame, layouts_seen: int = 400, key: str = "page_id", htm
     text. Pages are independent, so repeated rows and an empty table need no care; markup that is cut off or not closed is read as
     far as it goes. Columns text and n_chars of pages are replaced; all others stay.
     """
+    bounded_batches(pages.sparkSession)
     model = pages.sparkSession.sparkContext.broadcast(fit(layouts_seen))
     plain = pages.drop("text", "n_chars")
     schema = ", ".join(f"`{c}` {t}" for c, t in plain.dtypes) + ", text string, n_chars long"

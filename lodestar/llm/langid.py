@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import bounded_batches, cut, table
 
 BITS = 14
 BUCKETS = 1 << BITS
@@ -60,10 +60,12 @@ def fit(rows: DataFrame, max_langs: int = 1000, alpha: float = 0.5) -> tuple[lis
 
     The model has max_langs x BUCKETS numbers at most; a table with more languages than that is refused.
     """
-    counts = rows.mapInArrow(_counts, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    totals = cut(rows.mapInArrow(_counts, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
+    many = totals.where("bucket < 0").count()
+    if many > max_langs:  # before anything is collected
+        raise ValueError(f"{many} languages; at most {max_langs} are supported")
+    counts = totals.toPandas()
     langs = sorted(counts["lang"].unique())
-    if len(langs) > max_langs:
-        raise ValueError(f"{len(langs)} languages; at most {max_langs} are supported")
     code = {x: k for k, x in enumerate(langs)}
     matrix, docs = np.full((BUCKETS, len(langs)), alpha), np.zeros(len(langs))
     column = counts["lang"].map(code).to_numpy(dtype=np.int64)
@@ -134,6 +136,7 @@ def identify(train: DataFrame, docs: DataFrame) -> DataFrame:
     null or has no letter, or nothing was learned. score is the posterior probability. Repeated rows and extra columns change
     nothing; texts of any length are read whole; an empty table gives an empty result.
     """
+    bounded_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(fit(train.where("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang")))
     return docs.select("doc_id", "text").mapInArrow(lambda it: _predict(model.value, it), f"doc_id {dict(docs.dtypes)['doc_id']}, lang_pred string, score double")
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, bounded_batches, cut, stored, table
+from .common import WORD, bounded_batches, cut, stored, table, unused
 from .graph import components
 
 WORDS = 5
@@ -275,14 +275,15 @@ def deduplicated(docs: DataFrame, percent: int = 85, miss: float = 1e-6, step: i
     columns stay; those named like the two are read by name, whatever else the table holds. An empty table stays empty.
     """
     rows, classes = linked(docs, percent, miss, step, rounds, chunk, doc_id, text)
+    key, n = unused(docs, "_row"), unused(docs, "_n")
     same = rows.where("fp IS NOT NULL").groupBy("fp", "row").agg(F.min("id").alias("id"), F.count("*").alias("n"))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("row"), F.col("n")))
-    stay = cut(same.join(classes, "fp").groupBy("comp").agg(first.alias("f")).select(F.col("f.row").alias("_row"), F.col("f.n").alias("_n")))
-    keyed = docs.withColumn("_row", row_key(doc_id, text))
+    stay = cut(same.join(classes, "fp").groupBy("comp").agg(first.alias("f")).select(F.col("f.row").alias(key), F.col("f.n").alias(n)))
+    keyed = docs.withColumn(key, row_key(doc_id, text))
     worded = F.coalesce(F.rlike(F.col(text), F.lit(WORD)), F.lit(False))
-    one = keyed.where(worded).join(stay.where("_n = 1"), "_row", "left_semi")
-    several = keyed.where(worded).join(stay.where("_n > 1"), "_row", "left_semi").dropDuplicates(["_row"])
-    return docs.where(~worded).unionByName(one.drop("_row")).unionByName(several.drop("_row"))
+    one = keyed.where(worded).join(stay.where(F.col(n) == 1), key, "left_semi")
+    several = keyed.where(worded).join(stay.where(F.col(n) > 1), key, "left_semi").dropDuplicates([key])
+    return docs.where(~worded).unionByName(one.drop(key)).unionByName(several.drop(key))
 
 
 def op6_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:

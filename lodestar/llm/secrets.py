@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, table, unused
 
 
 @dataclass(frozen=True)
@@ -95,16 +95,17 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]", doc_id: str = "doc_id", te
     Overlapping spans become one mark. Texts without a span, null ones among them, stay as they are.
     """
     paths, _ = scan(docs.select(doc_id, text).where(F.col(text).isNotNull()), doc_id=doc_id, text=text)
-    found = paths.where(F.size("spans") > 0).select("blob", "spans").groupBy("blob").agg(F.first("spans").alias("_spans"))
-    out = docs.withColumn("_blob", F.sha2(F.col(text).cast("binary"), 256)).join(found.withColumnRenamed("blob", "_blob"), "_blob", "left")
+    blob, spans_ = unused(docs, "_blob"), unused(docs, "_spans")
+    found = paths.where(F.size("spans") > 0).select("blob", "spans").groupBy("blob").agg(F.first("spans").alias(spans_))
+    out = docs.withColumn(blob, F.sha2(F.col(text).cast("binary"), 256)).join(found.withColumnRenamed("blob", blob), blob, "left")
 
     def step(acc: Column, s: Column) -> Column:
         gap = F.when(s["start"] >= acc["at"], F.concat(F.substring(F.col(text), acc["at"].cast("int") + 1, (s["start"] - acc["at"]).cast("int")), F.lit(mark))).otherwise(F.lit(""))
         return F.struct(F.concat(acc["out"], gap).alias("out"), F.greatest(acc["at"], s["stop"]).alias("at"))
 
     first = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at"))
-    clean = F.aggregate("_spans", first, step, lambda acc: F.concat(acc["out"], F.substring(F.col(text), acc["at"].cast("int") + 1, F.length(text))))
-    out = out.withColumn(text, F.when(F.col("_spans").isNull(), F.col(text)).otherwise(clean)).drop("_blob", "_spans")
+    clean = F.aggregate(spans_, first, step, lambda acc: F.concat(acc["out"], F.substring(F.col(text), acc["at"].cast("int") + 1, F.length(text))))
+    out = out.withColumn(text, F.when(F.col(spans_).isNull(), F.col(text)).otherwise(clean)).drop(blob, spans_)
     return out.withColumn("n_chars", F.length(text).cast("long")) if "n_chars" in docs.columns else out
 
 
