@@ -47,12 +47,13 @@ def or_other(f: DataFrame, key: str, top: DataFrame, other: str, out: str) -> Da
 
 
 def quantiles(rows: DataFrame, keys: list[str], value: str, ps: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
-    """keys, n, q (interpolated quantiles), lo and hi: exact, from counted values.
+    """keys, n, q (interpolated quantiles), lo and hi of the values that aren't null: exact, from counted values.
 
     Equal values of a group are counted before the shuffle; a running count then finds the two neighbours of each quantile. No
     group's values are held in memory, as an exact percentile aggregate would.
     """
-    counts = rows.groupBy(*keys, value).agg(F.count("*").alias("_c"))
+    # Nulls count 0 and go by that: a filter on the value itself would be pushed below the count and evaluate it once more there.
+    counts = rows.groupBy(*keys, value).agg(F.count(value).alias("_c")).where("_c > 0")
     group = Window.partitionBy(*keys)
     upto = F.sum("_c").over(group.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
     ranked = counts.withColumn("_to", upto).withColumn("_n", F.sum("_c").over(group))
@@ -67,12 +68,13 @@ def quantiles(rows: DataFrame, keys: list[str], value: str, ps: tuple[float, ...
 
 def wage_stats(w: DataFrame, *keys: str, value: str = "wage", method: str = "exact") -> DataFrame:
     """n, p25, p50, p75, min and max of the wages inside the gate; percentiles interpolated and rounded half to even."""
-    rows = w.where(in_gate(F.col(value)))
+    # The bound variable makes the wage, parsed from text, be evaluated once for both bounds and the result.
+    rows = w.select(*keys, F.transform(F.array(value), lambda a: F.when(in_gate(a), a))[0].alias(value))
     if method == "exact":
-        out = quantiles(rows.select(*keys, value), list(keys), value)
+        out = quantiles(rows, list(keys), value)
     else:
         q = F.percentile_approx(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        out = rows.groupBy(*keys).agg(F.count("*").alias("n"), q.alias("q"), F.min(value).alias("lo"), F.max(value).alias("hi"))
+        out = rows.groupBy(*keys).agg(F.count(value).alias("n"), q.alias("q"), F.min(value).alias("lo"), F.max(value).alias("hi")).where("n > 0")
     whole = lambda c: F.bround(c, 0).cast("int")
     return out.select(*keys, "n", *[whole(F.col("q")[k]).alias(f"p{x}") for k, x in enumerate((25, 50, 75))], F.round("lo", 0).cast("int").alias("min_wage"), F.round("hi", 0).cast("int").alias("max_wage"))
 
@@ -111,8 +113,10 @@ def employer_growth(f: DataFrame, k: int = 300) -> DataFrame:
 
 def wage_premium(w: DataFrame) -> DataFrame:
     """Quartiles of the offered by the prevailing wage, and how many are near 1."""
-    rows = w.where(in_gate(F.col("wage")) & (F.col("pw") > 0) & F.col("soc_code").isNotNull()).select("soc_code", (F.col("wage") / F.col("pw")).alias("ratio"))
-    near = rows.groupBy("soc_code").agg(F.count_if(F.col("ratio").between(0.98, 1.02)).alias("near_floor"))
+    pair = F.transform(F.array(F.struct("wage", "pw")), lambda x: F.when(in_gate(x["wage"]) & (x["pw"] > 0), x["wage"] / x["pw"]))[0]
+    rows = w.where("soc_code IS NOT NULL").select("soc_code", pair.alias("ratio"))
+    near = rows.groupBy("soc_code", "ratio").agg(F.count("ratio").alias("_c")).where("_c > 0")
+    near = near.groupBy("soc_code").agg(F.sum(F.when(F.col("ratio").between(0.98, 1.02), F.col("_c")).otherwise(0)).alias("near_floor"))
     out = quantiles(rows, ["soc_code"], "ratio").join(near, "soc_code")
     return out.select("soc_code", "n", *[F.round(F.col("q")[k], 3).alias(f"ratio_p{x}") for k, x in enumerate((25, 50, 75))], "near_floor")
 
