@@ -16,6 +16,7 @@ from lodestar.operators import marts as M
 from lodestar.operators import rollups as R
 from lodestar.operators import serving as V
 from lodestar.operators import upsert as U
+from lodestar.plans import streams
 from lodestar.sources import ingest as I
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -899,3 +900,7 @@ add(
     lambda s, d: S.short_codes(read(s, d, "part").select("p_partkey", "p_name"), "p_name", "p_partkey").select("p_partkey", "code"),
     "SELECT p_partkey, CASE WHEN k > 1 THEN code || '·' || k ELSE code END AS code FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY p_partkey) AS k FROM (SELECT p_partkey, upper(substr(regexp_replace(split_part(p_name, ' ', 1), '[^A-Za-z0-9]', '', 'g'), 1, 12)) AS code FROM part))",
 )
+
+# --- streams -----------------------------------------------------------------------------------------------------------
+for _q, (_query, _oracle) in streams.QUERIES.items():
+    add(_q, _query, _oracle)

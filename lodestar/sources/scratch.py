@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, written to the session's checkpoint folder and read from there. Only a local session may go without one."""
-    spark = df.sparkSession
+def folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder. Only a local session may go without one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         path = spark.conf.get("spark.checkpoint.dir", None)
@@ -18,4 +18,15 @@ def cut(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             path = tempfile.mkdtemp(prefix="lodestar-")
         sc.setCheckpointDir(path)
+    return sc.getCheckpointDir()
+
+
+def fresh(spark: SparkSession) -> str:
+    """The path of a folder that isn't there yet, in the session's checkpoint folder."""
+    return f"{folder(spark)}/work-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, written to the session's checkpoint folder and read from there."""
+    folder(df.sparkSession)
     return df.checkpoint()
