@@ -152,10 +152,11 @@ def dedup_slugs(df: DataFrame, slug: str, rank: str, out: str = "slug_unique") -
 
 
 def trigrams(s: Column) -> Column:
-    """Distinct padded 3-grams of the lower-cased words of a name."""
-    words = F.filter(F.split(F.lower(s), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    grams = F.transform(words, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.substring(F.concat(F.lit("  "), w, F.lit(" ")), i, F.lit(3))))
-    return F.array_distinct(F.flatten(grams))
+    """Distinct padded 3-grams of the lower-cased words of a name, in order of their first occurrence."""
+    words = F.array_distinct(F.filter(F.split(F.lower(s), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
+    # Words, each with two blanks before and one behind, a blank apart: no run of three that mixes two words has one of these forms.
+    padded = F.concat(F.lit("  "), F.array_join(words, "   "), F.lit(" "))
+    return F.array_distinct(F.regexp_extract_all(padded, F.lit(r"(?=(  \S| \S\S| \S |\S\S\S|\S\S ))"), F.lit(1)))
 
 
 def jaccard(a: Column, b: Column) -> Column:

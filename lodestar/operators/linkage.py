@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
@@ -21,28 +21,131 @@ from .upsert import latest, upsert
 Encoder = Callable[[DataFrame, str], DataFrame]
 
 
+#: 64-bit words of a set's bitmap.
+BITMAP = 8
+
+
+def _least_overlap(theta: float, sizes: np.ndarray) -> np.ndarray:
+    """The least overlap of two sets with similarity theta, by the sum of their sizes."""
+    return np.ceil(theta / (1 + theta) * sizes - 1e-9)
+
+
+def _prefix_rows(theta: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each set (r, side, block, grams by rarity, as hashes) a row for each gram of its prefix: place, size and bitmap."""
+    for batch in batches:
+        out: list[tuple] = []
+        for r, side, block, grams in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3), strict=True):
+            g = grams.values.to_numpy()
+            n = len(g)
+            many = n - int(np.ceil(theta * n - 1e-9)) + 1
+            bit = g.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - 9)
+            odd = (np.bincount(bit.astype(np.int64), minlength=64 * BITMAP) & 1).astype(np.uint8)
+            out.append((g[:many], many, r, side, block, n, np.packbits(odd).tobytes()))
+        reps = np.array([x[1] for x in out], np.int64)
+        each = lambda k, t: pa.array([x[k] for x in out], t).take(pa.array(np.repeat(np.arange(len(out)), reps)))  # noqa: E731, B023
+        places = np.concatenate([np.arange(x[1]) for x in out]) if out else np.zeros(0, np.int64)
+        keys = np.concatenate([x[0] for x in out]) if out else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(places, pa.int32()), each(2, pa.int64()), each(3, pa.int32()), each(4, pa.int64()), each(5, pa.int32()), each(6, pa.binary())], ["g", "place", "r", "side", "block", "size", "bits"])
+
+
+def _met(theta: float, across: bool, group: pa.Table) -> pa.Table:
+    """Pairs of a posting, or of two of its chunks, that size, places and bitmaps leave."""
+    g, lo, hi, c, place, r, side, size = (group.column(k).to_numpy() for k in ("g", "lo", "hi", "c", "place", "r", "side", "size"))
+    block, free = group.column("block").fill_null(0).to_numpy(), group.column("block").is_null().to_numpy()
+    bits = np.frombuffer(b"".join(group.column("bits").to_pylist()), np.uint64).reshape(-1, BITMAP)
+    order = np.lexsort((size, hi, lo, g))
+    edges = np.flatnonzero(np.diff(g[order], prepend=g[order[:1]] - 1) | np.diff(lo[order], prepend=-1) | np.diff(hi[order], prepend=-1)).tolist() if len(order) else []
+    found: list[np.ndarray] = []
+    for start, stop in zip(edges, [*edges[1:], len(order)], strict=True):
+        at = order[start:stop]
+        if len(at) < 2:
+            continue
+        sizes, places, two = size[at], place[at], lo[at[0]] != hi[at[0]]
+        for k in range(0, len(at), 256):  # sizes rise, so partners of these rows are among the rows up to the largest size allowed
+            x = at[k : k + 256]
+            end = int(np.searchsorted(sizes, sizes[min(k + 255, len(at) - 1)] / theta + 1e-9, "right"))
+            y, sy = at[k:end], sizes[k:end]
+            sx, both = size[x][:, None], size[x][:, None] + sy
+            need = _least_overlap(theta, both)
+            ok = (np.minimum(sx - place[x][:, None], sy - places[k:end]) >= need) & (np.arange(len(x))[:, None] < np.arange(len(y)))
+            if two:
+                ok &= c[x][:, None] != c[y]
+            if across:
+                ok &= side[x][:, None] != side[y]
+                # A left row without a block may meet all, a right one only such.
+                left = side[x][:, None] == 0
+                ok &= (block[x][:, None] == block[y]) & ~free[x][:, None] & ~free[y] | np.where(left, free[x][:, None], free[y])
+            i, j = np.nonzero(ok)
+            if len(i):
+                apart = np.bitwise_count(bits[x[i]] ^ bits[y[j]]).sum(axis=1)
+                good = apart <= both[i, j] - 2 * need[i, j]
+                i, j = x[i[good]], y[j[good]]
+                swap = side[i] > side[j] if across else r[i] > r[j]
+                found.append(np.column_stack([np.where(swap, r[j], r[i]), np.where(swap, r[i], r[j])]))
+    pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+    return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+
+
+def similarity_candidates(sets: DataFrame, theta: float, across: bool, chunk: int = 4096) -> DataFrame:
+    """Pairs (a, b) of sets (r, side, block, grams) that may reach similarity theta, among them all that do.
+
+    Grams are ordered by how rare they are, and only the n - ceil(theta n) + 1 rarest of each set have postings. Two sets of a posting
+    are compared by size, by the places of the gram (at the first gram that they share nothing before it can match, and what follows
+    bounds the overlap), and by bitmaps of 512 parities, which differ in no more bits than the sets in grams. Only pairs that pass all
+    of this leave a task. A posting of more than `chunk` sets is cut, and each two of its chunks are a group of their own; short ones
+    share groups. With across, pairs are of side 0 and side 1, in one block; else of any two rows.
+    """
+    counts = sets.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count("*").alias("n"))
+    ordered = sets.select("r", F.explode("grams").alias("g")).join(counts, "g").groupBy("r").agg(F.array_sort(F.collect_list(F.struct("n", "g"))).alias("o"))
+    rows = sets.select("r", "side", "block").join(ordered, "r").select("r", "side", "block", F.transform("o", lambda x: x["g"]).alias("grams"))
+    postings = cut(rows.mapInArrow(lambda it: _prefix_rows(theta, it), "g long, place int, r long, side int, block long, size int, bits binary"))
+    many = postings.groupBy("g").agg(F.count("*").alias("n")).where("n > 1")
+    many = cut(many.select("g", F.ceil(F.col("n") / chunk).cast("int").alias("chunks"), "n"))
+    packs = max(1, -(-(many.agg(F.sum("n")).first()[0] or 0) // (8 * chunk)))
+    near = postings.join(many.select("g", "chunks"), "g").withColumn("c", F.pmod(F.xxhash64("r"), F.col("chunks")).cast("int")).withColumn("d", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    pack = F.when(F.col("chunks") == 1, F.pmod(F.xxhash64("g"), F.lit(packs))).otherwise(F.xxhash64("g", F.least("c", "d"), F.greatest("c", "d")))
+    near = near.select(pack.alias("pack"), "g", F.least("c", "d").alias("lo"), F.greatest("c", "d").alias("hi"), "c", "place", "r", "side", "block", "size", "bits")
+    return near.groupBy("pack").applyInArrow(lambda t: _met(theta, across, t), "a long, b long").distinct()
+
+
+def _verified(pairs: DataFrame, left: DataFrame, right: DataFrame, theta: float) -> DataFrame:
+    """(left_id, right_id, sim) of the candidates whose full sets reach theta."""
+    side = lambda df, c, s: df.select(F.col("r").alias(c), F.col("id").alias(f"{s}_id"), F.col("grams").alias(f"{s}_g"))
+    # The sets make the work, not the few bytes of a pair: without a number of partitions they would be put together again.
+    pairs = cut(pairs)
+    both = pairs.repartition(max(1, -(-pairs.count() // 5000)), "a", "b").join(side(left, "a", "left"), "a").join(side(right, "b", "right"), "b")
+    shared = F.size(F.array_intersect("left_g", "right_g"))
+    met = both.select("left_id", "right_id", (F.size("left_g") + F.size("right_g")).alias("total"), shared.alias("shared"))
+    return met.select("left_id", "right_id", (F.col("shared") / (F.col("total") - F.col("shared"))).alias("sim")).where(F.col("sim") >= theta)
+
+
+def _sets(df: DataFrame, side: int, block: Column) -> DataFrame:
+    """r (a number of its own), id, side, block and grams, as 64-bit hashes, of each row that has some. A million different grams hold
+    two of one hash with a probability of 3e-8."""
+    grams = F.col("grams") if "grams" in df.columns else trigrams(F.col("name"))
+    codes = F.transform(grams, lambda g: F.xxhash64(g))
+    rows = df.select("id", F.lit(side).alias("side"), block.alias("block"), codes.alias("grams")).where(F.size("grams") > 0)
+    return cut(rows.withColumn("r", F.monotonically_increasing_id()))
+
+
 def set_similarity_join(left: DataFrame, right: DataFrame, theta: float, block: str | None = None) -> DataFrame:
     """(left_id, right_id, sim) of all names with trigram similarity of at least theta. Frames: id, name and the block column.
 
-    Grams are ordered by how rare they are over both sides, and only the n - ceil(theta n) + 1 rarest of each name meet in an equi
-    join, with a length filter; what meets is verified on the full sets. Blocking by state alone would be skewed towards a few
-    states, while rare grams spread. A null block on the left means any; a null block on the right meets null only.
+    A null block on the left means any; a null block on the right meets null only. Names without grams meet nothing; ids may repeat,
+    and each row is joined for itself.
     """
-    side = lambda df, s: df.select(F.col("id").alias(f"{s}_id"), trigrams(F.col("name")).alias(f"{s}_g"), *([F.col(block).alias(f"{s}_b")] if block else [])).where(F.size(f"{s}_g") > 0)
-    a, b = side(left, "left"), side(right, "right")
-    counts = a.select(F.explode("left_g").alias("g")).unionAll(b.select(F.explode("right_g").alias("g"))).groupBy("g").agg(F.count("*").alias("n"))
+    key = F.xxhash64(block) if block else F.lit(0).cast("long")
+    key = F.when(F.col(block).isNotNull(), key) if block else key
+    a, b = _sets(left, 0, key), _sets(right, 1, key)
+    both = a.withColumn("r", F.col("r") * 2).unionByName(b.withColumn("r", F.col("r") * 2 + 1))
+    met = similarity_candidates(both, theta, True).select(F.shiftright("a", 1).alias("a"), F.shiftright("b", 1).alias("b"))
+    return _verified(met, a, b, theta)
 
-    def prefix(df: DataFrame, s: str) -> DataFrame:
-        ordered = df.select(f"{s}_id", f"{s}_g", F.explode(f"{s}_g").alias("g")).join(counts, "g").groupBy(f"{s}_id").agg(F.array_sort(F.collect_list(F.struct("n", "g"))).alias("o"))
-        size = F.size("o")
-        rare = F.slice("o", 1, (size - F.ceil(F.lit(theta) * size) + 1).cast("int"))
-        return ordered.select(f"{s}_id", size.alias(f"{s}_n"), F.explode(F.transform(rare, lambda x: x["g"])).alias("g"))
 
-    met = prefix(a, "left").join(prefix(b, "right"), "g").where((F.col("left_n") >= theta * F.col("right_n")) & (F.col("right_n") >= theta * F.col("left_n"))).select("left_id", "right_id").distinct()
-    pairs = met.join(a, "left_id").join(b, "right_id")
-    if block:
-        pairs = pairs.where(F.col("left_b").isNull() | (F.col("left_b") == F.col("right_b")))
-    return pairs.withColumn("sim", jaccard(F.col("left_g"), F.col("right_g"))).where(F.col("sim") >= theta).select("left_id", "right_id", "sim")
+def similar_pairs(rows: DataFrame, theta: float) -> DataFrame:
+    """(left_id, right_id, sim) of each two rows (id, and name or grams) with trigram similarity of at least theta, once."""
+    sets = _sets(rows, 0, F.lit(0).cast("long"))
+    return _verified(similarity_candidates(sets, theta, False), sets, sets, theta)
 
 
 def similarity_classes(rows: DataFrame, theta: float) -> DataFrame:
@@ -51,11 +154,13 @@ def similarity_classes(rows: DataFrame, theta: float) -> DataFrame:
     Equal sets are one class, named by a 128-bit digest of the set; only one row of each class is joined, and each pair of classes
     is met once. Rows without grams have no class and no links; ids may be null or repeat.
     """
-    grams = F.array_sort(trigrams(F.col("name")))
-    rows = rows.select("id", "name", F.when(F.size(grams) > 0, F.md5(F.to_json(grams))).alias("class_id"))
-    classes = rows.where("class_id IS NOT NULL").groupBy("class_id").agg(F.min("name").alias("name"), F.count("*").alias("n"))
-    reps = classes.select(F.col("class_id").alias("id"), "name")
-    met = set_similarity_join(reps, reps, theta).where("left_id < right_id")
+    # Grams cost more than their texts' bytes suggest, so rows are spread first.
+    spread = rows.select("id", "name").repartition(rows.sparkSession.sparkContext.defaultParallelism)
+    named = spread.select("id", F.array_sort(trigrams(F.col("name"))).alias("grams"))
+    rows = cut(named.select("id", F.when(F.size("grams") > 0, F.md5(F.to_json("grams"))).alias("class_id"), "grams"))
+    classes = cut(rows.where("class_id IS NOT NULL").groupBy("class_id").agg(F.first("grams").alias("grams"), F.count("*").alias("n")))
+    met = cut(similar_pairs(classes.select(F.col("class_id").alias("id"), "grams"), theta))
+    rows, classes = rows.drop("grams"), classes.drop("grams")
     both = met.select(F.col("left_id").alias("class_id"), F.col("right_id").alias("other")).unionAll(met.select("right_id", "left_id"))
     beside = both.join(classes.select(F.col("class_id").alias("other"), F.col("n").alias("m")), "other").groupBy("class_id").agg(F.sum("m").alias("m"))
     links = classes.join(beside, "class_id", "left").select("class_id", (F.col("n") - 1 + F.coalesce("m", F.lit(0))).alias("links"))
