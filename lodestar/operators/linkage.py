@@ -9,12 +9,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from lodestar.functions.scalar import dot, jaccard, trigrams, valid_fein
 from lodestar.sources.scratch import cut
 
+from .nearest import nearest_vectors
 from .upsert import latest, upsert
 
 #: Adds a column v of vectors for a text column: any function of frames with the signature of embed.
@@ -172,57 +172,6 @@ def best_match(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
 
 
-def nearest_vectors(queries: DataFrame, base: DataFrame, k: int, block: int = 2048, chunk: int = 8192, digits: int = 6, others: bool = False, label: str | None = None) -> DataFrame:
-    """(query_id, base_id, sim, rank): the k nearest vectors by cosine. Frames: id, v.
-
-    Queries are dealt to blocks and the base to chunks; each pair of them is one matrix product, which gives on the k best per query.
-    others leaves a query's own id out. With label (a column of base) only the best row of each label counts, and is returned with
-    it. Ties go to the smaller id. Vectors that are null or zero, and rows of another dimension than the query's, take no part.
-    """
-    kinds, lab = dict(queries.dtypes)["id"], F.col(label).cast("string") if label else F.lit(None).cast("string")
-    fine = lambda df, *more: df.select("id", F.col("v").cast("array<double>").alias("v"), *more).where("v IS NOT NULL AND exists(v, x -> x <> 0) AND forall(v, x -> x IS NOT NULL)")
-    q, b = fine(queries), fine(base, lab.alias("label"))
-    blocks, chunks = max(1, -(-q.count() // block)), max(1, -(-b.count() // chunk))
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    left = q.withColumn("_q", F.monotonically_increasing_id() % blocks).withColumn("_b", every(chunks))
-    right = b.select(F.col("id").alias("base_id"), F.col("v").alias("base_v"), "label").withColumn("_c", F.monotonically_increasing_id() % chunks).withColumn("_d", every(blocks))
-    schema = pa.schema([("query_id", to_arrow_type(queries.schema["id"].dataType)), ("base_id", to_arrow_type(base.schema["id"].dataType)), ("label", pa.string()), ("sim", pa.float64())])
-
-    def product(asked: pa.Table, rows: pa.Table) -> pa.Table:
-        out: list[tuple] = []
-        rows = rows.select(["base_id", "base_v", "label"]).rename_columns(["id", "v", "label"])
-        sizes = lambda t: np.diff(t.column("v").combine_chunks().offsets.to_numpy())
-        for dim in np.intersect1d(sizes(asked), sizes(rows)).tolist():
-            t, u = (x.filter(pa.array(sizes(x) == dim)) for x in (asked, rows))
-            x, y = (z.column("v").combine_chunks().flatten().to_numpy().reshape(-1, dim) for z in (t, u))
-            x, y = (z / np.sqrt((z * z).sum(axis=1))[:, None] for z in (x, y))
-            ids, labels = u.column("id").to_pylist(), u.column("label").to_pylist()
-            for at in range(0, len(x), 256):
-                sims = np.round(x[at : at + 256] @ y.T, digits)
-                for own, s in zip(t.column("id").slice(at, 256).to_pylist(), sims, strict=True):
-                    want = min(len(s), k + 1)
-                    while True:  # more are looked at while labels repeat or the own id is among them
-                        near = np.flatnonzero(s >= np.partition(s, len(s) - want)[len(s) - want])
-                        best, seen = [], set()
-                        for j in sorted(near.tolist(), key=lambda j: (-s[j], ids[j])):  # noqa: B023
-                            if not (others and ids[j] == own) and (label is None or labels[j] not in seen):
-                                seen.add(labels[j])
-                                best.append((own, ids[j], labels[j], float(s[j])))
-                        if len(best) >= k or want == len(s):
-                            break
-                        want = min(len(s), 4 * want)
-                    out += best[:k]
-        return pa.table([pa.array(c, f.type) for c, f in zip(list(zip(*out, strict=True)) or [()] * 4, schema, strict=True)], schema=schema)
-
-    met = left.groupBy("_q", "_b").cogroup(right.groupBy("_d", "_c")).applyInArrow(product, f"query_id {kinds}, base_id {dict(base.dtypes)['id']}, label string, sim double")
-    if label:
-        one = Window.partitionBy("query_id", "label").orderBy(F.desc("sim"), "base_id")
-        met = met.withColumn("_k", F.row_number().over(one)).where("_k = 1").drop("_k")
-    w = Window.partitionBy("query_id").orderBy(F.desc("sim"), "base_id")
-    out = met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return out if label else out.drop("label")
-
-
 def seed_entities(records: DataFrame, order: list[str]) -> DataFrame:
     """One entity per valid employer id: named by its first record, counted over all."""
     rows = records.where(valid_fein(F.col("employer_fein")))

@@ -69,3 +69,51 @@ def test_common_postings_are_cut_and_few_candidates_leave(spark):
     for chunk in (16, 4096):
         met = {tuple(sorted((ids[r.a], ids[r.b]))) for r in K.similarity_candidates(sets, 0.85, False, chunk).collect()}
         assert truth <= met and len(met) < 300 * 299 / 2 / 20
+
+
+def brute_nearest(queries, base, k, others=False, label=False):
+    import numpy as np
+
+    out = []
+    for i, q in queries:
+        if q is None or not any(q):
+            continue
+        sims = []
+        for j, v, lab in base:
+            if v is not None and any(v) and len(v) == len(q) and not (others and i == j):
+                x, y = np.array(q, float), np.array(v, float)
+                sims.append((-round(float(x @ y / np.sqrt(x @ x) / np.sqrt(y @ y)), 6) or 0.0, j, lab))
+        best, seen = [], set()
+        for s, j, lab in sorted(sims):
+            if not label or lab not in seen:
+                seen.add(lab)
+                best.append((i, j, -s))
+        out += best[:k]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("label", [None, "label"])
+def test_chunks_left_out_change_nothing(spark, label):
+    rng = random.Random(7)
+    centres = [[rng.gauss(0, 1) for _ in range(5)] for _ in range(12)]
+    near = lambda c: [round(x + rng.gauss(0, 0.05), 3) for x in c]
+    base = [(k, near(centres[k % 12]), str(k % 7)) for k in range(400)] + [(400, None, "0"), (401, [0.0] * 5, "0"), (402, [1.0, 2.0], "1"), (403, [2.0, 4.0], "2"), (404, [1.0], "3")]
+    base += [(500 + k, [0.5] * 5, str(k)) for k in range(40)]  # one vector many times
+    queries = [(k, v) for k, v, _ in base[::13]] + [(900, [2.0, 1.0]), (901, None), (902, [0.0] * 5), (903, [1.0] * 9)]
+    frame, asked = spark.createDataFrame(base, "id long, v array<double>, label string"), spark.createDataFrame(queries, "id long, v array<double>")
+    for others in (False, True):
+        want = brute_nearest(queries, base, 3, others, bool(label))
+        for chunk in (10_000, 30):
+            got = K.nearest_vectors(asked, frame, 3, chunk=chunk, others=others, label=label, pivots=20)
+            assert sorted((r.query_id, r.base_id, r.sim) for r in got.collect()) == want
+
+
+def test_bounds_leave_out_most_of_clustered_vectors(spark):
+    rng = random.Random(8)
+    centres = [[rng.gauss(0, 1) for _ in range(16)] for _ in range(30)]
+    base = [(f"b{k}", [x + rng.gauss(0, 0.02) for x in centres[k % 30]], "") for k in range(3000)]
+    queries, count = [(i, v) for i, v, _ in base[::20]], spark.sparkContext.accumulator(0)
+    frame = spark.createDataFrame(base, "id string, v array<double>, label string")
+    got = K.nearest_vectors(frame.where(F.substring("id", 2, 9).cast("int") % 20 == 0), frame, 3, chunk=100, others=True, count=count)
+    assert sorted((r.query_id, r.base_id, r.sim) for r in got.collect()) == brute_nearest(queries, base, 3, True)
+    assert count.value < len(base) * len(queries) / 4
