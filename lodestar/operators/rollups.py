@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,21 +49,30 @@ def or_other(f: DataFrame, key: str, top: DataFrame, other: str, out: str) -> Da
     return f.join(t, F.col(key) == F.col("_k"), "left").withColumn(out, F.coalesce("_k", F.lit(other))).drop("_k")
 
 
-def quantiles(rows: DataFrame, keys: list[str], value: str, ps: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
-    """keys, n, q (interpolated quantiles), lo and hi of the values that aren't null: exact, from counted values.
+def quantiles(rows: DataFrame, keys: list[str], value: str, ps: tuple[float, ...] = (0.25, 0.5, 0.75), fine: int = 256) -> DataFrame:
+    """keys, n, q (interpolated quantiles), lo and hi of the values that aren't null: exact, by prefix sums on two levels.
 
-    Equal values of a group are counted before the shuffle; a running count then finds the two neighbours of each quantile. No
-    group's values are held in memory, as an exact percentile aggregate would.
+    Equal values of a group are counted before the shuffle. Their counts are summed by ranges of the value, `fine` for each factor of e,
+    and a running sum over a group's ranges tells which ranges hold a neighbour of a quantile. Only the values in these are put in
+    order, each range by itself: no task orders all values of a group, however many there are.
     """
     # Nulls count 0 and go by that: a filter on the value itself would be pushed below the count and evaluate it once more there.
     counts = rows.groupBy(*keys, value).agg(F.count(value).alias("_c")).where("_c > 0")
+    v = F.col(value).cast("double")
+    counts = counts.withColumn("_b", F.when(v >= 0, F.floor(F.log1p(v) * fine)).otherwise(-1 - F.floor(F.log1p(-v) * fine)))
     group = Window.partitionBy(*keys)
-    upto = F.sum("_c").over(group.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counts.withColumn("_to", upto).withColumn("_n", F.sum("_c").over(group))
-    at = lambda k: F.max(F.when((F.col("_to") - F.col("_c") <= k) & (k < F.col("_to")), F.col(value)))
+    ranges = counts.groupBy(*keys, "_b").agg(F.sum("_c").alias("_m"), F.min(value).alias("lo"), F.max(value).alias("hi"))
+    upto = F.sum("_m").over(group.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))
+    ranges = ranges.select(*keys, "_b", "_m", (upto - F.col("_m")).alias("_before"), F.sum("_m").over(group).alias("_n"), F.min("lo").over(group).alias("lo"), F.max("hi").over(group).alias("hi"))
     place = [(F.col("_n") - 1) * F.lit(p) for p in ps]
+    held = lambda k: (F.col("_before") <= k) & (k < F.col("_before") + F.col("_m"))
+    wanted = ranges.where(reduce(or_, [held(F.floor(w)) | held(F.ceil(w)) for w in place]))
+    same = reduce(and_, [F.col(f"_k_{c}").eqNullSafe(F.col(c)) for c in (*keys, "_b")])
+    near = wanted.select(*[F.col(c).alias(f"_k_{c}") for c in (*keys, "_b")], "_before", "_n", "lo", "hi").join(counts, same)
+    upto = F.col("_before") + F.sum("_c").over(Window.partitionBy(*keys, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    at = lambda k: F.max(F.when((F.col("_to") - F.col("_c") <= k) & (k < F.col("_to")), F.col(value)))
     neighbours = [x for k, w in enumerate(place) for x in (at(F.floor(w)).alias(f"_lo{k}"), at(F.ceil(w)).alias(f"_hi{k}"))]
-    out = ranked.groupBy(*keys).agg(F.first("_n").alias("_n"), *neighbours, F.min(value).alias("lo"), F.max(value).alias("hi"))
+    out = near.withColumn("_to", upto).groupBy(*keys).agg(F.first("_n").alias("_n"), *neighbours, F.first("lo").alias("lo"), F.first("hi").alias("hi"))
     part = [w - F.floor(w) for w in place]
     q = [F.when(F.col(f"_lo{k}") == F.col(f"_hi{k}"), F.col(f"_lo{k}")).otherwise((1 - d) * F.col(f"_lo{k}") + d * F.col(f"_hi{k}")) for k, d in enumerate(part)]
     return out.select(*keys, F.col("_n").alias("n"), F.array(*q).alias("q"), "lo", "hi")
