@@ -66,7 +66,7 @@ def pattern(unknown: str) -> regex.Pattern:
 class Encoder:
     """Encodes and decodes whole texts; remembers up to `remember` stretches between spaces, then starts anew."""
 
-    def __init__(self, path: str, unknown: str = "", remember: int = 300_000):
+    def __init__(self, path: str, unknown: str = "", remember: int = 1_000_000):
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
         model, before = file["model"], file["pre_tokenizer"]
