@@ -143,9 +143,12 @@ def first_last_year(f: DataFrame, key: str) -> DataFrame:
     return f.groupBy(key).agg(F.min("filing_year").alias("first_year"), F.max("filing_year").alias("last_year"))
 
 
-def wage_lookup(waged: DataFrame, code: str, state: str | None = None, city: str | None = None) -> DataFrame:
+def wage_lookup(waged: DataFrame | None, code: str, state: str | None = None, city: str | None = None, rollup: DataFrame | None = None) -> DataFrame:
+    """Wage percentiles of a code; without state and city from the rollup by code, if there is one, else from the filings."""
     from .rollups import wage_stats
 
+    if rollup is not None and not state and not city:
+        return rollup.where(F.col("soc_code") == code)
     rows = waged.where(F.col("soc_code") == code)
     rows = rows.where(F.col("worksite_state") == state) if state else rows
     return wage_stats(rows.where(F.lower("worksite_city") == city.lower()) if city else rows, "soc_code")

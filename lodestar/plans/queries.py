@@ -15,6 +15,7 @@ from lodestar.operators import linkage as K
 from lodestar.operators import marts as M
 from lodestar.operators import rollups as R
 from lodestar.operators import serving as V
+from lodestar.operators import sketches as H
 from lodestar.operators import upsert as U
 from lodestar.plans import streams
 from lodestar.sources import ingest as I
@@ -901,6 +902,19 @@ add(
     "SELECT p_partkey, CASE WHEN k > 1 THEN code || '·' || k ELSE code END AS code FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY p_partkey) AS k FROM (SELECT p_partkey, upper(substr(regexp_replace(split_part(p_name, ' ', 1), '[^A-Za-z0-9]', '', 'g'), 1, 12)) AS code FROM part))",
 )
 
+# --- sketches ----------------------------------------------------------------------------------------------------------
+_SEEN = "count(*) FILTER (wage BETWEEN 20000 AND 1000000) AS n, true AS p25_ok, true AS p50_ok, true AS p75_ok, true AS employers_ok, true AS codes_ok"
+add(
+    "a05_a07_sketches_by_soc",
+    on_waged(lambda w: H.within(w, H.estimates(H.merged(H.yearly_sketches(w, "soc_code", "worksite_state"), "soc_code"), "soc_code"), "soc_code")),
+    f"SELECT soc_code, count(*) AS filings, {_SEEN} FROM waged WHERE soc_code IS NOT NULL GROUP BY 1",
+)
+add(
+    "a22_v13_sketches_by_state_and_years",
+    on_waged(lambda w: (lambda part: H.within(part, H.estimates(H.merged(H.yearly_sketches(w, "soc_code", "worksite_state"), "worksite_state", years=(1996, 1998)), "worksite_state"), "worksite_state"))(w.where("filing_year BETWEEN 1996 AND 1998"))),
+    f"SELECT worksite_state, count(*) AS filings, {_SEEN} FROM waged WHERE filing_year BETWEEN 1996 AND 1998 GROUP BY 1",
+)
+
 # --- streams -----------------------------------------------------------------------------------------------------------
 for _q, (_query, _oracle) in streams.QUERIES.items():
     add(_q, _query, _oracle)
