@@ -214,14 +214,16 @@ def resolve(names: DataFrame, entities: DataFrame, theta: float = 0.85, vector_l
     return out
 
 
-def backfill_full(queue: DataFrame, entities: DataFrame, records: DataFrame, theta: float = 0.85, max_distance: float = 0.15, insert: bool = True, encoder: Encoder | None = None) -> dict[str, DataFrame]:
+def backfill_full(queue: DataFrame, entities: DataFrame, records: DataFrame, theta: float = 0.85, max_distance: float = 0.15, insert: bool = True, encoder: Encoder | None = None, limit: int = 0) -> dict[str, DataFrame]:
     """The open rows of a queue (name, state, fein) resolved layer by layer, what no layer knows inserted, and the records written.
 
     Returns decisions (name, state, entity_id, layer), entities (with the inserted ones, and record_count raised by the records that
     an entity gained), records (with canonical_employer_id) and stats (layer, n). A blank name is not decided. With insert=False
     misses stay open. Nothing is written: a dry run only looks at stats. Inserted entities are named by a digest of name and state.
+    With a limit only so many rows of the queue are taken, the first by name and state; 0 takes all.
     """
     rows = queue.where("trim(name) <> ''").select(F.trim("name").alias("name"), "state", "fein").dropDuplicates(["name", "state"])
+    rows = cut(rows.orderBy("name", "state").limit(limit)) if limit else rows
     named = rows.withColumn("id", F.sha2(F.concat_ws("|", F.lower("name"), F.coalesce("state", F.lit(""))), 256))
     hits = resolve(named, entities, theta, lambda n, e: resolve_by_vector(n, e, max_distance, encoder))
     decided = named.join(hits, "id", "left")
@@ -329,7 +331,8 @@ def embed(rows: DataFrame, text: str, dim: int = 64) -> DataFrame:
     return rows.withColumn("_g", trigrams(F.col(text))).mapInArrow(fill, StructType([*rows.schema.fields, StructField("v", ArrayType(DoubleType()))]))
 
 
-def embed_pending(entities: DataFrame, vectors: DataFrame, version: str, encoder: Encoder | None = None) -> DataFrame:
-    """vectors (id, v, model_version) and those of the entities that have none of this version yet."""
+def embed_pending(entities: DataFrame, vectors: DataFrame, version: str, encoder: Encoder | None = None, max_rows: int = 0) -> DataFrame:
+    """vectors (id, v, model_version) and those of the entities that have none of this version yet: the first max_rows by id, or all (0)."""
     missing = entities.join(vectors.where(F.col("model_version") == version).select("id"), "id", "left_anti")
+    missing = missing.orderBy("id").limit(max_rows) if max_rows else missing
     return vectors.select("id", "v", "model_version").unionByName((encoder or embed)(missing, "canonical_name").select("id", "v", F.lit(version).alias("model_version")))
