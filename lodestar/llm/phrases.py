@@ -4,14 +4,13 @@ A text is read as one array of bytes. A prefix sum of byte values times powers o
 every word in one subtraction and one product with an inverse power; a second prefix sum, over the words' fingerprints, gives that of
 every n-gram of words inside a piece. Nothing is done word by word.
 
-1. Counters. Every n-gram of one to five words adds to one of `2^bits` counters, about eight for each word of the corpus and 2^MOST_BITS
-   at most. A counter that stays under the least count rules out all n-grams that share it. What tasks send are counters capped at that
-   count, of which sums are still right below it, compressed, in chunks; what returns is one bit for each counter (32 MB at most).
+1. Counters. Every n-gram of one to five words adds to one of the counters: one for each 16 bytes of the corpus, 2^30 at most. A counter that stays under the least count rules out all n-grams that share it. What tasks send are counters capped at that
+   count, of which sums are still right below it, compressed, in chunks; what returns is one bit for each counter (128 MB at most).
 2. Fingerprints. The texts are read again. An n-gram goes on only if its own bit and those of all n-grams inside it are set. Tasks
-   count these by fingerprint and send one row for each, with a pointer to an occurrence: digest of the text, first byte, length.
-3. Verification. Only fingerprints that reach the least count are followed to the text. A fingerprint under which a second, unlike
-   hash differs belongs to several phrases: there, every task's occurrence is read and the counts are summed by text. Each text that
-   a pointer gives is hashed again and must give the fingerprint that led to it.
+   count these by fingerprint, with a pointer to an occurrence (digest of the text, first byte, length), and send sorted blocks that
+   are added up by ranges of fingerprints. Phrases of one fingerprint are told apart by a second, unlike hash.
+3. Verification. Only what reaches the least count is followed to the text. Each phrase that a pointer gives is hashed again and must
+   give both hashes that led to it.
 4. Scores, the containment rule and ranks are joins and aggregates over the frequent phrases.
 """
 
@@ -28,10 +27,13 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, cut, stored, table
 
 MOST_WORDS = 5
-#: Counters of a chunk, and the least and largest number of counters, as powers of two.
-CHUNK_BITS, LEAST_BITS, MOST_BITS = 18, 20, 28
-#: N-grams that a task gathers before it counts and sends them, and bytes and words that are hashed at once.
-HELD, BLOCK = 1 << 22, 1 << 20
+#: Counters of a chunk, and chunks at least and at most.
+CHUNK_BITS, LEAST_CHUNKS, MOST_CHUNKS = 18, 4, 4096
+#: N-grams that a task gathers at least before it counts and sends them (and 8 times as many where there are so many counters that
+#: they would lie thin), and bytes and words that are hashed at once.
+HELD, BLOCK = 1 << 20, 1 << 20
+#: Bytes of the texts that are taken apart at once; a longer text alone.
+PORTION = 1 << 21
 _BASES = np.array([0x9E3779B97F4A7C15, 0xD1342543DE82EF95], np.uint64)  # of bytes, of words; odd, so that they have inverses
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _KINDS = np.zeros(256, np.uint8)
@@ -132,6 +134,16 @@ class Words:
         return first, mixed(out ^ (salts[self.text[first]] + _PLACES[1][size]))
 
 
+def portions(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about PORTION bytes of text."""
+    for batch in batches:
+        if batch.num_rows:
+            at = np.cumsum(pc.binary_length(batch.column(text)).to_numpy(zero_copy_only=False).astype(np.int64)) // PORTION
+            edges = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(edges, edges[1:]):  # noqa: B905
+                yield batch.slice(a, b - a)
+
+
 def salts(langs: pa.Array) -> np.ndarray:
     from xxhash import xxh3_64_intdigest
 
@@ -139,8 +151,13 @@ def salts(langs: pa.Array) -> np.ndarray:
     return np.array([known[x] for x in langs.to_pylist()], np.uint64)
 
 
-def counters(texts: DataFrame, bits: int, least: int, held: int) -> np.ndarray:
-    """One bit for each counter: whether it reaches `least`. texts: lang, text, without nulls."""
+def counter_of(prints: np.ndarray, chunks: int) -> np.ndarray:
+    return (prints >> np.uint64(32)) * np.uint64(chunks << CHUNK_BITS) >> np.uint64(32)
+
+
+def counters(texts: DataFrame, many: int, least: int, held: int) -> np.ndarray:
+    """One bit for each counter of `many` chunks: whether it reaches `least`. texts: lang, text, without nulls."""
+    held = min(max(held, many << (CHUNK_BITS - 2)), 8 * held)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[np.ndarray] = []
@@ -149,7 +166,7 @@ def counters(texts: DataFrame, bits: int, least: int, held: int) -> np.ndarray:
             at, n = np.unique(np.concatenate(parts), return_counts=True)
             parts.clear()
             n = np.minimum(n, least).astype(np.uint8)
-            edges = np.searchsorted(at, np.arange(0, (1 << bits) + 1, 1 << CHUNK_BITS))
+            edges = np.searchsorted(at, np.arange(many + 1) << CHUNK_BITS)
             chunks = np.flatnonzero(np.diff(edges))
             rows = []
             for c in chunks:
@@ -160,10 +177,10 @@ def counters(texts: DataFrame, bits: int, least: int, held: int) -> np.ndarray:
             return pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), pa.array(rows, pa.binary())], ["chunk", "data"])
 
         n = 0
-        for batch in batches:
+        for batch in portions(batches, 1):
             words, salt = Words(batch.column(1), False), salts(batch.column(0))
             for size in range(1, MOST_WORDS + 1):
-                parts.append((words.grams(size, salt, words.prints)[1] >> np.uint64(64 - bits)).astype(np.uint32))
+                parts.append(counter_of(words.grams(size, salt, words.prints)[1], many).astype(np.uint32))
                 n += len(parts[-1])
                 if n >= held:
                     yield sent()
@@ -185,51 +202,97 @@ def counters(texts: DataFrame, bits: int, least: int, held: int) -> np.ndarray:
             yield done()
 
     chunks = texts.mapInArrow(counted, "chunk long, data binary").repartition(F.col("chunk")).sortWithinPartitions("chunk")
-    out = np.zeros((1 << bits) >> 3, np.uint8)
+    out = np.zeros(many << (CHUNK_BITS - 3), np.uint8)
     for r in chunks.mapInArrow(summed, "chunk long, data binary").toLocalIterator():
         size = 1 << (CHUNK_BITS - 3)
         out[r["chunk"] * size : (r["chunk"] + 1) * size] = np.frombuffer(r["data"], np.uint8)
     return out
 
 
+FIELDS = pa.schema([("lang", pa.string()), ("size", pa.int8()), ("print", pa.uint64()), ("check", pa.uint64()), ("key", pa.int64()), ("at", pa.int32()), ("bytes", pa.int32()), ("n", pa.int64())])
 FOUND = "lang string, size int, print long, check long, n long, key long, at long, bytes int"
 
 
-def fingerprints(texts: DataFrame, bits: int, bitmap: np.ndarray, held: int, print_bits: int) -> DataFrame:
-    """Per task and n-gram that the counters leave: its fingerprints, count and a pointer; and (size 0) per language the words."""
-    shared = texts.sparkSession.sparkContext.broadcast(bitmap)
+class Tally:
+    """Rows (print, check, size, lang, key, at, bytes, n) of n-grams, made one for each n-gram when there are many: the counts are
+    added up, and of the pointers that with the least key stays."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bit = shared.value
-        kept: list[tuple] = []
-        names: dict[str, int] = {}
-        n = 0
+    def __init__(self, held: int):
+        self.held, self.parts, self.rows = held, [], 0
+        self.names: dict[str, int] = {}
 
-        def sent() -> pa.RecordBatch:
-            cols = [np.concatenate(c) for c in zip(*kept, strict=True)]
-            kept.clear()
-            order = np.argsort(cols[0], kind="stable")
+    def code(self, langs: list[str]) -> np.ndarray:
+        return np.array([self.names.setdefault(x, len(self.names)) for x in langs], np.int32)
+
+    def add(self, *cols: np.ndarray) -> None:
+        self.parts.append(cols)
+        self.rows += len(cols[0])
+        if self.rows >= 2 * self.held:
+            self.merge()
+
+    def merge(self) -> int:
+        if len(self.parts) > 1 or self.parts and self.rows:
+            cols = [np.concatenate(c) for c in zip(*self.parts, strict=True)]
+            order = np.lexsort((cols[4], cols[1], cols[0]))
             p, c = cols[0][order], cols[1][order]
             first = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (c[1:] != c[:-1])])) if len(p) else np.zeros(0, np.int64)
-            counts = np.add.reduceat(cols[2][order], first) if len(p) else np.zeros(0, np.int64)
-            p, c, _, size, lang, key, at, length = (x[order][first] for x in cols)
+            self.parts = [(*(x[order[first]] for x in cols[:-1]), np.add.reduceat(cols[-1][order], first) if len(p) else cols[-1])]
+            self.rows = len(first)
+        return self.rows
+
+    def taken(self) -> pa.RecordBatch:
+        """All rows, merged; none stay."""
+        self.merge()
+        p, c, size, lang, key, at, length, n = self.parts.pop() if self.parts else (np.zeros(0, np.int64),) * 8
+        self.rows = 0
+        langs = pa.array(list(self.names), pa.string()).take(pa.array(lang.astype(np.int64)))
+        return pa.RecordBatch.from_arrays([langs, *(pa.array(x.astype(f.type.to_pandas_dtype())) for x, f in zip((size, p, c, key, at, length, n), list(FIELDS)[1:], strict=True))], schema=FIELDS)
+
+
+def fingerprints(texts: DataFrame, many: int, bitmap: np.ndarray, least: int, held: int, print_bits: int) -> DataFrame:
+    """Per n-gram that reaches least: its fingerprints, count and a pointer; and (size 0) per language the number of words.
+
+    A task counts its own n-grams first. It sends them in blocks, one for each range of fingerprints; the blocks of a range meet in
+    one task, which adds them up one after the other.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(bitmap)
+
+    def blocks(batch: pa.RecordBatch, part: np.ndarray) -> pa.RecordBatch:
+        order = np.argsort(part, kind="stable")
+        batch, part = batch.take(pa.array(order)), part[order]
+        edges = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
+        data = []
+        for a, b in zip(edges, [*edges[1:], len(part)], strict=True):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, FIELDS, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_batch(batch.slice(a, b - a))
+            data.append(sink.getvalue().to_pybytes())
+        return pa.RecordBatch.from_arrays([pa.array(part[edges], pa.int64()), pa.array(data, pa.binary())], ["part", "data"])
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bit = shared.value
+        here, totals = Tally(held), Tally(held)
+
+        def sent(tally: Tally) -> pa.RecordBatch:
+            batch = tally.taken()
+            prints = batch.column(2).to_numpy()
+            part = ((prints >> np.uint64(32)) * np.uint64(many) >> np.uint64(32)).astype(np.int64)
             if print_bits < 64:
-                p = p & np.uint64((1 << print_bits) - 1)
-            lang = pa.array(list(names), pa.string()).take(pa.array(lang)) if names else pa.array([], pa.string())
-            return pa.RecordBatch.from_arrays([lang, pa.array(size, pa.int32()), pa.array(p.view(np.int64)), pa.array(c.view(np.int64)), pa.array(counts, pa.int64()), pa.array(key), pa.array(at), pa.array(length, pa.int32())], [f.split()[0] for f in FOUND.split(", ")])
+                batch = batch.set_column(2, FIELDS.field(2), pa.array(prints & np.uint64((1 << print_bits) - 1)))
+            return blocks(batch, part)
 
-        for batch in batches:
+        for batch in portions(batches, 1):
             words, salt = Words(batch.column(1), True), salts(batch.column(0))
-            lang = np.array([names.setdefault(x, len(names)) for x in batch.column(0).to_pylist()], np.int64)
+            lang, names = here.code(batch.column(0).to_pylist()), totals.code(batch.column(0).to_pylist())
             key = batch.column(2).to_numpy(zero_copy_only=False)
-            per = np.bincount(lang[words.text], minlength=len(names)) if len(words.text) else np.zeros(0, np.int64)
-            had = np.flatnonzero(per)
-            zero = np.zeros(len(had), np.int64)
-            kept.append((had.astype(np.uint64), zero.astype(np.uint64), per[had], zero, had, zero, zero, zero))
+            n = np.bincount(words.text, minlength=batch.num_rows)
+            some = np.flatnonzero(n)
+            none = np.zeros(len(some), np.int64)
+            totals.add(salt[some], none.astype(np.uint64), none, names[some], none, none, none, n[some])
             ok = np.ones(len(words.starts) + 1, bool)
             for size in range(1, MOST_WORDS + 1):
                 first, prints = words.grams(size, salt, words.prints)
-                at = (prints >> np.uint64(64 - bits)).astype(np.int64)
+                at = counter_of(prints, many).astype(np.int64)
                 good = (bit[at >> 3] >> (7 - (at & 7)) & 1).astype(bool) & ok[first] & ok[first + (size > 1)]
                 first, prints = first[good], prints[good]
                 ok = np.zeros(len(words.starts) + 1, bool)
@@ -240,15 +303,37 @@ def fingerprints(texts: DataFrame, bits: int, bitmap: np.ndarray, held: int, pri
                 for k in range(size):
                     marks = mixed(marks + words.checks[first + k])
                 text, start = words.text[first], words.starts[first]
-                kept.append((prints, marks, np.ones(len(first), np.int64), np.full(len(first), size), lang[text], key[text], start - words.firsts[text], words.ends[first + size - 1] - start))
-                n += len(first)
-                if n >= held:
-                    yield sent()
-                    n = 0
-        if kept:
-            yield sent()
+                place, length = (start - words.firsts[text]).astype(np.int32), (words.ends[first + size - 1] - start).astype(np.int32)
+                here.add(prints, marks, np.full(len(first), size, np.int8), lang[text], key[text], place, length, np.ones(len(first), np.int64))
+            if here.rows >= held and here.merge() >= held:
+                yield sent(here)
+        for tally in (here, totals):
+            if tally.merge():
+                yield sent(tally)
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sums = None, Tally(held)
+
+        def done() -> pa.RecordBatch:
+            t = sums.taken()
+            t = t.filter(pc.or_(pc.greater_equal(t.column("n"), least), pc.equal(t.column("size"), 0)))
+            signed = lambda c: pa.array(t.column(c).to_numpy().view(np.int64))
+            cols = [t.column("lang"), t.column("size").cast(pa.int32()), signed("print"), signed("check"), t.column("n"), t.column("key"), t.column("at").cast(pa.int64()), t.column("bytes")]
+            return pa.RecordBatch.from_arrays(cols, [f.split()[0] for f in FOUND.split(", ")])
+
+        for batch in batches:
+            for part, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if part != now:
+                    if now is not None:
+                        yield done()
+                    now, sums = part, Tally(held)
+                for t in pa.ipc.open_stream(data.as_buffer()):
+                    sums.add(*(t.column(c).to_numpy() for c in ("print", "check", "size")), sums.code(t.column("lang").to_pylist()), *(t.column(c).to_numpy() for c in ("key", "at", "bytes", "n")))
+        if now is not None:
+            yield done()
 
-    return texts.mapInArrow(run, FOUND)
+    sent = texts.mapInArrow(counted, "part long, data binary").repartition(F.col("part")).sortWithinPartitions("part")
+    return sent.mapInArrow(added, FOUND)
 
 
 def checked(found: DataFrame, print_bits: int) -> DataFrame:
@@ -276,25 +361,42 @@ def checked(found: DataFrame, print_bits: int) -> DataFrame:
     return found.select("lang", "size", "print", "check", "phrase", "n").mapInArrow(run, "lang string, size int, phrase string, n long")
 
 
+def pointed(texts: DataFrame, pointers: DataFrame, bits: int = 26) -> DataFrame:
+    """The rows (key, text) that pointers may point to: a bit for each key's hash, 8 MB at most, keeps the others out of the join."""
+    spot = F.pmod("key", F.lit(1 << bits))
+    parts = pointers.groupBy(F.shiftright(spot, 15).alias("b")).agg(F.bitmap_construct_agg(spot.bitwiseAND(F.lit(32767).cast("long"))).alias("bits"))
+    marks = {r["b"]: np.frombuffer(bytes(r["bits"]), np.uint8) for r in parts.toLocalIterator()}
+    none = np.zeros(4096, np.uint8)
+    at_most = max(marks, default=0) + 1
+    shared = texts.sparkSession.sparkContext.broadcast(np.concatenate([marks.get(b, none) for b in range(at_most)]))
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bit = shared.value
+        for batch in batches:
+            at = batch.column(0).to_numpy() % (1 << bits)
+            byte = np.minimum(at >> 3, len(bit) - 1)
+            yield batch.filter(pa.array((byte == at >> 3) & (bit[byte] >> (at & 7) & 1 > 0)))
+
+    return texts.mapInArrow(kept, "key long, text string")
+
+
 def frequent(docs: DataFrame, least: int, lang: str, text: str, held: int = HELD, print_bits: int = 64) -> tuple[DataFrame, DataFrame]:
     """(lang, size, phrase, f) of all phrases of one to five words with f >= least, and (lang, n) of all languages with words."""
     bounded_batches(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    bits = min(MOST_BITS, max(LEAST_BITS, (size // 48).bit_length()))
-    bitmap = counters(texts, bits, least, held)
+    many = min(MOST_CHUNKS, max(LEAST_CHUNKS, -(-size // (16 << CHUNK_BITS))))
+    bitmap = counters(texts, many, least, held)
     keyed = texts.withColumn("key", F.xxhash64("text"))
-    found = stored(fingerprints(keyed, bits, bitmap, held, print_bits))
+    # In order of their keys, so that a task points to the text with its least key, and all tasks together to few texts.
+    found = stored(fingerprints(keyed.sortWithinPartitions("key"), many, bitmap, least, held, print_bits))
     totals = cut(found.where("size = 0").groupBy("lang").agg(F.sum("n").alias("n")))
-    name = ["lang", "size", "print"]
-    groups = found.where("size > 0").groupBy(*name).agg(F.sum("n").alias("n"), F.min("check").alias("check"), F.max("check").alias("other"), F.min(F.struct("key", "at", "bytes")).alias("p"))
-    groups = stored(groups.where(F.col("n") >= least).select(*name, "check", "n", (F.col("check") != F.col("other")).alias("several"), "p.*"))
-    several = found.join(groups.where("several").select(*name), name, "left_semi").select(*name, "check", "n", "key", "at", "bytes")
-    pointers = stored(groups.where("NOT several").select(*name, "check", "n", "key", "at", "bytes").unionByName(several))
-    wanted = stored(keyed.select("key", "text").join(pointers.select("key").distinct(), "key", "left_semi").distinct())
+    pointers = found.where("size > 0")
+    # Of texts with one key two are kept, if there are two: the fingerprints tell which one a pointer means.
+    wanted = pointed(keyed.select("key", "text"), pointers).groupBy("key").agg(F.array_distinct(F.array(F.min("text"), F.max("text"))).alias("texts"))
     there = F.substring(F.col("text").cast("binary"), (F.col("at") + 1).cast("int"), F.col("bytes")).cast("string")
     phrase = F.regexp_replace(F.translate(there, UPPER, LOWER), "[ \t]+", " ")
-    right = cut(checked(pointers.join(wanted, "key").withColumn("phrase", phrase), print_bits))
+    right = cut(checked(pointers.join(wanted, "key").withColumn("text", F.explode("texts")).withColumn("phrase", phrase), print_bits))
     return cut(right.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least)), totals
 
 
