@@ -18,7 +18,7 @@ from .common import bounded_batches, table
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""(?:^|[\s"'])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-#: The label of a node in the layouts that the model is trained on; no page is read for it.
+#: The label of a node in the layouts that the model is trained on. Pages to extract from are not read for it.
 LABEL = re.compile(r'\bdata-y="([01])"')
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
@@ -59,7 +59,7 @@ class Node:
         self.label, self.silent = None, False
 
 
-def parse(page: str, labelled: bool = False) -> tuple[list[Node], list[tuple[int, str]]]:
+def parse(page: str, labelled: bool = True) -> tuple[list[Node], list[tuple[int, str]]]:
     """Block elements in page order and (node, text) pieces; a None-like piece "" ends a block. Inline elements belong to their block."""
     nodes = [Node("#root", -1, 0, 0)]
     pieces: list[tuple[int, str]] = []
@@ -297,7 +297,7 @@ def layouts(pages: int = 400, seed: int = 11) -> Iterator[str]:
 def fit(pages: int = 400) -> Boosted:
     xs, ys = [], []
     for page in layouts(pages):
-        nodes, _ = parse(page, labelled=True)
+        nodes, _ = parse(page)
         at = [k for k, x in enumerate(nodes) if x.label is not None]
         xs.append(features(nodes)[at])
         ys += [nodes[k].label for k in at]
@@ -305,7 +305,7 @@ def fit(pages: int = 400) -> Boosted:
 
 
 def extract_page(page: str | None, model: Boosted) -> str:
-    nodes, pieces = parse(page or "")
+    nodes, pieces = parse(page or "", labelled=False)
     return blocks(pieces, decode(nodes, model.log_odds(features(nodes))))
 
 
@@ -324,7 +324,7 @@ def extract(pages: DataFrame, layouts_seen: int = 400, key: str = "page_id", htm
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parsed = [parse(p or "") for p in batch.column(at).to_pylist()]
+            parsed = [parse(p or "", labelled=False) for p in batch.column(at).to_pylist()]
             texts: list[str] = []
             for k in range(0, len(parsed), 256):  # features of 256 pages at a time
                 part = parsed[k : k + 256]
