@@ -117,3 +117,29 @@ def test_bounds_leave_out_most_of_clustered_vectors(spark):
     got = K.nearest_vectors(frame.where(F.substring("id", 2, 9).cast("int") % 20 == 0), frame, 3, chunk=100, others=True, count=count)
     assert sorted((r.query_id, r.base_id, r.sim) for r in got.collect()) == brute_nearest(queries, base, 3, True)
     assert count.value < len(base) * len(queries) / 4
+
+
+def test_copies_of_entities_are_compared_once_and_the_smallest_id_wins(spark, monkeypatch):
+    entities = spark.createDataFrame([(f"e{c}-{k}", None, f"Steel works {k * 7919}", "A") for c in range(50) for k in range(8)], "id string, fein string, canonical_name string, employer_state string")
+    names = spark.createDataFrame([(f"n{c}-{k}", f"STEEL works {k * 7919}", None, s) for c in range(20) for k in range(8) for s in ("A", "B", None)], "id string, name string, fein string, state string").select(F.concat_ws(":", "id", F.coalesce("state", F.lit("-"))).alias("id"), "name", "fein", "state")
+    met = []
+    whole, near = K.similarity_candidates, K.nearest_vectors
+    monkeypatch.setattr(K, "similarity_candidates", lambda sets, *a: met.append(sets.count()) or whole(sets, *a))
+    monkeypatch.setattr(K, "nearest_vectors", lambda q, b, *a, **k: met.append(b.count()) or near(q, b, *a, **k))
+    got = {r.id: (r.entity_id, r.layer) for r in K.resolve(names, entities, vector_layer=K.resolve_by_vector).collect()}
+    want = {f"n{c}-{k}:{s}": (f"e0-{k}", "vector" if s == "B" else "trigram") for c in range(20) for k in range(8) for s in "AB-"}
+    assert got == want and met == [8 + 3 * 8, 8]
+
+
+def test_a_floor_loses_nothing_above_it(spark):
+    rng = random.Random(11)
+    base = [(k, [rng.gauss(0, 1) for _ in range(4)], "") for k in range(500)]
+    queries, counts = [(k, [rng.gauss(0, 1) for _ in range(4)]) for k in range(80)], []
+    frame, asked = spark.createDataFrame(base, "id long, v array<double>, label string"), spark.createDataFrame(queries, "id long, v array<double>")
+    want = [r for r in brute_nearest(queries, base, 1) if r[2] >= 0.97]
+    for floor in (-2.0, 0.97):
+        for chunk in (10_000, 20):
+            counts.append(spark.sparkContext.accumulator(0))
+            got = K.nearest_vectors(asked, frame, 1, chunk=chunk, pivots=20, floor=floor, count=counts[-1])
+            assert sorted((r.query_id, r.base_id, r.sim) for r in got.where("sim >= 0.97").collect()) == want
+    assert counts[3].value < counts[1].value
