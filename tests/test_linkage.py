@@ -143,3 +143,22 @@ def test_a_floor_loses_nothing_above_it(spark):
             got = K.nearest_vectors(asked, frame, 1, chunk=chunk, pivots=20, floor=floor, count=counts[-1])
             assert sorted((r.query_id, r.base_id, r.sim) for r in got.where("sim >= 0.97").collect()) == want
     assert counts[3].value < counts[1].value
+
+
+@pytest.mark.parametrize("chunk", [8, 8192])
+def test_similar_sets_are_counted_in_tiles_and_no_pair_leaves(spark, monkeypatch, chunk):
+    from lodestar.operators import tiles
+
+    names = [*small_vocabulary(120, 30, 5), *small_vocabulary(60, 6, 6), "", "\U0001d400b ü", "Ü \U0001d400B"]
+    names += names[:9]
+    whole = tiles.similar_counts
+    monkeypatch.setattr(tiles, "SLICE", 64)
+    monkeypatch.setattr(K, "similar_counts", lambda sets, theta: whole(sets, theta, chunk))
+    monkeypatch.setattr(K, "_verified", lambda *a: pytest.fail("pairs were dealt out"))
+    rows = spark.createDataFrame(list(enumerate(names)) + [(999, None)], "id long, name string")
+    got = {r.id: (r.class_id, r.links) for r in K.similarity_classes(rows, 0.85).collect()}
+    same = lambda a, b: grams(a) == grams(b) if grams(a) or grams(b) else False
+    for i, a in enumerate(names):
+        assert got[i][1] == sum(i != j and similar(a, b, 0.85) for j, b in enumerate(names)), a
+        assert all((got[i][0] is not None and got[i][0] == got[j][0]) == same(a, b) for j, b in enumerate(names) if i != j)
+    assert got[999] == (None, 0) and len(got) == len(names) + 1
