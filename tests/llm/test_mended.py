@@ -2,6 +2,7 @@
 
 import time
 
+import numpy as np
 import pytest
 
 from lodestar.llm import html, langid, minhash, quality, secrets
@@ -50,3 +51,24 @@ def test_columns_named_like_helpers_stay(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     got = quality.rules(docs, labels, carry=("score", "_row"))
     assert got.columns.count("score") == 1 and dict(got.dtypes)["score"] == "double" and got.where("_row = 'r'").count() == 2
+
+
+def test_all_labelled_rows_count_and_scores_stay_off_the_driver(spark):
+    good, bad = [" ".join(f"fine{k % 7}{j}" for j in range(25)) for k in range(40)], [" ".join(f"junk{k % 5}{j}" for j in range(25)) for k in range(40)]
+    rows = list(enumerate(good + bad))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i < 40), 0) for i, _ in rows], "doc_id long, quality int, toxic int")
+    kinds = quality.labelled_kinds(spark.range(40_000).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic"))
+    assert kinds.count() == 40_000
+    got = {r.doc_id: r for r in quality.rules(docs, labels).collect()}
+    assert {i for i, r in got.items() if r.kept} == set(range(40))
+    rng = np.random.default_rng(3)
+    for n, m in ((1, 1), (700, 900), (5000, 3)):
+        x, y = np.round(rng.normal(1, 0.3, n), 6), np.round(rng.normal(0.5, 0.4, m), 6)
+        frame = spark.createDataFrame([(1, float(v)) for v in x] + [(0, float(v)) for v in y], "kind int, score double")
+        a, b = quality.tallies(frame, 0.99)
+        assert (len(a), len(b)) == (n, m) and len(a.values) < 4500
+        top, low = np.quantile(x, 1 - 0.99), min(x.min(), y.min())
+        cuts = np.arange(np.floor(low * 1000), np.floor(top * 1000) + 1) / 1000
+        passed = np.array([(y >= c).sum() for c in cuts])
+        best = cuts[passed == passed.min()]
+        assert quality.fit_threshold(a, b, 0.99) == quality.fit_threshold(x, y, 0.99) == best[len(best) // 2]
