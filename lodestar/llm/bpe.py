@@ -64,7 +64,11 @@ def pattern(unknown: str) -> regex.Pattern:
 
 
 class Encoder:
-    """Encodes and decodes whole texts; remembers up to `remember` stretches between spaces, then starts anew."""
+    """Encodes and decodes whole texts; remembers up to `remember` stretches between spaces, and as many words, then starts anew.
+
+    Most new stretches are known words put together anew, so merging and decoding are left to words that were never met. A stretch
+    whose ids stand for just its own bytes, as in valid texts all do, needs no other copy of them.
+    """
 
     def __init__(self, path: str, unknown: str = "", remember: int = 1_000_000):
         with open(path, encoding="utf-8") as f:
@@ -91,7 +95,10 @@ class Encoder:
         self.words, self.rare = pattern(""), frozenset(unknown)
         self.words_rare = pattern(unknown) if unknown else self.words
         self.specials = regex.compile("|".join(f"({regex.escape(t)})" for t in sorted(self.special, key=len, reverse=True))) if self.special else None
-        self.memo: dict[str, tuple[str, bytes]] = {}  # by stretch
+        # Ids, joined by commas, by stretch and by word; and the decoded bytes of those that differ from their own.
+        self.ids: dict[str, str] = {}
+        self.word_ids: dict[str, str] = {}
+        self.odd: dict[str, bytes] = {}
         self.remember = remember
 
     def pair_ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -118,8 +125,10 @@ class Encoder:
                     rank = ranks[row, least]
                     going = rank < NEVER
                     if not going.all():
-                        for k in np.flatnonzero(~going):
-                            out[names[k]] = parts[k][parts[k] != NO_PART].tolist()
+                        held = parts[~going] != NO_PART
+                        tokens, stops = parts[~going][held].tolist(), np.cumsum(held.sum(axis=1)).tolist()
+                        for k, a, b in zip(names[~going].tolist(), [0, *stops], stops, strict=False):
+                            out[k] = tokens[a:b]
                         names, parts, ranks, least, rank = names[going], parts[going], ranks[going], least[going], rank[going]
                         row = np.arange(len(names))
                         if not len(names):
@@ -156,28 +165,42 @@ class Encoder:
                     heapq.heappush(heap, (r, i, parts[i], parts[j]))
         return [p for p in parts if p >= 0]
 
-    def learn(self, stretches: list[str]) -> dict[str, tuple[str, bytes]]:
-        """For each stretch its ids, joined by commas, and the bytes that they stand for."""
-        plain = [s for s in stretches if s[0] == " " and len(s) > 1 and not s[1].isspace() and not s[-1].isspace()]
-        other = [s for s in stretches if s[0] != " " or len(s) == 1 or s[1].isspace() or s[-1].isspace()]
+    def learn(self, stretches: list[str]) -> None:
+        """Remember the ids of each stretch, and the bytes that they stand for where these are not its own."""
+        plain, other = [], []
+        for s in stretches:
+            (plain if s[0] == " " and len(s) > 1 and not s[1].isspace() and not s[-1].isspace() else other).append(s)
         # Words of plain stretches end where these end, so that they can be split as one text.
         found = [self.split("".join(plain)), *map(self.split, other)]
         ends = np.cumsum([len(s) for s in plain])
         stops = np.searchsorted(np.cumsum([len(w) for w in found[0]]), ends, "left") + 1 if plain else np.zeros(0, np.int64)
         stops = [*stops.tolist(), *(len(found[0]) + np.cumsum([len(f) for f in found[1:]], dtype=np.int64)).tolist()]
         words = [w for f in found for w in f]
-        unlike, name = list(dict.fromkeys(words)), self.name.__getitem__
-        merged = self.merge_words([w.encode("utf-8", "replace") for w in unlike])
-        known = {w: (",".join(map(name, ids)), self.decode_bytes(ids)) for w, ids in zip(unlike, merged, strict=True)}
-        out, start = {}, 0
+        long = self.learn_words(words)
+        ids, start = list(map(self.word_ids.__getitem__, words)), 0
+        for w in long:
+            del self.word_ids[w]
         for s, stop in zip([*plain, *other], stops, strict=True):
             if stop - start == 1:
-                out[s] = known[words[start]]
+                self.ids[s] = ids[start]
             else:  # a word holds whole characters, so each can be decoded by itself
-                parts = [known[w] for w in words[start:stop]]
-                out[s] = (",".join([p[0] for p in parts]), b"".join([p[1] for p in parts]))
+                self.ids[s] = ",".join(ids[start:stop])
+            if self.odd and not self.odd.keys().isdisjoint(words[start:stop]):
+                self.odd[s] = b"".join([self.odd[w] if w in self.odd else w.encode() for w in words[start:stop]])
             start = stop
-        return out
+
+    def learn_words(self, words: list[str]) -> list[str]:
+        """Remember the ids of each word. Returns the words that are too long to be kept."""
+        asked = set(words)
+        new = asked.difference(self.word_ids)
+        if len(self.word_ids) + len(new) > self.remember:
+            self.word_ids, new = {}, asked
+        unlike, name = list(new), self.name.__getitem__
+        for w, ids in zip(unlike, self.merge_words([w.encode("utf-8", "replace") for w in unlike]), strict=True):
+            self.word_ids[w] = ",".join(map(name, ids))
+            if (raw := self.decode_bytes(ids)) != w.encode("utf-8", "surrogatepass"):
+                self.odd[w] = raw
+        return [w for w in unlike if len(w) > 64]
 
     def split(self, text: str) -> list[str]:
         return (self.words if text.isascii() or self.rare.isdisjoint(text) else self.words_rare).findall(text)
@@ -199,23 +222,28 @@ class Encoder:
             closed = bool(w) and not w[-1].isspace()
         return [s for s in out if s]
 
-    def encoded(self, texts: list[str]) -> list[list[tuple[str, bytes]]]:
-        """Per text the (ids joined by commas, bytes) of its stretches; the texts of added tokens are these tokens."""
-        cut = [[s for piece in (self.specials.split(t) if self.specials else [t]) if piece for s in ([piece] if piece in self.special else self.stretches(piece))] for t in texts]
+    def coded(self, texts: list[str]) -> list[tuple[str, bytes]]:
+        """Per text its ids, joined by commas, and their bytes; the texts of added tokens are these tokens."""
+        cut = [[s for piece in self.specials.split(t) if piece for s in ([piece] if piece in self.special else self.stretches(piece))] if self.specials and self.specials.search(t) else self.stretches(t) for t in texts]
         asked = set().union(*cut)
-        now = {s: m for s in asked if (m := self.memo.get(s))}
-        missing = [s for s in asked if s not in now]
-        new = self.learn([s for s in missing if s not in self.special])
-        new |= {s: (str(self.special[s]), self.bytes[self.special[s]]) for s in missing if s in self.special}
-        now |= new
-        if len(self.memo) + len(new) > self.remember:
-            self.memo = {s: m for s, m in now.items() if len(s) <= 64}
-        else:
-            self.memo |= {s: m for s, m in new.items() if len(s) <= 64}
-        return [[now[s] for s in t] for t in cut]
+        new = asked.difference(self.ids)
+        if len(self.ids) + len(new) > self.remember:
+            self.ids, self.word_ids, self.odd, new = {}, {}, {}, asked
+        self.learn([s for s in new if s not in self.special])
+        for s in new.intersection(self.special):
+            self.ids[s] = str(self.special[s])
+        out = [(",".join(map(self.ids.__getitem__, t)), b"".join([self.odd.get(s, s.encode("utf-8", "surrogatepass")) for s in t]) if self.odd else text.encode()) for text, t in zip(texts, cut, strict=True)]
+        for s in [s for s in new if len(s) > 64]:
+            del self.ids[s]
+        return out
+
+    def encoded(self, texts: list[str]) -> list[list[tuple[str, bytes]]]:
+        """The same as lists, empty for a text without tokens."""
+        return [[x] if x[0] else [] for x in self.coded(texts)]
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for ids, _ in self.encoded([text])[0] for i in ids.split(",")]
+        ids = self.coded([text])[0][0]
+        return [int(i) for i in ids.split(",")] if ids else []
 
     def decode_bytes(self, ids: list[int]) -> bytes:
         """Bytes of the tokens; what is no UTF-8 becomes the replacement character."""
@@ -250,11 +278,10 @@ def encode_texts(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text:
         enc = encoder(vocabulary, unknown)
         for batch in batches:
             counts, shas, plain, kept = [], [], [], []
-            for parts in enc.encoded([t or "" for t in batch.column(1).to_pylist()]):
-                ids = ",".join([p[0] for p in parts])
+            for ids, raw in enc.coded([t or "" for t in batch.column(1).to_pylist()]):
                 counts.append(ids.count(",") + 1 if ids else 0)
                 shas.append(hashlib.sha256(ids.encode()).hexdigest())
-                plain.append(hashlib.sha256(b"".join([p[1] for p in parts])).hexdigest())
+                plain.append(hashlib.sha256(raw).hexdigest())
                 if keep_ids:
                     kept.append(np.fromiter(map(int, ids.split(",") if ids else []), np.int32, counts[-1]))
             cols = [batch.column(0), pa.array(counts, pa.int64()), pa.array(shas, pa.string()), pa.array(plain, pa.string())]

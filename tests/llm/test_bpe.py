@@ -42,6 +42,17 @@ def test_matrix_and_heap_agree():
     assert enc.merge_words(words) == [enc.long_word(w) for w in words]
 
 
+def test_known_words_are_not_merged_again(library, monkeypatch):
+    enc, merged = bpe.Encoder(bpe.default_vocabulary()), []
+    plain = enc.merge_words
+    monkeypatch.setattr(enc, "merge_words", lambda words: merged.extend(words) or plain(words))
+    enc.encoded([" alpha beta gamma$$$ " + " delta" * 30])
+    merged.clear()
+    text = " alpha$$$ beta.gamma gamma$$$"  # stretches never met, of which one word is new
+    assert enc.encode(text) == library.encode(text, add_special_tokens=False).ids
+    assert sorted(merged) == [b".", b"gamma"]
+
+
 def test_incomplete_characters_are_replaced(library):
     enc = bpe.Encoder(bpe.default_vocabulary())
     for ids in ([int(enc.single[0xE6])], [int(enc.single[0xE6]), int(enc.single[0x41])], enc.encode("日本")[:2]):
