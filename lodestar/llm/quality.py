@@ -110,6 +110,22 @@ def labelled_kinds(labels: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.when((F.col("kind") == 1) & (F.col("top") == 2), 2).otherwise(F.col("kind")).alias("kind"))
 
 
+#: Bits of the labelled ids: 8 MB however many there are; with more of them more rows pass, and the join by id decides in any case.
+ID_BITS = 26
+
+
+def maybe_labelled(texts: DataFrame, kinds: DataFrame) -> DataFrame:
+    """The rows of texts whose doc_id may be one of kinds: all that are, and few others, so that those needn't be shuffled."""
+    if dict(texts.dtypes)["doc_id"] != dict(kinds.dtypes)["doc_id"]:
+        return texts  # ids of unlike types have unlike hashes
+    spot, low = F.pmod(F.xxhash64("doc_id"), F.lit(1 << ID_BITS)), F.lit(32767).cast("long")
+    bits = kinds.groupBy(F.shiftright(spot, 15).alias("_part")).agg(F.bitmap_construct_agg(spot.bitwiseAND(low)).alias("_bits"))
+    at = spot.bitwiseAND(low)
+    byte = F.conv(F.hex(F.substring("_bits", (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    mark = F.call_function("getbit", byte, at.bitwiseAND(F.lit(7).cast("long")).cast("int"))
+    return texts.join(F.broadcast(bits), F.shiftright(spot, 15) == F.col("_part")).where(mark == 1).select(*texts.columns)
+
+
 class Tally:
     """Scores as rising values and how often each occurs; its length is the number of scores."""
 
@@ -188,7 +204,8 @@ def rules(docs: DataFrame, labels: DataFrame, prior: float = 1e5, keep: float =
     carry = tuple(c for c in carry if c not in RESULTS)
     texts = docs.select("doc_id", "text")
     # Read for the counts and for the threshold. One kind of join at all sizes: few labels would be broadcast, many not.
-    labelled = stored(texts.join(labelled_kinds(labels).where("kind <> 2").hint("merge"), "doc_id").select("doc_id", "text", "kind"))
+    kinds = labelled_kinds(labels).where("kind <> 2")
+    labelled = stored(maybe_labelled(texts, kinds).join(kinds.hint("merge"), "doc_id").select("doc_id", "text", "kind"))
     raw, trusted = 1 + bucket_counts(texts), bucket_counts(labelled.where("kind = 1"))
     p = raw / raw.sum()
     ratio = np.log((trusted + prior * p) / (trusted.sum() + prior)) - np.log(p)

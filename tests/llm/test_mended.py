@@ -72,3 +72,14 @@ def test_all_labelled_rows_count_and_scores_stay_off_the_driver(spark):
         passed = np.array([(y >= c).sum() for c in cuts])
         best = cuts[passed == passed.min()]
         assert quality.fit_threshold(a, b, 0.99) == quality.fit_threshold(x, y, 0.99) == best[len(best) // 2]
+
+
+def test_texts_without_a_label_are_not_shuffled(spark):
+    texts = spark.range(20000).selectExpr("id - 5000 AS doc_id", "string(id) AS text").unionByName(spark.sql("SELECT CAST(NULL AS BIGINT) AS doc_id, 'x' AS text"))
+    kinds = texts.where("doc_id % 7 = 0").selectExpr("doc_id", "1 AS kind")
+    got = quality.maybe_labelled(texts, kinds)
+    assert got.where("doc_id % 7 = 0").count() == kinds.count()
+    assert got.where("doc_id IS NULL OR doc_id % 7 <> 0").count() < 20
+    assert quality.maybe_labelled(texts, kinds.limit(0)).count() == 0
+    same = quality.maybe_labelled(texts, kinds.selectExpr("int(doc_id) AS doc_id", "kind")).join(kinds, "doc_id")
+    assert same.count() == kinds.count()
