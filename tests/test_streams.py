@@ -9,6 +9,7 @@ from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrameReader
 from pyspark.sql import functions as F
 
+from lodestar.plans import streams
 from lodestar.sources import files
 from lodestar.streaming import jobs as X
 
@@ -170,3 +171,19 @@ def test_old_versions_go_when_no_kept_one_needs_them(spark, tmp_path):
     assert table(spark, out) == {"a": (5, 4), "b": (1, 1)} and table(spark, out, 3) == {"a": (4, 3), "b": (1, 1)}
     assert files.names(spark, f"{out}/_manifests") == ["3.json", "4.json"]
     assert sum(len(glob.glob(f"{out}/v{k}/bucket=*")) for k in range(5)) == 3  # b of the first, a of the two last
+
+
+def test_deliveries_of_a_larger_table_are_split_by_task(spark, tmp_path, monkeypatch):
+    rows = spark.range(3000).selectExpr("id AS event_id", "id % 50 AS user_id", "'view' AS event_type", "id / 7 AS value", """concat('{"k": ', id % 9, '}') AS props""")
+    rows.repartition(6).write.parquet(str(tmp_path / "events.parquet"))
+    spark.conf.set("spark.sql.files.openCostInBytes", str(64 << 20))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(64 << 20))  # a file is a split
+    try:
+        parts = streams.arrivals(spark, str(tmp_path), str(tmp_path / "src"))
+        assert parts == 6 and len(glob.glob(str(tmp_path / "src/*.parquet"))) > 5 * 4
+        got = Counter(tuple(r) for r in streams.enriched_stream(spark, str(tmp_path)).collect())
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == Counter([(k, k % 50, k % 9, k // 7, False) for k in range(3000)] + [(-k - 1, k % 50, None, None, True) for k in range(0, 3000, 1000)])
+    assert X.STATE["spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows"] == "false" and spark.conf.get("spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows", None) is None
