@@ -1,6 +1,7 @@
 """The training-data operators against brute force, exact round trips and held-out accuracy; nulls, ties, repeats, empty tables."""
 
 import hashlib
+import os
 import re
 from collections import Counter, defaultdict
 
@@ -644,3 +645,16 @@ def test_batches_are_bounded_but_never_raised(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("block", [4, 4096])
+def test_repeats_leave_one_table_and_need_no_exact_filter(spark, docs, block, monkeypatch):
+    folder = suffixes.stored(spark.range(1)).inputFiles()[0].rsplit("/", 2)[0].removeprefix("file:")
+    folder, clean = "/" + folder.lstrip("/"), spark.conf.get(suffixes.CLEAN)
+    tables = lambda: {x for x in os.listdir(folder) if x.startswith("table-")}
+    before = tables()
+    monkeypatch.setattr(suffixes, "marks", lambda wanted, bits: np.full(1 << (bits - 3), 255, np.uint8))  # all pass by chance
+    out = suffixes.remove_repeats(docs.repartition(5), block=block)
+    assert len(tables() - before) == 1 and spark.conf.get(suffixes.CLEAN) == clean
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out.collect())
+    assert got == Counter((k, *x) for (k, *_), x in zip(ROWS, brute_spans([t for _, t, *_ in ROWS], 200), strict=True))
