@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, met
 
 
 #: Ids that a task holds at once.
@@ -60,10 +60,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", out: str = "comp",
     both = cut(edges.select(F.col(a).alias("id"), F.col(b).alias("to")).unionByName(edges.select(F.col(b).alias("id"), F.col(a).alias("to"))).distinct())
     labels = cut(both.groupBy("id").agg(F.least("id", F.min("to")).alias(out)))
     while True:
-        near = both.join(labels, "id").groupBy("to").agg(F.min(out).alias("near")).withColumnRenamed("to", "id")
-        new = labels.join(near, "id", "left").select("id", F.col(out).alias("old"), F.least(out, "near").alias(out))
+        near = met(both, labels, "id").groupBy("to").agg(F.min(out).alias("near")).withColumnRenamed("to", "id")
+        new = met(labels, near, "id", "left").select("id", F.col(out).alias("old"), F.least(out, "near").alias(out))
         jump = labels.select(F.col("id").alias(out), F.col(out).alias("far"))
-        new = cut(new.join(jump, out, "left").select("id", "old", F.least(out, "far").alias(out)))
+        new = cut(met(new, jump, out, "left").select("id", "old", F.least(out, "far").alias(out)))
         if new.where(F.col("old") != F.col(out)).isEmpty():
             return new.select("id", out)
         labels = new.select("id", out)

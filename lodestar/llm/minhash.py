@@ -9,6 +9,8 @@ contract components, and only buckets that still hold several components go on.
 similar texts surround but no tested pair links) is compared inside tasks: buckets that share members form a cluster, a cluster
 is cut into chunks, and each pair of chunks is one group, which runs the same tests on the pairs that lie in different
 components and gives back only links that join components. No link is lost, and no group is larger than two chunks.
+
+Every join shuffles both sides. Small sides would else be broadcast, dozens of them up to the session's limit, all by way of the driver.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, bounded_batches, cut, stored, table, unused
+from .common import WORD, bounded_batches, cut, met, stored, table, unused
 from .graph import components
 
 WORDS = 5
@@ -170,13 +172,13 @@ def rest(placed: DataFrame, sigs: DataFrame, sets: DataFrame, tests: list[tuple[
     A chunk holds about `chunk` members, and fewer where their sets would take more than `most_bytes`.
     """
     first = cut(placed.groupBy("key").agg(F.min("id").alias("a")))
-    cluster = components(placed.join(first, "key").select("a", F.col("id").alias("b")).distinct(), out="cluster")
+    cluster = components(met(placed, first, "key").select("a", F.col("id").alias("b")).distinct(), out="cluster")
     weights = sets.select("id", F.octet_length("grams").cast("long").alias("bytes"))
-    ids = cut(cluster.join(placed.select("id", "comp").distinct(), "id").join(weights, "id"))
+    ids = cut(met(met(cluster, placed.select("id", "comp").distinct(), "id"), weights, "id"))
     need = lambda n, b: F.greatest(F.ceil(n / chunk), F.ceil(b / F.lit(most_bytes)), F.lit(1))
     sizes = cut(ids.groupBy("cluster").agg(need(F.count("*"), F.sum("bytes")).cast("int").alias("chunks")))
     packs = ids.agg(need(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0)))).first()[0]
-    rows = ids.join(sizes, "cluster").join(sigs, "id").join(sets, "id")
+    rows = met(met(met(ids, sizes, "cluster"), sigs, "id"), sets, "id")
     rows = rows.withColumn("c", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).withColumn("d", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     pack = F.when(F.col("chunks") == 1, F.pmod(F.xxhash64("cluster"), F.lit(packs))).otherwise(F.xxhash64("cluster", F.least("c", "d"), F.greatest("c", "d")))
     rows = rows.select(pack.alias("pack"), "cluster", F.least("c", "d").alias("lo"), F.greatest("c", "d").alias("hi"), "c", "id", "comp", "sig", "grams")
@@ -217,30 +219,30 @@ def linked(docs: DataFrame, percent: int, miss: float, step: int, rounds: int, c
     rows = cut(every.select(F.col("cid").alias("id"), F.explode(keys).alias("key")))
     many = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.expr("bit_xor(xxhash64(id))").alias("x"), F.expr("bit_xor(xxhash64(id, 1))").alias("y")).where("n > 1")
     many = many.groupBy("n", "lo", "hi", "x", "y").agg(F.min("key").alias("key")).select("key")  # equal buckets once
-    members = cut(rows.join(many, "key"))
+    members = cut(met(rows, many, "key"))
     ids = cut(members.select("id").distinct())
-    wanted = every.join(ids, F.col("cid") == F.col("id"), "left_semi")
+    wanted = met(every, ids, F.col("cid") == F.col("id"), "left_semi")
     sigs = cut(wanted.select(F.col("cid").alias("id"), "sig"))
-    texts = docs.select(row_key(doc_id, text).alias("row"), F.col(text).alias("t")).join(wanted.select(F.col("cid").alias("id"), "row"), "row")
+    texts = met(docs.select(row_key(doc_id, text).alias("row"), F.col(text).alias("t")), wanted.select(F.col("cid").alias("id"), "row"), "row")
     sets = stored(shingle_sets(texts.groupBy("id").agg(F.first("t").alias("t"))))  # equal rows have equal texts
 
     def verified(pairs: DataFrame) -> DataFrame:
         side = lambda t, i, c: t.select(F.col("id").alias(i), F.col(t.columns[1]).alias(c))
-        likely = cut(bayes(pairs.join(side(sigs, "a", "sa"), "a").join(side(sigs, "b", "sb"), "b"), tests))
-        return cut(exact(likely.join(side(sets, "a", "ga"), "a").join(side(sets, "b", "gb"), "b"), percent))
+        likely = cut(bayes(met(met(pairs, side(sigs, "a", "sa"), "a"), side(sigs, "b", "sb"), "b"), tests))
+        return cut(exact(met(met(likely, side(sets, "a", "ga"), "a"), side(sets, "b", "gb"), "b"), percent))
 
     labels, tested = cut(ids.select("id", F.col("id").alias("comp"))), None
     for turn in range(rounds + 1):
-        placed = members.join(labels, "id")
+        placed = met(members, labels, "id")
         mixed = cut(placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("key"))
-        placed = cut(placed.join(mixed, "key"))
+        placed = cut(met(placed, mixed, "key"))
         if placed.isEmpty():
             break
         if turn < rounds:
             one = cut(placed.groupBy("key", "comp").agg(F.expr(f"min_by(id, xxhash64(id, {turn}))").alias("m"), F.count("*").alias("n")))
             lead = cut(one.groupBy("key").agg(F.max(F.struct("n", "comp", F.col("m").alias("lead"))).alias("l")).select("key", F.col("l.comp").alias("lc"), F.col("l.lead").alias("lead")))
-            pairs = one.join(lead, "key").where("comp <> lc").select(F.least("m", "lead").alias("a"), F.greatest("m", "lead").alias("b")).distinct()
-            pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+            pairs = met(one, lead, "key").where("comp <> lc").select(F.least("m", "lead").alias("a"), F.greatest("m", "lead").alias("b")).distinct()
+            pairs = cut(pairs if tested is None else met(pairs, tested, ["a", "b"], "left_anti"))
             tested = pairs if tested is None else tested.unionByName(pairs)
             links = verified(pairs)
         else:
@@ -248,11 +250,11 @@ def linked(docs: DataFrame, percent: int, miss: float, step: int, rounds: int, c
         if links.isEmpty():
             continue
         side = lambda i, c: labels.select(F.col("id").alias(i), F.col("comp").alias(c))
-        merged = components(links.join(side("a", "ca"), "a").join(side("b", "cb"), "b").where("ca <> cb").select("ca", "cb"), "ca", "cb", "root")
-        labels = cut(labels.join(merged.withColumnRenamed("id", "comp"), "comp", "left").select("id", F.coalesce("root", "comp").alias("comp")))
-    classes = every.select("cid", "fp", "rep").join(labels.withColumnRenamed("id", "cid"), "cid", "left").select("fp", "rep", F.coalesce("comp", "cid").alias("comp"))
+        merged = components(met(met(links, side("a", "ca"), "a"), side("b", "cb"), "b").where("ca <> cb").select("ca", "cb"), "ca", "cb", "root")
+        labels = cut(met(labels, merged.withColumnRenamed("id", "comp"), "comp", "left").select("id", F.coalesce("root", "comp").alias("comp")))
+    classes = met(every.select("cid", "fp", "rep"), labels.withColumnRenamed("id", "cid"), "cid", "left").select("fp", "rep", F.coalesce("comp", "cid").alias("comp"))
     names = cut(classes.groupBy("comp").agg(F.min("rep").alias("component_id")))
-    return feat.select("id", "row", "n_shingles", "fp"), cut(classes.join(names, "comp").select("fp", "comp", "component_id"))
+    return feat.select("id", "row", "n_shingles", "fp"), cut(met(classes, names, "comp").select("fp", "comp", "component_id"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = 1e-6, step: int = 20, rounds: int = 2, chunk: int = 1024, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -264,7 +266,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = 1e-6, step
     two are ignored; whole texts of any length count.
     """
     rows, classes = linked(docs, percent, miss, step, rounds, chunk, doc_id, text)
-    out = rows.join(classes, "fp", "left").select(F.col("id").alias(doc_id), "n_shingles", F.when(F.col("fp").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    out = met(rows, classes, "fp", "left").select(F.col("id").alias(doc_id), "n_shingles", F.when(F.col("fp").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(doc_id) == F.col("component_id"), F.lit(False)))
 
 
@@ -278,11 +280,11 @@ def deduplicated(docs: DataFrame, percent: int = 85, miss: float = 1e-6, step: i
     key, n = unused(docs, "_row"), unused(docs, "_n")
     same = rows.where("fp IS NOT NULL").groupBy("fp", "row").agg(F.min("id").alias("id"), F.count("*").alias("n"))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("row"), F.col("n")))
-    stay = cut(same.join(classes, "fp").groupBy("comp").agg(first.alias("f")).select(F.col("f.row").alias(key), F.col("f.n").alias(n)))
+    stay = cut(met(same, classes, "fp").groupBy("comp").agg(first.alias("f")).select(F.col("f.row").alias(key), F.col("f.n").alias(n)))
     keyed = docs.withColumn(key, row_key(doc_id, text))
     worded = F.coalesce(F.rlike(F.col(text), F.lit(WORD)), F.lit(False))
-    one = keyed.where(worded).join(stay.where(F.col(n) == 1), key, "left_semi")
-    several = keyed.where(worded).join(stay.where(F.col(n) > 1), key, "left_semi").dropDuplicates([key])
+    one = met(keyed.where(worded), stay.where(F.col(n) == 1), key, "left_semi")
+    several = met(keyed.where(worded), stay.where(F.col(n) > 1), key, "left_semi").dropDuplicates([key])
     return docs.where(~worded).unionByName(one.drop(key)).unionByName(several.drop(key))
 
 

@@ -83,3 +83,22 @@ def test_texts_without_a_label_are_not_shuffled(spark):
     assert quality.maybe_labelled(texts, kinds.limit(0)).count() == 0
     same = quality.maybe_labelled(texts, kinds.selectExpr("int(doc_id) AS doc_id", "kind")).join(kinds, "doc_id")
     assert same.count() == kinds.count()
+
+
+@pytest.mark.parametrize("one_task", [500_000, 0])
+def test_near_dedup_sends_no_table_through_the_driver(spark, monkeypatch, one_task):
+    from lodestar.llm import graph
+
+    plans = []
+    plan = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    for module in (minhash, graph):
+        whole = module.cut
+        monkeypatch.setattr(module, "cut", lambda df, whole=whole: (whole(df), plan(df))[0])
+    monkeypatch.setattr(minhash, "components", lambda *a, **k: graph.components(*a, **k, one_task=one_task))
+    words = [f"w{k}" for k in range(60)]
+    texts = [" ".join([*words[: 40 + i], *(f"x{j}" for j in range(i % 7))]) for i in range(20)] + [" ".join(f"y{i}{k}" for k in range(40)) for i in range(10)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for out in (minhash.deduplicated(docs, rounds=1), minhash.near_duplicates(docs, rounds=1)):
+        assert 10 < out.count() <= 30
+        plan(out)
+    assert len(plans) > 20 and any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
