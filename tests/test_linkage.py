@@ -162,3 +162,33 @@ def test_similar_sets_are_counted_in_tiles_and_no_pair_leaves(spark, monkeypatch
         assert got[i][1] == sum(i != j and similar(a, b, 0.85) for j, b in enumerate(names)), a
         assert all((got[i][0] is not None and got[i][0] == got[j][0]) == same(a, b) for j, b in enumerate(names) if i != j)
     assert got[999] == (None, 0) and len(got) == len(names) + 1
+
+
+def test_rows_of_one_side_or_of_unlike_blocks_are_not_compared(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    asked, known, blocks = 3000, 100, 25
+    n = asked + known
+    columns = {"g": [7] * n, "lo": [0] * n, "hi": [0] * n, "c": [0] * n, "place": [0] * n, "r": list(range(n)), "side": [0] * asked + [1] * known, "size": [19] * n}
+    columns |= {"block": [k % blocks for k in range(n)], "bits": [bytes(64)] * n}
+    compared = []
+    whole = K._least_overlap
+    monkeypatch.setattr(K, "_least_overlap", lambda theta, sizes: compared.append(np.size(sizes)) or whole(theta, sizes))
+    got = K._met(0.85, True, pa.table(columns)).to_pylist()
+    want = {(a, b) for a in range(asked) for b in range(asked, n) if a % blocks == b % blocks}
+    assert {(x["a"], x["b"]) for x in got} == want and len(got) == len(want) and sum(compared) <= 2 * len(want)
+
+
+def test_a_chunk_that_many_queries_go_to_is_dealt_out(spark, monkeypatch):
+    from lodestar.operators import nearest
+
+    rng = random.Random(12)
+    base = [(k, [rng.gauss(0, 1) for _ in range(3)], "") for k in range(60)]
+    queries = [(k, [rng.gauss(0, 1) for _ in range(3)]) for k in range(300)]
+    frame, asked = spark.createDataFrame(base, "id long, v array<double>, label string"), spark.createDataFrame(queries, "id long, v array<double>").repartition(8)
+    want = brute_nearest(queries, base, 2)
+    for share in (1 << 16, 20):
+        monkeypatch.setattr(nearest.Search, "share", share)
+        got = K.nearest_vectors(asked, frame, 2, chunk=30, pivots=5)
+        assert sorted((r.query_id, r.base_id, r.sim) for r in got.collect()) == want
