@@ -27,3 +27,17 @@ def test_decisions_join_filings_once(spark, sf):
 def test_known_titles_are_not_counted(spark, sf):
     got = C.bootstrap_aliases(Q.filings(spark, sf), Q.aliases(spark, sf), 1, 1, 0.0)
     assert not _source(got) and got.where("title NOT LIKE 'r%'").count() == 0
+
+
+def test_the_backfill_joins_filings_once_and_its_statistics_not_at_all(spark, sf, monkeypatch):
+    from lodestar.operators import linkage as K
+
+    reads = []
+    whole = Q.filings
+    monkeypatch.setattr(Q, "stored", lambda df: reads.append(len(_source(df))) or df.localCheckpoint())
+    monkeypatch.setattr(K, "cut", lambda df: reads.append(len(_source(df))) or df.localCheckpoint())
+    monkeypatch.setattr(Q, "filings", lambda s, d: whole(s, d))
+    assert not _source(Q.QUERIES["e06_backfill_stats"](spark, sf)) and not any(reads)
+    for name in ("e06_backfill_entities", "e06_backfill_records"):
+        reads.clear()
+        assert not _source(Q.QUERIES[name](spark, sf)) and sum(reads) == 1
