@@ -192,3 +192,24 @@ def test_a_chunk_that_many_queries_go_to_is_dealt_out(spark, monkeypatch):
         monkeypatch.setattr(nearest.Search, "share", share)
         got = K.nearest_vectors(asked, frame, 2, chunk=30, pivots=5)
         assert sorted((r.query_id, r.base_id, r.sim) for r in got.collect()) == want
+
+
+def test_tiles_are_done_in_waves_whose_shuffles_go(spark, monkeypatch):
+    from lodestar.operators import tiles
+
+    names = small_vocabulary(160, 30, 9)
+    whole, seen = tiles.similar_counts, []
+
+    def waves(sets, theta):
+        out = whole(sets, theta, 8)
+        seen.append(len({f.split("-", 2)[-1].split("-c0")[0] for f in (x.rsplit("/", 1)[1] for x in out.inputFiles())}))
+        return out
+
+    monkeypatch.setattr(K, "similar_counts", waves)
+    rows, got = spark.createDataFrame(list(enumerate(names)), "id long, name string"), []
+    for most, partners in ((1 << 28, 8), (1, 2)):
+        monkeypatch.setattr(tiles, "WAVE", most)
+        monkeypatch.setattr(tiles, "PARTNERS", partners)
+        got.append({r.id: r.links for r in K.similarity_classes(rows, 0.85).collect()})
+    assert got[0] == got[1] == {i: sum(i != j and similar(a, b, 0.85) for j, b in enumerate(names)) for i, a in enumerate(names)}
+    assert seen[0] == 1 and seen[1] >= 3
